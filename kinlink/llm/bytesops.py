@@ -145,3 +145,13 @@ def combine(parts: list[np.ndarray]) -> np.ndarray:
         for k, part in enumerate(parts):
             x += part * _U(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64) | 1)
     return mix(x)
+
+
+def slices(batch: pa.RecordBatch, name: str, size: int = 4 << 20):
+    """Zero-copy slices of a batch whose texts hold about ``size`` bytes (a longer text is a slice of its own)."""
+    _, off = buffer_of(batch.column(name))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
