@@ -14,7 +14,9 @@ Documents of equal sets are one class from the start.  In each table's bucket th
 are compared with the bucket's first class (a star, not all pairs), links are confirmed on
 full sets and joined to components; then only those pairs of a bucket that lie in different
 components are compared, so no link between different texts is lost, and a bucket of many
-copies of one text stays linear.
+copies of one text stays linear.  A sketch of 512 one-bit MinHash values, compared inside the
+join, spares those pairs that are clearly less similar (it loses one in a million at the
+threshold); what is left is confirmed on full sets.
 
 Cases.  Null or empty text, or no words: empty set, linked with nothing, its own component.
 Null doc_id: passed through, component null, kept.  Ties: ids are compared as numbers.
@@ -102,12 +104,35 @@ def _describe(width: int, m: int, r: int):
     return run
 
 
+def sketches(found: list[np.ndarray], words: int = 8) -> np.ndarray:
+    """64 * words bits of each non-empty set, one from each of as many MinHash values: equal with probability (1 + similarity) / 2."""
+    u = np.concatenate(found)
+    at = np.r_[0, np.cumsum([len(x) for x in found])[:-1]]
+    rng = np.random.default_rng(21)
+    n = 64 * words
+    odd, salt = rng.integers(1, 1 << 63, n, dtype=np.uint64) | _U(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    out = np.zeros((len(found), words), _U)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out[:, k // 64] |= (mix(np.minimum.reduceat((u ^ salt[k]) * odd[k], at)) & _U(1)) << _U(k % 64)
+    return out
+
+
+def least_equal(percent: int, words: int = 8, sigmas: float = 4.75) -> int:
+    """Sketch bits that two sets at the threshold share, but for one pair in a million."""
+    n, p = 64 * words, (1 + percent / 100) / 2
+    return math.floor(n * p - sigmas * math.sqrt(n * p * (1 - p)))
+
+
 def _sets(width: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [x.view(np.int64) for x in sets(part.column("text"), width)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
+                found = [(i, x) for i, x in zip(part.column("id").to_pylist(), sets(part.column("text"), width)) if len(x)]
+                if found:
+                    sketch = sketches([x for _, x in found]).view(np.int64)
+                    kinds = (part.column("id").type, pa.list_(pa.int64()), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([i for i, _ in found], [x.view(np.int64) for _, x in found], list(sketch)), kinds)], names=["id", "s", "sketch"])
 
     return run
 
@@ -138,16 +163,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
     busy = common.stage(spark, tables.join(first.hint("merge"), "key"), "minhash-buckets")
     stars = common.stage(spark, busy.filter((F.col("id") != F.col("u")) & alike(F.col("n"), F.col("un"))).select("u", F.col("id").alias("v")).distinct(), "minhash-stars")
     wanted = busy.select("id").distinct()
-    full = text.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id").select("id", "text").mapInArrow(_sets(width), f"id {docs.schema['doc_id'].dataType.simpleString()}, s array<long>")
+    full = text.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id").select("id", "text").mapInArrow(_sets(width), f"id {docs.schema['doc_id'].dataType.simpleString()}, s array<long>, sketch array<long>")
     full = common.stage(spark, full, "minhash-sets")
     links = common.stage(spark, confirm(stars, full, percent), "minhash-links")
     # what is left: pairs of a bucket in different components
     part = graph.components(spark, links)
     at = common.stage(spark, busy.select("key", "id", "n").join(part.hint("merge"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")), "minhash-at")
     mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = at.join(mixed.hint("merge"), "key")
-    other = open_.select("key", F.col("id").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"))
-    rest = open_.join(other.hint("merge"), (open_["key"] == other["key"]) & (F.col("c") < F.col("vc")) & alike(F.col("n"), F.col("vn"))).select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
+    bits = [F.col("sketch")[i].alias(f"b{i}") for i in range(8)]
+    open_ = common.stage(spark, at.join(mixed.hint("merge"), "key").join(full.select("id", *bits).hint("merge"), "id"), "minhash-open")
+    other = open_.select(F.col("key").alias("vkey"), F.col("id").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"), *(F.col(f"b{i}").alias(f"v{i}") for i in range(8)))
+    apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(1, 8)), F.bit_count(F.col("b0").bitwiseXOR(F.col("v0"))))
+    rest = open_.join(other.hint("merge"), (F.col("key") == F.col("vkey")) & (F.col("c") < F.col("vc")) & alike(F.col("n"), F.col("vn")) & (512 - apart >= least_equal(percent))).select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
     rest = common.stage(spark, rest.join(stars, ["u", "v"], "left_anti"), "minhash-rest")
     more = common.stage(spark, confirm(rest, full, percent), "minhash-more")
     if not more.isEmpty():
