@@ -36,32 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .blobs import ask, ints, pack, place, unpack
 from .bytesops import mix, slices, words_of
 
 _U = np.uint64
 END = _U(0x656E642D6F662D74)
-KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
-
-
-def pack(a: np.ndarray, ordered: bool = False) -> bytes:
-    """Non-negative integers, compressed; ordered ones as differences."""
-    a = np.asarray(a, _U)
-    if ordered and len(a):
-        a = np.r_[a[:1], np.diff(a)]
-    top = int(a.max(initial=0))
-    k = next(i for i, t in enumerate(KINDS) if top <= np.iinfo(t).max)
-    return bytes([k]) + zstandard.ZstdCompressor(level=1).compress(a.astype(KINDS[k]).tobytes())
-
-
-def unpack(b: bytes, ordered: bool = False) -> np.ndarray:
-    a = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), KINDS[b[0]]).astype(_U)
-    return np.cumsum(a, dtype=_U) if ordered else a
-
-
-def _ints(b: bytes, ordered: bool = False) -> np.ndarray:
-    return unpack(b, ordered).astype(np.int64)
-
-
 def discounts(n: np.ndarray, top: int, least: int = 1) -> np.ndarray:
     """d[r] for r <= top from counts of counts n[1..top + 1]; 1 above.  Falls back to (r - 1/2) / r where Good-Turing fails."""
     d = np.ones(top + 2)
@@ -104,25 +83,6 @@ def _blocks(size: int):
     return run
 
 
-def _place(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-
-
-def _ask_words(parts: int):
-    def run(batches):
-        for batch in batches:
-            for block, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts"))):
-                words, counts = unpack(words, True), unpack(counts)
-                to = _place(words, parts)  # ascending, as the hashes are
-                cut = np.r_[0, np.flatnonzero(np.diff(to)) + 1, len(to)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[cut[:-1]]), pa.array([block] * (len(cut) - 1), pa.int64()), *(pa.array([f(a, b) for a, b in zip(cut, cut[1:])], pa.binary()) for f in (lambda a, b: pack(words[a:b], True), lambda a, b: pack(counts[a:b])))],
-                    names=["part", "block", "words", "counts"],
-                )
-
-    return run
-
-
 ANSWER = "block long, kind int, part long, x binary, y binary, z binary"
 
 
@@ -137,7 +97,7 @@ def _merge_words(parts: int, top: int, heavy: int):
     def run(key, table):
         part = key[0].as_py()
         asked = [unpack(x, True) for x in table["words"].to_pylist()]
-        count = np.concatenate([_ints(x) for x in table["counts"].to_pylist()])
+        count = np.concatenate([ints(x) for x in table["counts"].to_pylist()])
         words, at = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(at, count, minlength=len(words)).astype(np.int64)
         ids = np.arange(len(words), dtype=np.int64) * parts + part + 1
@@ -158,11 +118,11 @@ class Block:
     """A block's tokens with global ids of words and their training counts (id 0: the start)."""
 
     def __init__(self, row: dict, answers: list[dict]):
-        self.n, self.held = _ints(row["n"]), unpack(row["held"]).astype(bool)
-        token = _ints(row["tokens"])
+        self.n, self.held = ints(row["n"]), unpack(row["held"]).astype(bool)
+        token = ints(row["tokens"])
         own = sorted((a for a in answers if a["kind"] == 1), key=lambda a: a["part"])
-        self.ids = np.concatenate([np.zeros(1, np.int64), *(_ints(a["x"], True) for a in own)])
-        self.count = np.concatenate([np.zeros(1, np.int64), *(_ints(a["y"]) for a in own)])
+        self.ids = np.concatenate([np.zeros(1, np.int64), *(ints(a["x"], True) for a in own)])
+        self.count = np.concatenate([np.zeros(1, np.int64), *(ints(a["y"]) for a in own)])
         self.token = token + 1
         before = np.zeros_like(self.token)
         before[1:] = self.token[:-1]
@@ -183,7 +143,7 @@ class Block:
         h, w = self.ids[pair // len(self.ids)], self.ids[pair % len(self.ids)]
         at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
         spread = (often[at] == h) if len(often) else np.zeros(len(h), bool)
-        to = _place(mix(h.astype(_U) * _U(0x9E3779B97F4A7C15) + np.where(spread, w, 0).astype(_U)), parts)
+        to = place(mix(h.astype(_U) * _U(0x9E3779B97F4A7C15) + np.where(spread, w, 0).astype(_U)), parts)
         order = np.lexsort((w, h, to))
         return order, to[order], h[order], w[order]
 
@@ -217,10 +177,10 @@ def _merge_pairs(top: int, cutoff: int, uni: np.ndarray, total: int, often: np.n
 
     def run(key, table):
         part = key[0].as_py()
-        hs, hn = [_ints(x, True) for x in table["h"].to_pylist()], [_ints(x) for x in table["hn"].to_pylist()]
+        hs, hn = [ints(x, True) for x in table["h"].to_pylist()], [ints(x) for x in table["hn"].to_pylist()]
         h = np.concatenate([np.repeat(x, n) for x, n in zip(hs, hn)])
-        ws = [_ints(x) for x in table["w"].to_pylist()]
-        w, c, cw = np.concatenate(ws), np.concatenate([_ints(x) for x in table["c"].to_pylist()]), np.concatenate([_ints(x) for x in table["cw"].to_pylist()])
+        ws = [ints(x) for x in table["w"].to_pylist()]
+        w, c, cw = np.concatenate(ws), np.concatenate([ints(x) for x in table["c"].to_pylist()]), np.concatenate([ints(x) for x in table["cw"].to_pylist()])
         order = np.lexsort((w, h))
         oh, ow = h[order], w[order]
         new = np.r_[True, (oh[1:] != oh[:-1]) | (ow[1:] != ow[:-1])]
@@ -261,8 +221,8 @@ def _score(parts: int, often: np.ndarray, often_sums: np.ndarray, often_mass: np
         width = len(rs) + 1
         counts, sums, mass = [], [], []
         for a in sorted((a for a in answers if a["kind"] == 2), key=lambda a: a["part"]):
-            counts.append(_ints(a["x"]))
-            sums.append(_ints(a["y"]).reshape(width, -1).T)
+            counts.append(ints(a["x"]))
+            sums.append(ints(a["y"]).reshape(width, -1).T)
             mass.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(a["z"])))
         count = np.empty(len(pair), np.int64)
         count[order] = np.concatenate(counts)
@@ -314,26 +274,28 @@ def score(spark: SparkSession, docs: DataFrame, held: Column, top: int = 5, cuto
     parts = common.partitions(spark, -(-n_words // slice_keys))
     parts2 = common.partitions(spark, -(-2 * n_tokens // 3 // slice_keys))
 
-    asked = blocks.select("block", "words", "counts").mapInArrow(_ask_words(parts), "part long, block long, words binary, counts binary")
+    asked = blocks.select("block", "words", "counts").mapInArrow(ask(parts), "part long, block long, words binary, counts binary")
     words = common.stage(spark, asked.groupBy("part").applyInArrow(_merge_words(parts, top, max(1, -(-total // parts2))), ANSWER), "katz-words")
     stats = words.filter("kind = 0").select("x", "y", "z").collect()  # a row for each partition
-    n = sum((_ints(r.x) for r in stats), np.zeros(top + 4, np.int64))
+    n = sum((ints(r.x) for r in stats), np.zeros(top + 4, np.int64))
     known = int(n[-1])
     uni = discounts(n[: top + 2], top)
     used = sum(uni[r] * r * n[r] for r in range(1, top + 1)) + total - sum(r * n[r] for r in range(1, top + 1))
     if total and used >= total - 1e-9:  # nothing discounted: as for histories
         uni, used = uni * total / (total + 1), used * total / (total + 1)
     left_over = 1 - used / total if total else 1.0
-    often = np.unique(np.concatenate([np.zeros(1, np.int64), *(_ints(r.y) for r in stats)]))  # the start, and at most one word for each of parts2
+    often = np.unique(np.concatenate([np.zeros(1, np.int64), *(ints(r.y) for r in stats)]))  # the start, and at most one word for each of parts2
 
-    pairs = blocks.groupBy("block").cogroup(words.filter("kind = 1").groupBy("block")).applyInArrow(_ask_pairs(parts2, often), "part long, block long, h binary, hn binary, w binary, c binary, cw binary")
+    tokens = blocks.select("block", "held", "n", "tokens")
+    pairs = tokens.groupBy("block").cogroup(words.filter("kind = 1").groupBy("block")).applyInArrow(_ask_pairs(parts2, often), "part long, block long, h binary, hn binary, w binary, c binary, cw binary")
     pairs = common.stage(spark, pairs.groupBy("part").applyInArrow(_merge_pairs(top, cutoff, uni, total, often), ANSWER), "katz-pairs")
-    n2 = sum((_ints(r.x) for r in pairs.filter("kind = 0").select("x").collect()), np.zeros(top + 2, np.int64))
+    n2 = sum((ints(r.x) for r in pairs.filter("kind = 0").select("x").collect()), np.zeros(top + 2, np.int64))
     bi = discounts(n2, top, cutoff)
     often_sums, often_mass = _heavy(pairs, often, top - cutoff + 2)
 
     answers = words.filter("kind = 1").unionByName(pairs.filter("kind = 2"))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    tokens = blocks.select("block", "doc_ids", "held", "n", "tokens")
+    return tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(parts2, often, often_sums, often_mass, top, cutoff, uni, bi, total, known, left_over, starts),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
@@ -343,7 +305,7 @@ def _unpack_sums(width: int):
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), pa.array([_ints(x.as_py()) for x in batch.column("x")], pa.list_(pa.int64())), pa.array([float(np.frombuffer(x.as_py())[0]) for x in batch.column("y")], pa.float64())], names=["h", "s", "m"]
+                [batch.column("block"), pa.array([ints(x.as_py()) for x in batch.column("x")], pa.list_(pa.int64())), pa.array([float(np.frombuffer(x.as_py())[0]) for x in batch.column("y")], pa.float64())], names=["h", "s", "m"]
             )
 
     return run

@@ -15,9 +15,9 @@ with the place of the suffix, so a passage that a third of all documents holds i
 over many buckets.
 
 - A segment next to an equal one (gram and whole content) is repeated with all its windows.
-- Segments that share only the anchor's gram are the edges of passages: one row for each of
-  their windows, keyed by 64-bit fingerprints of gram and window, is pre-aggregated, and
-  a window of two different segments is repeated.
+- Segments that share only the anchor's gram are the edges of passages.  The fingerprints
+  of the windows of each different one meet in ranges of fingerprints, sorted and packed,
+  and a window that two segments have is repeated.
 
 Equality is that of two independent 64-bit fingerprints.
 
@@ -34,10 +34,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .blobs import ask, ints, pack, unpack
 from .bytesops import buffer_of, combine, mix, prefix_hash, span_hash, _powers
 
 _U = np.uint64
@@ -165,32 +167,76 @@ def _across(rows: list) -> list[tuple]:
     return [(r.k1, r.k2, r.start, r.n, r.gram, r.digest, s) for r, s in zip(rows, same) if s]
 
 
-def _windows(length: int):
-    """Fingerprints of all windows of the listed segments of each text."""
+def _blocks(length: int, most: int = 1 << 20):
+    """Blocks of about ``most`` windows of the listed segments: their fingerprints, and the places of the single segments in them."""
 
     def run(batches):
+        task, number = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
+        held: list[tuple] = []  # k1, k2, start, n, single, fingerprints
+        size = 0
+
+        def out():
+            w = np.concatenate([x[5] for x in held])
+            keys, at, count = np.unique(w, return_inverse=True, return_counts=True)
+            own = np.concatenate([np.full(x[3], x[4], bool) for x in held])
+            one = [x for x in held if x[4]]
+            cols = {
+                "block": pa.array([task << 32 | number], pa.int64()),
+                **{c: pa.array([pack(v, c == "words")], pa.binary()) for c, v in (("words", keys), ("counts", count), ("at", at[own]))},
+                **{c: pa.array([[x[i] for x in one]], pa.list_(pa.int64())) for i, c in enumerate(("k1", "k2", "start", "n"))},
+                "n_words": pa.array([len(keys)], pa.int64()),
+            }
+            return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
         for batch in batches:
             for row in range(batch.num_rows):
                 raw, _ = buffer_of(batch.column("_text").slice(row, 1))
-                listed = batch.column("at")[row].as_py()
-                cols = {c: [] for c in ("k1", "k2", "start", "gram", "digest", "single", "w")}
-                for x in listed:
+                k1, k2 = batch.column("k1")[row].as_py(), batch.column("k2")[row].as_py()
+                for x in batch.column("at")[row].as_py():
                     part = raw[x["start"] : x["start"] + x["n"] - 1 + length]
                     h = prefix_hash(part)
                     _, q = _powers(len(part) + 1)
                     with np.errstate(over="ignore"):
-                        w = mix((h[length:] - h[:-length]) * q[: x["n"]])
-                    for c in ("start", "gram", "digest", "single"):
-                        cols[c].append(x[c])
-                    cols["w"].append(w.view(np.int64))
-                cols["k1"] = [batch.column("k1")[row].as_py()] * len(listed)
-                cols["k2"] = [batch.column("k2")[row].as_py()] * len(listed)
-                kinds = {"single": pa.bool_(), "w": pa.list_(pa.int64())}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in cols.items()], names=list(cols))
+                        w = mix(mix((h[length:] - h[:-length]) * q[: x["n"]]) ^ _U(x["gram"] & 0xFFFFFFFFFFFFFFFF))
+                    held.append((k1, k2, x["start"], x["n"], x["single"], w))
+                    size += x["n"]
+                    if size >= most:
+                        yield out()
+                        held, size, number = [], 0, number + 1
+        if held:
+            yield out()
 
     return run
 
 
+def _twice(key, table):
+    """For each block's slice, a bit for each of its fingerprints: does another segment have it?"""
+    asked = [unpack(x, True) for x in table["words"].to_pylist()]
+    count = np.concatenate([ints(x) for x in table["counts"].to_pylist()])
+    words, at = np.unique(np.concatenate(asked), return_inverse=True)
+    often = np.bincount(at, count, minlength=len(words))[at] > 1
+    cut = np.cumsum([0, *(len(x) for x in asked)])
+    bits = [np.packbits(often[a:b]).tobytes() for a, b in zip(cut, cut[1:])]
+    return pa.table({"block": table["block"], "part": table["part"], "n": pa.array(np.diff(cut)), "bits": pa.array(bits, pa.binary())})
+
+
+def _repeated(key, left, right):
+    """Runs (start, n) of repeated windows in the single segments of a block."""
+    row = left.to_pylist()[0]
+    answers = sorted(right.to_pylist(), key=lambda r: r["part"])
+    often = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]) for r in answers]).astype(bool)
+    hit = often[ints(row["at"])]
+    n = np.array(row["n"], np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+    found = np.flatnonzero(hit)
+    new = np.r_[True, (np.diff(found) > 1) | (of[found[1:]] != of[found[:-1]])] if len(found) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    seg = of[found[first]]
+    take = lambda c: np.array(row[c], np.int64)[seg]
+    return pa.table({"k1": take("k1"), "k2": take("k2"), "start": take("start") + place[found[first]], "n": np.diff(np.r_[first, len(found)]).astype(np.int32)})
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumn("_k1", F.coalesce(F.col("doc_id"), F.lit(NOBODY))).withColumn("_k2", F.xxhash64(text))
@@ -214,13 +260,15 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int
     bit = lambda b: F.col("same").bitwiseAND(F.lit(b)) > 0
     whole = known.filter(bit(P_ALL | N_ALL)).select("k1", "k2", "start", "n")
     border = known.filter((bit(P_GRAM) & ~bit(P_ALL)) | (bit(N_GRAM) & ~bit(N_ALL)))
-    listed = border.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "gram", "digest", (~bit(P_ALL | N_ALL)).alias("single"))).alias("at"))
-    windows = texts.join(listed.hint("merge"), ["k1", "k2"]).mapInArrow(_windows(length), "k1 long, k2 long, start long, gram long, digest long, single boolean, w array<long>")
-    windows = common.stage(spark, windows, "suffix-windows")
-    each = windows.select("gram", "digest", F.explode("w").alias("w"))
-    twice = each.groupBy("gram", "w").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("gram", "w")
-    own = windows.filter("single").select("gram", "k1", "k2", "start", F.posexplode("w").alias("i", "w"))
-    hit = own.join(twice, ["gram", "w"]).select("k1", "k2", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n"))
+    single = ~bit(P_ALL | N_ALL)
+    border = border.groupBy("gram", "digest").agg(F.min(F.struct("k1", "k2", "start", "n", single.alias("single"))).alias("x")).select("gram", "x.*")  # a window of two rows is one of two segments
+    listed = border.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "gram", "single")).alias("at"))
+    kinds = "block long, words binary, counts binary, at binary, k1 array<long>, k2 array<long>, start array<long>, n array<long>, n_words long"
+    blocks = common.stage(spark, texts.join(listed.hint("merge"), ["k1", "k2"]).mapInArrow(_blocks(length), kinds), "suffix-blocks")
+    parts = common.partitions(spark, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // 1_500_000))
+    asked = blocks.select("block", "words", "counts").mapInArrow(ask(parts), "part long, block long, words binary, counts binary")
+    answers = asked.groupBy("part").applyInArrow(_twice, "block long, part long, n long, bits binary")
+    hit = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_repeated, "k1 long, k2 long, start long, n int")
     return whole.unionByName(hit).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("at"))
 
 
