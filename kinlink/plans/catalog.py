@@ -2,11 +2,567 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import similarity as S
+from ..functions import tables
+from ..functions import text as X
+from ..operators import blocking as B
+from ..operators import competition as C
+from ..operators import decide as D
+from ..operators import learn as L
+from ..operators import metrics as M
+from ..sources import io
+from . import records as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _squeeze(x: str) -> str:
+    for ch in "abcdefghijklmnopqrstuvwxyz":
+        x = f"regexp_replace({x}, '{ch}{ch}+', '{ch}', 'g')"
+    return x
+
+
+def _phon(x: str) -> str:
+    x = _squeeze(x)
+    for a, b in tables.SOUNDS:
+        x = f"replace({x}, '{a}', '{b}')"
+    return _squeeze(f"regexp_replace({x}, 'y$', 'i')")
+
+
+# scans, projections, filters
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 25 AND p_name LIKE '%bolt%' AND p_type <> 'ECONOMY'")
+def scan_project_filter(spark, d):
+    return R.read(spark, d, "part").filter((F.col("p_size") > 25) & F.col("p_name").rlike("bolt") & (F.col("p_type") != "ECONOMY")).select("p_partkey", "p_name", "p_size")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
+def dedup_first(spark, d):
+    return io.first_by(R.read(spark, d, "orders"), "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def semi_filter(spark, d):
+    poor = R.read(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return io.semi(R.read(spark, d, "orders"), poor, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END AS INTEGER) AS src FROM part")
+def source_from_prefix(spark, d):
+    id_ = F.concat(F.when(F.col("p_partkey") % 2 == 0, "S2-").otherwise("S3-"), F.col("p_partkey").cast("string"))
+    return R.read(spark, d, "part").select("p_partkey", io.source_of(id_).cast("int").alias("src"))
+
+
+@query(f"WITH {R.REC} SELECT l_id, r_id, CAST(CASE WHEN lpart = '' OR rpart = '' THEN -1 WHEN lpart = rpart THEN 1 ELSE 0 END AS INTEGER) AS state_eq FROM pairs")
+def three_valued_equality(spark, d):
+    return R.pairs(spark, d).select("l_id", "r_id", S.equal_if_known(F.col("lpart"), F.col("rpart")).alias("state_eq"))
+
+
+@query(f"WITH {R.REC} SELECT l_id, r_id, CASE WHEN lpart <> '' AND rpart <> '' THEN CAST(levenshtein(l_name, r_name) AS BIGINT) END AS n_lev FROM pairs")
+def null_masking(spark, d):
+    p = R.pairs(spark, d).withColumn("n_lev", F.levenshtein("l_name", "r_name").cast("long"))
+    return C.mask_unknown(p, ["n_lev"], [], (F.col("lpart") != "") & (F.col("rpart") != ""), F.lit(True)).select("l_id", "r_id", "n_lev")
+
+
+# text
+
+
+@query(f"SELECT conv_id, turn, {_phon('lower(text)')} AS phon FROM conversations")
+def phon_key(spark, d):
+    return R.read(spark, d, "conversations").select("conv_id", "turn", X.phon(F.lower("text")).alias("phon"))
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest({R.toks_sql('text')}) AS word FROM conversations), k AS (SELECT word, {_phon('word')} AS p FROM w) SELECT word, substr(p, 1, 1) || regexp_replace(substr(p, 2), '[aeiouy]', '', 'g') AS skel FROM k")
+def skeleton_key(spark, d):
+    w = R.read(spark, d, "conversations").select(F.explode(R.words(F.col("text"))).alias("word")).distinct()
+    return w.select("word", X.skeleton(F.col("word")).alias("skel"))
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_transform({R.toks_sql('text')}, lambda t: substr(t, 1, 1)), '') AS initials FROM conversations")
+def acronym(spark, d):
+    return R.read(spark, d, "conversations").select("conv_id", "turn", X.initials(F.lower("text")).alias("initials"))
+
+
+_FIX = "CASE WHEN length(regexp_replace(t, '[^0-9]', '', 'g')) = 1 AND length(t) >= 4 AND NOT regexp_matches(t, '^[0-9]+(st|nd|rd|th)$') THEN translate(t, '0134578@$', 'oleastbas') ELSE t END"
+
+
+@query(f"WITH w AS (SELECT c_custkey, unnest(regexp_split_to_array(lower(c_name), '#')) AS t FROM customer UNION ALL SELECT p_partkey, lower(p_brand) FROM part) SELECT c_custkey AS id, t, {_FIX} AS fixed FROM w")
+def leet_fix(spark, d):
+    a = R.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.explode(F.split(F.lower("c_name"), "#")).alias("t"))
+    b = R.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_brand").alias("t"))
+    return a.unionByName(b).withColumn("fixed", X.fix_lookalikes(F.col("t")))
+
+
+@query("SELECT p_partkey, CASE WHEN w <> '' THEN w ELSE p_type END AS core FROM (SELECT p_partkey, lower(p_type) AS p_type, array_to_string(list_filter(string_split(lower(p_type) || ' ltd co of', ' '), lambda t: NOT list_contains(['inc','corp','co','ltd','pvt','of','the'], t)), ' ') AS w FROM part)")
+def stopword_core(spark, d):
+    name = X.name_parts(F.concat_ws(" ", F.col("p_type"), F.lit("Ltd Co of")), F.lower)
+    return R.read(spark, d, "part").select("p_partkey", name["n_core"].alias("core"))
+
+
+@query("SELECT s_suppkey, 'co ltd' AS n_legal, CAST(0 AS INTEGER) AS n_alias FROM supplier")
+def legal_canonical(spark, d):
+    name = X.name_parts(F.concat_ws(" ", F.col("s_name"), F.lit("Company Limited")), F.lower)
+    return R.read(spark, d, "supplier").select("s_suppkey", name["n_legal"].alias("n_legal"), name["n_alias"].cast("int").alias("n_alias"))
+
+
+@query()
+def normalize_records(spark, d):
+    r = R.rec(spark, d).select(F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("id").cast("string")).alias("entity_id"), F.col("name").alias("business_name"), F.concat_ws(", ", "addr", F.lit("Austin, TX")).alias("business_address"), F.lit("US").alias("country"))
+    return X.normalize(r)
+
+
+@query(f"WITH w AS (SELECT DISTINCT conv_id, turn, unnest({R.toks_sql('text')}) AS t FROM conversations), p AS (SELECT '^' || t || '$' AS t FROM w), g AS (SELECT unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM p) SELECT gram, count(*) AS n FROM g GROUP BY gram")
+def char_ngrams(spark, d):
+    w = R.read(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(R.words(F.col("text")))).alias("t"))
+    return w.select(F.explode(L.trigrams(F.col("t"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH t AS (SELECT {R.toks_sql('text')} AS w FROM conversations), b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM t) SELECT bigram, count(*) AS n FROM b GROUP BY bigram")
+def word_bigrams(spark, d):
+    w = R.read(spark, d, "conversations").select(R.words(F.col("text")).alias("w")).filter(F.size("w") > 1)
+    two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    return w.select(F.explode(two).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+
+
+# pair similarities
+
+
+@query(f"WITH {R.REC} SELECT l_id, r_id, CAST(levenshtein(l_name, r_name) AS BIGINT) AS n_lev, round(CASE WHEN greatest(length(l_name), length(r_name)) > 0 THEN 1 - levenshtein(l_name, r_name) / greatest(length(l_name), length(r_name)) ELSE 1 END, 6) AS n_sim FROM pairs")
+def levenshtein_pairs(spark, d):
+    a, b = F.col("l_name"), F.col("r_name")
+    return R.pairs(spark, d).select("l_id", "r_id", F.levenshtein(a, b).cast("long").alias("n_lev"), F.round(S.distance_similarity(a, b), 6).alias("n_sim"))
+
+
+@query(f"""WITH {R.REC}, t AS (SELECT l_id, r_id, string_split(l_name, ' ') AS a, string_split(r_name, ' ') AS b FROM pairs)
+SELECT l_id, r_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jac, CAST(len(list_distinct(a)) AS INTEGER) AS n_ntok_l FROM t""")
+def token_jaccard(spark, d):
+    a, b = X.tokens(F.col("l_name")), X.tokens(F.col("r_name"))
+    return R.pairs(spark, d).select("l_id", "r_id", F.round(S.jaccard(a, b), 6).alias("jac"), F.size(F.array_distinct(a)).alias("n_ntok_l"))
+
+
+@query(f"""WITH {R.REC}, n AS (SELECT DISTINCT l_name, r_name FROM l JOIN r USING (country))
+SELECT l_name, r_name, round(jaro_winkler_similarity(l_name, r_name), 6) AS jw FROM n""")
+def jaro_winkler_names(spark, d):
+    left, right = R.sides(spark, d)
+    n = left.select("country", "l_name").distinct().join(right.select("country", "r_name").distinct(), "country").select("l_name", "r_name").distinct()
+    return n.select("l_name", "r_name", F.round(S.jaro_winkler(F.col("l_name"), F.col("r_name")), 6).alias("jw"))
+
+
+@query()
+def fuzzy_ratios(spark, d):
+    left, right = R.sides(spark, d)
+    n = left.select("country", "l_name").distinct().join(right.select("country", "r_name").distinct(), "country").select("l_name", "r_name").distinct()
+    a, b = F.col("l_name"), F.col("r_name")
+    return n.select(a, b, S.ratio(a, b).alias("ratio"), S.token_sort_ratio(a, b).alias("tsort"), S.token_set_ratio(a, b).alias("tset"), S.partial_ratio(a, b).alias("partial"), S.contains_either(a, b).alias("contain"))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT conv_id, turn, unnest({R.toks_sql('text')}) AS gram FROM conversations), n AS (SELECT count(*) AS n FROM conversations)
+SELECT gram, count(*) AS df, round(ln((any_value(n) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM w, n GROUP BY gram""")
+def df_idf(spark, d):
+    c = R.read(spark, d, "conversations").withColumn("id", F.struct("conv_id", "turn"))
+    return B.idf(c, "id", R.words(F.col("text"))).select("gram", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"""WITH {R.REC}, n AS (SELECT count(*) AS n FROM rec), d AS (SELECT t, count(*) AS df FROM (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS t FROM rec) GROUP BY t),
+i AS (SELECT t, ln((n + 1) / (df + 1)) + 1 AS w FROM d, n), p AS (SELECT DISTINCT l_name, r_name FROM pairs),
+u AS (SELECT l_name, r_name, unnest(list_distinct(list_concat(string_split(l_name, ' '), string_split(r_name, ' ')))) AS t FROM p),
+f AS (SELECT l_name, r_name, i.w, list_contains(string_split(l_name, ' '), u.t) AND list_contains(string_split(r_name, ' '), u.t) AS both_ FROM u JOIN i USING (t))
+SELECT l_name, r_name, round(coalesce(sum(w) FILTER (both_), 0) / sum(w), 6) AS idf_jac, round(coalesce(max(w) FILTER (both_), 0), 6) AS idf_maxshared, round(coalesce(max(w) FILTER (NOT both_), 0), 6) AS idf_maxunshared FROM f GROUP BY l_name, r_name""")
+def idf_jaccard(spark, d):
+    all_ = R.rec(spark, d)
+    table = B.idf(all_, "id", X.tokens(F.col("name")))
+    names = R.pairs(spark, d).select("l_name", "r_name").distinct()
+    weights = names.select("l_name", "r_name", F.explode(F.array_union(X.tokens(F.col("l_name")), X.tokens(F.col("r_name")))).alias("gram")).join(table, "gram")
+    maps = weights.groupBy("l_name", "r_name").agg(F.map_from_entries(F.collect_list(F.struct("gram", "idf"))).alias("idf"))
+    f = S.idf_features(X.tokens(F.col("l_name")), X.tokens(F.col("r_name")), F.col("idf"))
+    return maps.select("l_name", "r_name", *(F.round(v, 6).alias(k) for k, v in f.items()))
+
+
+@query(f"""WITH {R.REC}, t AS (SELECT l_id, r_id, regexp_extract_all(l_addr || ' ' || l_id, '[0-9]+') AS a, regexp_extract_all(r_addr || ' ' || r_id, '[0-9]+') AS b FROM pairs)
+SELECT l_id, r_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS num_shared, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS num_jac,
+  CAST(len(list_distinct(list_concat(a, b))) - len(list_intersect(a, b)) AS INTEGER) AS num_symdiff, CAST(a[1] = b[1] AS INTEGER) AS num_first_eq, CAST(list_contains(b, a[1]) OR list_contains(a, b[1]) AS INTEGER) AS num_first_in FROM t""")
+def number_features(spark, d):
+    p = R.pairs(spark, d).withColumns({"a": X.numbers(F.concat_ws(" ", "l_addr", F.col("l_id").cast("string"))), "b": X.numbers(F.concat_ws(" ", "r_addr", F.col("r_id").cast("string")))})
+    f = S.number_features(F.col("a"), F.col("b"))
+    return p.select("l_id", "r_id", *((F.round(v, 6) if k == "num_jac" else v).alias(k) for k, v in f.items()))
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings), m AS (SELECT label, min(vec_id) AS v FROM e GROUP BY label)
+SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], f.embedding::DOUBLE[]), 5) AS cos FROM e JOIN m ON e.label = m.label JOIN e f ON f.vec_id = m.v""")
+def cosine_rowdot(spark, d):
+    e = R.read(spark, d, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("f"))
+    return e.join(first, "label").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("f")), 5).alias("cos"))
+
+
+# candidates
+
+
+_TFIDF = f"""{R.REC}, g AS (SELECT id, src, country, part, unnest(list_transform(range(1, length(name) - 1), lambda i: substr(name, i, 3))) AS gram FROM rec),
+d AS (SELECT gram, count(DISTINCT id) AS df FROM g GROUP BY gram), n AS (SELECT count(*) AS n FROM rec), i AS (SELECT gram, ln((n + 1) / (df + 1)) + 1 AS idf FROM d, n WHERE df >= 2 AND df <= 0.3 * n),
+c AS (SELECT id, src, country, part, gram, (1 + ln(count(*))) * any_value(idf) AS w FROM g JOIN i USING (gram) GROUP BY id, src, country, part, gram),
+p AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS v FROM c),
+s AS (SELECT a.id AS l_id, b.id AS r_id, b.src, round(sum(a.v * b.v), 6) AS score FROM p a JOIN p b ON a.gram = b.gram AND a.country = b.country AND (a.part = b.part OR a.part = '' OR b.part = '') WHERE a.src = 1 AND b.src > 1 GROUP BY 1, 2, 3)"""
+
+
+def _tfidf(spark, d, k):
+    all_ = R.rec(spark, d)
+    n = all_.count()
+    grams = X.char_grams(F.col("name"), 3)
+    weights = B.pruned(B.idf(all_, "id", grams, n), n, 2, 0.3)
+    post = B.postings(all_, ["id", "src", "country", "part"], grams, weights)
+    left = post.filter("src = 1").select(F.col("id").alias("l_id"), F.col("part").alias("lpart"), "country", "gram", "w")
+    right = post.filter("src > 1").select(F.col("id").alias("r_id"), "src", F.col("part").alias("rpart"), "country", "gram", "w")
+    met = B.partition_join(left.withColumnRenamed("w", "lw"), right.withColumnRenamed("w", "rw"), ["country", "gram"])
+    return B.topk(met.groupBy("l_id", "r_id", "src").agg(F.round(F.sum(F.col("lw") * F.col("rw")), 6).alias("score")), k)
+
+
+@query(f"WITH {_TFIDF}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_id, src ORDER BY score DESC, r_id) AS INTEGER) AS rank FROM s WHERE score > 1e-6) SELECT l_id, r_id, src, score, rank FROM k WHERE rank <= 15")
+def tfidf_topk(spark, d):
+    return _tfidf(spark, d, 15)
+
+
+@query("WITH p AS (SELECT a.vec_id AS l_id, b.vec_id AS r_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS INTEGER) AS rank FROM p) SELECT l_id, r_id, score, rank FROM k WHERE rank <= 15")
+def dense_topk(spark, d):
+    e = R.read(spark, d, "embeddings")
+    met = e.select(F.col("vec_id").alias("l_id"), "label", F.col("embedding").alias("lv")).join(e.select(F.col("vec_id").alias("r_id"), "label", F.col("embedding").alias("rv")), "label").filter("l_id <> r_id")
+    scored = met.select("l_id", "r_id", F.round(S.dot(F.col("lv"), F.col("rv")), 5).alias("score"))
+    return B.topk(scored, 15, by=("l_id",), least=float("-inf"))
+
+
+@query(f"WITH {R.REC}, s AS (SELECT country, r_addr, count(*) AS n FROM r GROUP BY 1, 2) SELECT l.l_id, r.r_id FROM l JOIN r ON l.country = r.country AND l.l_addr = r.r_addr JOIN s ON s.country = r.country AND s.r_addr = r.r_addr WHERE s.n <= 50")
+def exact_key_address(spark, d):
+    left, right = R.sides(spark, d)
+    key = lambda a: B.address_key(F.col("country"), X.numbers(F.col(a)), F.filter(X.tokens(F.col(a)), lambda t: ~t.rlike("[0-9]")))
+    return B.key_join(left.withColumn("key", key("l_addr")), right.withColumn("key", key("r_addr")).drop("country"), "key").select("l_id", "r_id")
+
+
+@query(f"""WITH {R.REC}, t AS (SELECT id, t, pos FROM (SELECT id, unnest(string_split(name, ' ')) AS t, unnest(range(len(string_split(name, ' ')))) AS pos FROM rec)),
+f AS (SELECT t, count(*) AS freq FROM t GROUP BY t), k AS (SELECT id, t.t AS token, row_number() OVER (PARTITION BY id ORDER BY freq, pos) AS n FROM t JOIN f USING (t) WHERE length(t.t) >= 3) SELECT id, token FROM k WHERE n = 1""")
+def rarest_token_key(spark, d):
+    return B.rarest_token(R.rec(spark, d), "id", X.tokens(F.col("name")))
+
+
+@query(f"WITH {R.REC}, n AS (SELECT *, count(*) OVER (PARTITION BY country, r_name) AS c FROM r) SELECT r_id, country, r_name FROM n WHERE c <= 2")
+def bucket_cap(spark, d):
+    right = R.sides(spark, d)[1].withColumn("key", F.concat_ws("|", "country", "r_name"))
+    return B.capped(right, "key", 2).select("r_id", "country", "r_name")
+
+
+@query(f"WITH {R.REC} SELECT l.l_id, count(*) AS n, CAST(sum(r.r_id) AS BIGINT) AS s FROM l JOIN r ON l.country = r.country AND l.l_name = r.r_name AND (l.lpart = r.rpart OR l.lpart = '' OR r.rpart = '') GROUP BY l.l_id")
+def partition_fallback_join(spark, d):
+    left, right = R.sides(spark, d)
+    met = B.partition_join(left.withColumnRenamed("l_name", "name"), right.withColumnRenamed("r_name", "name"), ["country", "name"])
+    return met.groupBy("l_id").agg(F.count(F.lit(1)).alias("n"), F.sum("r_id").alias("s"))
+
+
+_FUSED = f"""{_TFIDF}, k AS (SELECT *, row_number() OVER (PARTITION BY l_id, src ORDER BY score DESC, r_id) AS rank FROM s WHERE score > 1e-6),
+u AS (SELECT l_id, r_id, src, score AS v_name, NULL AS v_addr FROM k WHERE rank <= 15 UNION ALL SELECT l_id, r_id, src, NULL, 1.0 FROM pairs),
+f AS (SELECT l_id, r_id, src, max(v_name) AS v_name, max(v_addr)::DOUBLE AS v_addr FROM u GROUP BY l_id, r_id, src),
+w AS (SELECT *, round(CASE WHEN v_name > 0 THEN 1.0::DOUBLE / (5 + row_number() OVER (PARTITION BY l_id, src ORDER BY coalesce(v_name, -1) DESC, r_id)) ELSE 0 END + CASE WHEN v_addr IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END, 9) AS brrf FROM f),
+b AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_id ORDER BY brrf DESC, r_id) - 1 AS INTEGER) AS brank FROM w)"""
+
+
+def _fused(spark, d):
+    return B.fuse({"v_name": _tfidf(spark, d, 15), "v_addr": R.pairs(spark, d).select("l_id", "r_id", "src", F.lit(1.0).alias("score"))})
+
+
+def _ranked(spark, d):
+    ranked = B.rank_fuse(_fused(spark, d), ["v_name"], {"v_addr": 0.2}, cap=1 << 30).withColumn("brrf", F.round("brrf", 9)).drop("brank")
+    order = Window.partitionBy("l_id").orderBy(F.col("brrf").desc(), "r_id")
+    return ranked.withColumn("brank", F.row_number().over(order) - 1).filter("brank < 40")
+
+
+@query(f"WITH {_FUSED} SELECT l_id, r_id, src, v_name, v_addr, CAST((v_name IS NOT NULL)::INT + (v_addr IS NOT NULL)::INT AS INTEGER) AS n_views, round(coalesce(v_name, 0) + coalesce(v_addr, 0), 6) AS bsum FROM f")
+def view_fusion(spark, d):
+    return _fused(spark, d).withColumn("bsum", F.round("bsum", 6))
+
+
+@query(f"WITH {_FUSED} SELECT l_id, r_id, src, brrf, brank FROM b WHERE brank < 40")
+def rrf_rank(spark, d):
+    return _ranked(spark, d).select("l_id", "r_id", "src", "brrf", "brank")
+
+
+@query(f"WITH {_FUSED}, n AS (SELECT l_id, count(*) AS n_true FROM truth GROUP BY l_id) SELECT b.l_id, b.r_id, CAST(t.r_id IS NOT NULL AS INTEGER) AS y, coalesce(n.n_true, 0) AS n_true FROM b LEFT JOIN truth t ON b.l_id = t.l_id AND b.r_id = t.r_id LEFT JOIN n ON n.l_id = b.l_id WHERE brank < 40")
+def label_join(spark, d):
+    return B.label(_ranked(spark, d).select("l_id", "r_id"), R.truth(*R.sides(spark, d)))
+
+
+@query(f"WITH {R.REC} SELECT t.l_id, t.r_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.l_id = t.l_id AND p.r_id = t.r_id)")
+def missed_anti(spark, d):
+    return B.missed(R.truth(*R.sides(spark, d)), R.pairs(spark, d)).select("l_id", "r_id")
+
+
+@query(f"""WITH {_FUSED}, j AS (SELECT f.v_name, f.v_addr FROM truth t LEFT JOIN f ON f.l_id = t.l_id AND f.r_id = t.r_id),
+x AS (SELECT 'v_name' AS view, (v_name IS NOT NULL)::INT AS has, (v_name IS NOT NULL)::INT + (v_addr IS NOT NULL)::INT AS n FROM j UNION ALL SELECT 'v_addr', (v_addr IS NOT NULL)::INT, (v_name IS NOT NULL)::INT + (v_addr IS NOT NULL)::INT FROM j)
+SELECT view, CAST(sum(has) AS BIGINT) AS found, CAST(sum(CASE WHEN n = 1 THEN has ELSE 0 END) AS BIGINT) AS alone, round(sum(has) / count(*), 6) AS recall FROM x GROUP BY view""")
+def recall_by_view(spark, d):
+    return M.recall_by_view(R.truth(*R.sides(spark, d)), _fused(spark, d), ["v_name", "v_addr"]).withColumn("recall", F.round("recall", 6))
+
+
+@query(f"WITH {_FUSED}, c AS (SELECT unnest([1, 3, 5, 10, 20, 40]) AS cap), j AS (SELECT brank FROM truth t LEFT JOIN b ON b.l_id = t.l_id AND b.r_id = t.r_id) SELECT CAST(cap AS INTEGER) AS cap, round(avg(CASE WHEN brank < cap THEN 1.0 ELSE 0.0 END), 6) AS recall FROM j, c GROUP BY cap")
+def recall_by_cap(spark, d):
+    return M.recall_by_cap(R.truth(*R.sides(spark, d)), _ranked(spark, d), [1, 3, 5, 10, 20, 40]).withColumn("recall", F.round("recall", 6))
+
+
+@query(f"""WITH {R.REC}, o AS (SELECT r_id, min(l_id) AS owner FROM truth GROUP BY r_id), x AS (SELECT r.*, o.owner, row_number() OVER (PARTITION BY country, r_addr ORDER BY r.r_id) AS n FROM r LEFT JOIN o ON o.r_id = r.r_id)
+SELECT l.l_id, x.r_id FROM l JOIN x ON l.country = x.country AND l.l_addr = x.r_addr WHERE n <= 20 AND (x.owner IS NULL OR x.owner <> l.l_id)""")
+def hard_negatives(spark, d):
+    left, right = R.sides(spark, d)
+    owned = right.join(io.owners(R.truth(left, right)), "r_id", "left")
+    key = lambda a: F.concat_ws("|", "country", a)
+    return B.hard_negatives(left.withColumn("key", key("l_addr")), owned.withColumn("key", key("r_addr")).drop("country"), "key").select("l_id", "r_id")
+
+
+# competition
+
+
+@query(f"""WITH {R.SCORED} SELECT l_id, r_id, src, x, CASE WHEN x IS NOT NULL THEN CAST(rank() OVER (PARTITION BY l_id, src ORDER BY x DESC NULLS LAST) AS INTEGER) END AS rank_l, round(x - max(x) OVER (PARTITION BY l_id), 6) AS gap_l FROM scored""")
+def rank_gap_left(spark, d):
+    return R.scored(spark, d).withColumns({"rank_l": C.rank_within("x", ["l_id", "src"]), "gap_l": F.round(C.gap_to_best("x", ["l_id"]), 6)})
+
+
+@query(f"""WITH {R.SCORED}, n AS (SELECT *, coalesce(x, -1) AS z, row_number() OVER (PARTITION BY r_id ORDER BY coalesce(x, -1) DESC, l_id, src) AS rn FROM scored),
+s AS (SELECT *, coalesce(max(CASE WHEN rn = 2 THEN z END) OVER (PARTITION BY r_id), -1) AS second, max(x) OVER (PARTITION BY r_id) AS best FROM n)
+SELECT l_id, r_id, src, round(CASE WHEN x >= best THEN x - second ELSE x - best END, 6) AS gap_r, CASE WHEN x IS NOT NULL THEN CAST(rank() OVER (PARTITION BY r_id ORDER BY x DESC NULLS LAST) AS INTEGER) END AS rank_r FROM s""")
+def gap_right_second_max(spark, d):
+    s = C.gap_to_other(R.scored(spark, d), "x", ["r_id"], ["l_id", "src"], "gap_r")
+    return s.select("l_id", "r_id", "src", F.round("gap_r", 6).alias("gap_r"), C.rank_within("x", ["r_id"]).alias("rank_r"))
+
+
+@query(f"WITH {R.SCORED} SELECT l_id, r_id, src, count(*) OVER (PARTITION BY l_id) AS n_cand, count(*) OVER (PARTITION BY r_id) AS r_n_s1 FROM scored")
+def competition_counts(spark, d):
+    return R.scored(spark, d).select("l_id", "r_id", "src", C.group_size(["l_id"]).alias("n_cand"), C.group_size(["r_id"]).alias("r_n_s1"))
+
+
+_P = f"{R.SCORED}, p AS (SELECT l_id, r_id, max(coalesce(x, 0)) AS p, CAST(max((l_id + r_id) % 7 = 0)::INT AS INTEGER) AS y FROM scored GROUP BY l_id, r_id)"
+
+
+def _prob(spark, d):
+    y = ((F.col("l_id") + F.col("r_id")) % 7 == 0).cast("int")
+    return R.scored(spark, d).groupBy("l_id", "r_id").agg(F.max(F.coalesce("x", F.lit(0.0))).alias("p"), F.max(y).alias("y"))
+
+
+@query(f"WITH {_P} SELECT l_id, r_id, CASE WHEN p >= max(p) OVER (PARTITION BY r_id) - 1e-12 THEN p ELSE 0 END AS p FROM p")
+def one_to_one(spark, d):
+    return C.one_to_one(_prob(spark, d)).select("l_id", "r_id", "p")
+
+
+@query(f"WITH {_P}, m AS (SELECT *, max(p) OVER (PARTITION BY l_id) AS best FROM p) SELECT l_id, r_id, p FROM m WHERE best >= 0.6 AND (p >= 0.9 OR p = best)")
+def threshold_mask(spark, d):
+    return _prob(spark, d).withColumn("k", D.threshold_mask("p", 0.6, 0.9)).filter("k").select("l_id", "r_id", "p")
+
+
+@query(f"""WITH {_P}, m AS (SELECT *, max(p) OVER (PARTITION BY l_id) AS ml, sum(p) OVER (PARTITION BY l_id) AS sl, sum((p > 0.5)::INT) OVER (PARTITION BY l_id) AS nl, sum((p > 0.5)::INT) OVER (PARTITION BY r_id) AS nr, CAST(rank() OVER (PARTITION BY l_id ORDER BY p DESC) AS INTEGER) AS rk FROM p)
+SELECT l_id, r_id, ml AS p_max_l, round(sl, 6) AS p_sum_l, round(p - ml, 6) AS p_gap_l, rk AS p_rank_l, CAST(nl AS BIGINT) AS p_n05_l, CAST(nr AS BIGINT) AS p_n05_r FROM m""")
+def stage_two_stats(spark, d):
+    s = C.stage_two(_prob(spark, d), "p")
+    return s.select("l_id", "r_id", "p_max_l", F.round("p_sum_l", 6).alias("p_sum_l"), F.round("p_gap_l", 6).alias("p_gap_l"), "p_rank_l", "p_n05_l", "p_n05_r")
+
+
+@query(f"""WITH {R.REC}, q AS (SELECT l_id, r_id, r_name, r_addr, 1.0::DOUBLE / (1 + levenshtein(l_name, r_name)) AS p1 FROM pairs),
+s AS (SELECT a.l_id, a.r_id, max(b.p1 * (a.r_name = b.r_name)::INT) AS m, sum(b.p1 * (a.r_name = b.r_name)::INT) AS w FROM q a JOIN q b ON a.l_id = b.l_id AND a.r_id <> b.r_id GROUP BY 1, 2), t AS (SELECT l_id, sum(p1) AS t FROM q GROUP BY l_id)
+SELECT q.l_id, q.r_id, round(coalesce(m, 0), 6) AS sup_max, round(coalesce(w, 0) / (t - p1 + 1e-6), 5) AS sup_w FROM q LEFT JOIN s ON s.l_id = q.l_id AND s.r_id = q.r_id JOIN t ON t.l_id = q.l_id""")
+def support_features(spark, d):
+    p = R.pairs(spark, d).select("l_id", "r_id", "r_name", "country", (1 / (1 + F.levenshtein("l_name", "r_name"))).alias("p1"))
+    r = p.select("l_id", "r_id", "r_name")
+    same = r.select("l_id", F.col("r_id").alias("a"), "r_name").join(r.select("l_id", F.col("r_id").alias("b"), "r_name"), ["l_id", "r_name"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("sim")).distinct()
+    return C.support(p, same).select("l_id", "r_id", F.round("sup_max", 6).alias("sup_max"), F.round("sup_w", 5).alias("sup_w"))
+
+
+# learners and reports
+
+
+@query(f"""WITH t AS (SELECT unnest({R.toks_sql('text')}) AS token, lang FROM documents), c AS (SELECT token, lang, count(*) AS c FROM t GROUP BY 1, 2),
+k AS (SELECT *, sum(c) OVER (PARTITION BY token) AS n, row_number() OVER (PARTITION BY token ORDER BY c DESC, lang) AS r FROM c) SELECT token, lang, CAST(n AS BIGINT) AS n, round(c / n, 6) AS share FROM k WHERE r = 1 AND n >= 5 AND c / n >= 0.9""")
+def mode_purity(spark, d):
+    t = R.read(spark, d, "documents").select(F.explode(R.words(F.col("text"))).alias("token"), "lang")
+    return L.learn_mapping(t, "token", "lang", 5, 0.9).withColumn("share", F.round("share", 6))
+
+
+@query(f"""WITH {R.REC}, f AS (SELECT *, string_split(l_name, ' ')[1] AS t FROM l) SELECT l_id, count(*) OVER (PARTITION BY country, l_name) AS l_name_n, count(*) OVER (PARTITION BY country, t) AS l_first_n FROM f""")
+def row_stats_left(spark, d):
+    return _stats(spark, d)[0].select(F.col("id").alias("l_id"), "l_name_n", "l_first_n")
+
+
+@query(f"""WITH {R.REC}, c AS (SELECT country, l_name, count(*) AS n FROM l GROUP BY 1, 2), v AS (SELECT DISTINCT unnest(string_split(l_name, ' ')) AS t FROM l)
+SELECT r.r_id, count(*) OVER (PARTITION BY r.country, r.r_name) AS r_name_n_r, coalesce(c.n, 0) AS r_name_n_s1, CAST(len(list_filter(list_distinct(string_split(r_name, ' ')), lambda t: NOT list_contains((SELECT list(t) FROM v), t))) AS BIGINT) AS r_oov_n, CAST(0 AS INTEGER) AS r_is_web
+FROM r LEFT JOIN c ON c.country = r.country AND c.l_name = r.r_name""")
+def row_stats_right(spark, d):
+    return _stats(spark, d)[1].select(F.col("id").alias("r_id"), "r_name_n_r", "r_name_n_s1", F.col("r_oov_n").cast("long").alias("r_oov_n"), "r_is_web")
+
+
+def _stats(spark, d):
+    left, right = R.sides(spark, d)
+    shape = lambda x, s: x.select(F.col(f"{s}_id").alias("id"), "country", F.col(f"{s}_name").alias("name"), X.tokens(F.col(f"{s}_name")).alias("toks"), F.col(f"{s}_name").alias("raw"))
+    return L.row_stats(shape(left, "l"), shape(right, "r"))
+
+
+@query()
+def trigram_llr(spark, d):
+    w = R.read(spark, d, "conversations").select("role", F.explode(R.words(F.col("text"))).alias("word")).distinct()
+    return L.trigram_scores(w.select("word"), w.filter("role = 'user'").select("word"), w.filter("role <> 'user'").select("word"))
+
+
+@query(f"""WITH {R.REC}, t AS (SELECT string_split(l_name, ' ') AS a, string_split(r_name, ' ') AS b FROM pairs), x AS (SELECT list_filter(a, lambda t: NOT list_contains(b, t)) AS a, list_filter(b, lambda t: NOT list_contains(a, t)) AS b FROM t)
+SELECT a[1] AS a, b[1] AS b, count(*) AS n FROM x WHERE len(a) = 1 AND len(b) = 1 GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 30""")
+def substitutions(spark, d):
+    return M.substitutions(R.pairs(spark, d), X.tokens(F.col("l_name")), X.tokens(F.col("r_name")))
+
+
+@query(f"WITH {R.REC}, a AS (SELECT t, count(*) AS n FROM (SELECT unnest(string_split(name, ' ')) AS t FROM rec WHERE src > 1) GROUP BY t), b AS (SELECT t, count(*) AS n FROM (SELECT unnest(string_split(name, ' ')) AS t FROM rec WHERE src = 1 AND part = '') GROUP BY t) SELECT a.t AS token, a.n AS n_right, coalesce(b.n, 0) AS n_left FROM a LEFT JOIN b ON a.t = b.t WHERE a.n >= 5 AND coalesce(b.n, 0) <= 15")
+def vocab_drift(spark, d):
+    r = R.rec(spark, d).withColumn("toks", X.tokens(F.col("name")))
+    return M.drift(r.filter("src > 1"), r.filter("src = 1 and part = ''"), "toks", 5, 15)
+
+
+@query(f"WITH {R.REC} SELECT src, country, count(*) AS n, round(avg((part <> '')::INT), 6) AS part_share, round(avg((name <> '')::INT), 6) AS name_share FROM rec GROUP BY src, country")
+def coverage_report(spark, d):
+    c = M.coverage(R.rec(spark, d), ["src", "country"], ["part", "name"])
+    return c.select("src", "country", "n", F.round("part_share", 6).alias("part_share"), F.round("name_share", 6).alias("name_share"))
+
+
+@query(f"WITH {R.REC}, q AS (SELECT *, CAST(levenshtein(l_name, r_name) AS DOUBLE) AS lev, lpart <> '' AND rpart <> '' AS k FROM pairs) SELECT country, count(*) AS n, round(avg(lev), 6) AS lev_mean, round(avg(k::INT), 6) AS part_known, round(avg(CASE WHEN k THEN (lpart = rpart)::INT END), 6) AS part_equal FROM q GROUP BY country")
+def pair_profile(spark, d):
+    p = R.pairs(spark, d).withColumn("lev", F.levenshtein("l_name", "r_name").cast("double"))
+    out = M.pair_profile(p, ["lev"], [("part", "lpart", "rpart")], ["country"])
+    return out.select("country", "n", *(F.round(c, 6).alias(c) for c in ("lev_mean", "part_known", "part_equal")))
+
+
+_PER = f"""{R.REC}, t AS (SELECT l_id, count(*) AS n_true FROM truth GROUP BY l_id), q AS (SELECT p.l_id, count(*) AS n_pred, count(t.r_id) AS tp FROM pairs p LEFT JOIN truth t ON t.l_id = p.l_id AND t.r_id = p.r_id GROUP BY p.l_id),
+m AS (SELECT l.l_id, l.country, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true, coalesce(tp, 0) AS tp FROM l LEFT JOIN q ON q.l_id = l.l_id LEFT JOIN t ON t.l_id = l.l_id),
+f AS (SELECT *, CASE WHEN n_pred = 0 AND n_true = 0 THEN 1 WHEN n_pred = 0 OR n_true = 0 THEN 0 ELSE 1.25::DOUBLE * tp / (0.25 * n_true + n_pred) END AS f05 FROM m)"""
+
+
+@query(f"WITH {_PER} SELECT country, count(*) AS n, round(avg(f05), 6) AS f05, round(sum(tp) / nullif(sum(n_pred), 0), 6) AS precision, round(sum(tp) / nullif(sum(n_true), 0), 6) AS recall, round(avg(CASE WHEN n_true = 0 THEN f05 END), 6) AS f05_single, round(avg(CASE WHEN n_true > 0 THEN f05 END), 6) AS f05_linked FROM f GROUP BY country")
+def macro_f05(spark, d):
+    left, right = R.sides(spark, d)
+    s = M.summary(M.per_record(left.select("l_id", "country"), R.pairs(spark, d), R.truth(left, right)), ["country"])
+    return s.select("country", "n", *(F.round(c, 6).alias(c) for c in ("f05", "precision", "recall", "f05_single", "f05_linked")))
+
+
+@query(f"WITH {_PER} SELECT round(avg(CASE WHEN n_true = 0 THEN 1 WHEN tp = 0 THEN 0 ELSE 1.25::DOUBLE * tp / (0.25 * n_true + tp) END), 6) AS oracle_f05 FROM f")
+def oracle_f05(spark, d):
+    left, right = R.sides(spark, d)
+    return M.oracle_f(M.per_record(left.select("l_id"), R.pairs(spark, d), R.truth(left, right))).select(F.round("oracle_f05", 6).alias("oracle_f05"))
+
+
+@query(f"WITH {_P}, s AS (SELECT p, sum(y) AS a, sum(1 - y) AS b FROM p GROUP BY p), c AS (SELECT *, coalesce(sum(b) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s) SELECT round(sum(a * (below + b / 2)) / (sum(a) * sum(b)), 6) AS auc FROM c")
+def auc_rank_sum(spark, d):
+    return M.auc(_prob(spark, d), "p", "y").select(F.round("auc", 6).alias("auc"))
+
+
+@query(f"WITH {_P}, s AS (SELECT p, sum(y) AS a, count(*) AS c FROM p GROUP BY p), c AS (SELECT a, sum(a) OVER (ORDER BY p DESC) AS tp, sum(c) OVER (ORDER BY p DESC) AS n FROM s) SELECT round(sum(a * tp / n) / sum(a), 6) AS ap FROM c")
+def average_precision(spark, d):
+    return M.average_precision(_prob(spark, d), "p", "y").select(F.round("ap", 6).alias("ap"))
+
+
+@query(f"""WITH {_P}, n AS (SELECT l_id, sum(y) AS n_true FROM p GROUP BY l_id), m AS (SELECT *, max(p) OVER (PARTITION BY l_id) AS best FROM p), g AS (SELECT unnest([0.2, 0.5, 0.8]) AS gate), h AS (SELECT unnest([0.1, 0.4, 0.8]) AS include),
+e AS (SELECT gate::DOUBLE AS gate, include::DOUBLE AS include, l_id, sum(k) AS n_pred, sum(k * y) AS tp FROM (SELECT *, (best >= gate AND (p >= include OR p = best))::INT AS k FROM m, g, h WHERE include <= gate) GROUP BY 1, 2, 3)
+SELECT gate, include, round(avg(CASE WHEN n_pred = 0 AND n_true = 0 THEN 1 WHEN n_pred = 0 OR n_true = 0 THEN 0 ELSE 1.25::DOUBLE * tp / (0.25 * n_true + n_pred) END), 6) AS f05 FROM e JOIN n USING (l_id) GROUP BY gate, include""")
+def threshold_grid(spark, d):
+    p = _prob(spark, d)
+    g = D.threshold_grid(p, p.groupBy("l_id").agg(F.sum("y").alias("n_true")), [0.2, 0.5, 0.8], [0.1, 0.4, 0.8])
+    return g.withColumn("f05", F.round("f05", 6))
+
+
+@query()
+def expected_f_select(spark, d):
+    return D.expected_f(_prob(spark, d)).filter("keep").select("l_id", "r_id", "p")
+
+
+@query(f"WITH {R.REC} SELECT n, count(*) AS records FROM (SELECT l.l_id, count(t.r_id) AS n FROM l LEFT JOIN truth t ON t.l_id = l.l_id GROUP BY l.l_id) GROUP BY n")
+def match_distribution(spark, d):
+    left, right = R.sides(spark, d)
+    return left.join(R.truth(left, right), "l_id", "left").groupBy("l_id").agg(F.count("r_id").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query(f"WITH {R.REC}, k AS (SELECT CASE WHEN r_name = '' THEN 'empty' WHEN replace(l_name, ' ', '') = replace(r_name, ' ', '') THEN 'glued' WHEN len(list_intersect(string_split(l_name, ' '), string_split(r_name, ' '))) = 0 THEN 'no shared word' ELSE 'other' END AS category FROM pairs) SELECT category, count(*) AS n FROM k GROUP BY category")
+def hard_pair_table(spark, d):
+    p = R.pairs(spark, d)
+    return p.select(M.hard_category(F.col("l_name"), F.col("r_name"), F.col("r_name"), F.lit(0)).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+# set operations, sinks
+
+
+@query(f"WITH {R.REC} SELECT country, name FROM rec WHERE src = 2 INTERSECT SELECT country, name FROM rec WHERE src = 1 EXCEPT SELECT country, name FROM rec WHERE src = 3")
+def set_operations(spark, d):
+    r = R.rec(spark, d)
+    side = lambda s: r.filter(F.col("src") == s).select("country", "name")
+    return side(2).intersect(side(1)).exceptAll(side(3).distinct())
+
+
+@query(f"WITH {R.REC} SELECT l.l_id, coalesce(string_agg(CAST(t.r_id AS VARCHAR), ',' ORDER BY CAST(t.r_id AS VARCHAR)), '') AS matched FROM l LEFT JOIN truth t ON t.l_id = l.l_id GROUP BY l.l_id")
+def list_sink(spark, d):
+    left, right = R.sides(spark, d)
+    return io.id_lists(left, R.truth(left, right), "matched")
+
+
+@query("SELECT unnest(['missing records', 'unknown records', 'repeated records', 'repeated ids', 'unknown ids', 'matches that are no candidates']) AS rule, CAST(0 AS BIGINT) AS n")
+def output_validation(spark, d):
+    left, right = R.sides(spark, d)
+    t = R.truth(left, right)
+    c = B.key_join(left.withColumn("k", F.concat_ws("|", "country", "l_name")), right.withColumn("k", F.concat_ws("|", "country", "r_name")).drop("country"), "k", 1 << 30)
+    lists = lambda x: left.select("l_id").join(x.groupBy("l_id").agg(F.collect_set("r_id").alias("ids")), "l_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    return io.violations(left, right, lists(t), lists(c))
+
+
+# models
+
+
+def _features(spark, d):
+    p = R.pairs(spark, d)
+    a, b = F.col("l_name"), F.col("r_name")
+    p = p.withColumns({"n_lev": F.levenshtein(a, b), "n_jac": S.jaccard(X.tokens(a), X.tokens(b)), "state_eq": S.equal_if_known(F.col("lpart"), F.col("rpart")), "len_n_r": F.length(b), "weight": F.lit(1.0)})
+    return B.label(p, R.truth(*R.sides(spark, d)))
+
+
+@query()
+def gbt_two_stage(spark, d):
+    from ..operators import model as G
+
+    one = ["n_lev", "n_jac", "state_eq", "len_n_r"]
+    f = _features(spark, d)
+    first = G.out_of_fold(f, G.train_folds(f, one, 2, 5, 3), one, "p1")
+    second = C.stage_two(first, "p1")
+    two = [*one, "p1", "p1_max_l", "p1_sum_l", "p1_gap_l", "p1_rank_l"]
+    return G.out_of_fold(second, G.train_folds(second, two, 2, 5, 3), two, "p2").select("l_id", "r_id", "y", "p1", "p2")
+
+
+@query()
+def isotonic_calibration(spark, d):
+    from ..operators import model as G
+
+    p = _prob(spark, d)
+    return G.calibrate(p, G.fit_isotonic(p)).select("l_id", "r_id", "p")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Blocks by TF-IDF and address key, fuses by rank, scores, makes one-to-one, and measures F0.5 by country."""
+    left, right = R.sides(spark, sf_dir)
+    ranked = _ranked(spark, sf_dir).select("l_id", "r_id", "src", "brrf")
+    named = ranked.join(left.select("l_id", "l_name"), "l_id").join(right.select("r_id", "r_name"), "r_id")
+    scored = named.withColumn("p", S.jaccard(X.tokens(F.col("l_name")), X.tokens(F.col("r_name"))))
+    kept = C.one_to_one(scored).withColumn("k", D.threshold_mask("p", 0.5, 0.5)).filter("k and p > 0")
+    return M.summary(M.per_record(left.select("l_id", "country"), kept, R.truth(left, right)), ["country"])
+
+
+query()(flagship)
