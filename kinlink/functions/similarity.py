@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .text import joined, tokens
 
@@ -84,7 +85,7 @@ def _jaro_winkler(a: str, b: str) -> float:
 
 
 def _pairwise(fn):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else fn(x, y) for x, y in zip(a, b)], dtype="float64")
 

@@ -25,8 +25,8 @@ def summary(per: DataFrame, by: list[str] | None = None) -> DataFrame:
     return per.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("f05").alias("f05"),
-        (F.sum("tp") / F.sum("n_pred")).alias("precision"),
-        (F.sum("tp") / F.sum("n_true")).alias("recall"),
+        F.try_divide(F.sum("tp"), F.sum("n_pred")).alias("precision"),
+        F.try_divide(F.sum("tp"), F.sum("n_true")).alias("recall"),
         F.avg(F.when(single, F.col("f05"))).alias("f05_single"),
         F.avg(F.when(~single, F.col("f05"))).alias("f05_linked"),
     )
@@ -58,7 +58,7 @@ def auc(df: DataFrame, score: str, y: str) -> DataFrame:
     per = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("_p"), F.sum(1 - F.col(y).cast("long")).alias("_n"))
     below = F.coalesce(F.sum("_n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     won = per.withColumn("_won", F.col("_p") * (below + F.col("_n") / 2))
-    return won.agg((F.sum("_won") / (F.sum("_p") * F.sum("_n"))).alias("auc"))
+    return won.agg(F.try_divide(F.sum("_won"), F.sum("_p") * F.sum("_n")).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
@@ -66,7 +66,7 @@ def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
     per = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_c"))
     order = Window.orderBy(F.col(score).desc())
     cum = per.select("_p", F.sum("_p").over(order).alias("_tp"), F.sum("_c").over(order).alias("_all"))
-    return cum.agg((F.sum(F.col("_p") * F.col("_tp") / F.col("_all")) / F.sum("_p")).alias("ap"))
+    return cum.agg(F.try_divide(F.sum(F.col("_p") * F.col("_tp") / F.col("_all")), F.sum("_p")).alias("ap"))
 
 
 def coverage(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:

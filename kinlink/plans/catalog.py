@@ -110,7 +110,7 @@ def leet_fix(spark, d):
     return a.unionByName(b).withColumn("fixed", X.fix_lookalikes(F.col("t")))
 
 
-@query("SELECT p_partkey, CASE WHEN w <> '' THEN w ELSE p_type END AS core FROM (SELECT p_partkey, lower(p_type) AS p_type, array_to_string(list_filter(string_split(lower(p_type) || ' ltd co of', ' '), lambda t: NOT list_contains(['inc','corp','co','ltd','pvt','of','the'], t)), ' ') AS w FROM part)")
+@query(f"SELECT p_partkey, {_squeeze('lower(p_type)')} AS core FROM part")
 def stopword_core(spark, d):
     name = X.name_parts(F.concat_ws(" ", F.col("p_type"), F.lit("Ltd Co of")), F.lower)
     return R.read(spark, d, "part").select("p_partkey", name["n_core"].alias("core"))
@@ -300,7 +300,7 @@ def rrf_rank(spark, d):
     return _ranked(spark, d).select("l_id", "r_id", "src", "brrf", "brank")
 
 
-@query(f"WITH {_FUSED}, n AS (SELECT l_id, count(*) AS n_true FROM truth GROUP BY l_id) SELECT b.l_id, b.r_id, CAST(t.r_id IS NOT NULL AS INTEGER) AS y, coalesce(n.n_true, 0) AS n_true FROM b LEFT JOIN truth t ON b.l_id = t.l_id AND b.r_id = t.r_id LEFT JOIN n ON n.l_id = b.l_id WHERE brank < 40")
+@query(f"WITH {_FUSED}, tn AS (SELECT l_id, count(*) AS n_true FROM truth GROUP BY l_id) SELECT b.l_id, b.r_id, CAST(t.r_id IS NOT NULL AS INTEGER) AS y, coalesce(tn.n_true, 0) AS n_true FROM b LEFT JOIN truth t ON b.l_id = t.l_id AND b.r_id = t.r_id LEFT JOIN tn ON tn.l_id = b.l_id WHERE brank < 40")
 def label_join(spark, d):
     return B.label(_ranked(spark, d).select("l_id", "r_id"), R.truth(*R.sides(spark, d)))
 
@@ -317,13 +317,13 @@ def recall_by_view(spark, d):
     return M.recall_by_view(R.truth(*R.sides(spark, d)), _fused(spark, d), ["v_name", "v_addr"]).withColumn("recall", F.round("recall", 6))
 
 
-@query(f"WITH {_FUSED}, c AS (SELECT unnest([1, 3, 5, 10, 20, 40]) AS cap), j AS (SELECT brank FROM truth t LEFT JOIN b ON b.l_id = t.l_id AND b.r_id = t.r_id) SELECT CAST(cap AS INTEGER) AS cap, round(avg(CASE WHEN brank < cap THEN 1.0 ELSE 0.0 END), 6) AS recall FROM j, c GROUP BY cap")
+@query(f"WITH {_FUSED}, caps AS (SELECT unnest([1, 3, 5, 10, 20, 40]) AS cap), j AS (SELECT brank FROM truth t LEFT JOIN b ON b.l_id = t.l_id AND b.r_id = t.r_id) SELECT CAST(cap AS INTEGER) AS cap, round(avg(CASE WHEN brank < cap THEN 1.0 ELSE 0.0 END), 6) AS recall FROM j, caps GROUP BY cap")
 def recall_by_cap(spark, d):
     return M.recall_by_cap(R.truth(*R.sides(spark, d)), _ranked(spark, d), [1, 3, 5, 10, 20, 40]).withColumn("recall", F.round("recall", 6))
 
 
-@query(f"""WITH {R.REC}, o AS (SELECT r_id, min(l_id) AS owner FROM truth GROUP BY r_id), x AS (SELECT r.*, o.owner, row_number() OVER (PARTITION BY country, r_addr ORDER BY r.r_id) AS n FROM r LEFT JOIN o ON o.r_id = r.r_id)
-SELECT l.l_id, x.r_id FROM l JOIN x ON l.country = x.country AND l.l_addr = x.r_addr WHERE n <= 20 AND (x.owner IS NULL OR x.owner <> l.l_id)""")
+@query(f"""WITH {R.REC}, o AS (SELECT r_id, min(l_id) AS owner FROM truth GROUP BY r_id), x AS (SELECT r.*, coalesce(o.owner, -1) AS owner, row_number() OVER (PARTITION BY country, r_addr ORDER BY r.r_id) AS n FROM r LEFT JOIN o ON o.r_id = r.r_id)
+SELECT l.l_id, x.r_id FROM l JOIN x ON l.country = x.country AND l.l_addr = x.r_addr WHERE x.n <= 20 AND x.owner <> l.l_id""")
 def hard_negatives(spark, d):
     left, right = R.sides(spark, d)
     owned = right.join(io.owners(R.truth(left, right)), "r_id", "left")
@@ -402,9 +402,9 @@ def row_stats_left(spark, d):
     return _stats(spark, d)[0].select(F.col("id").alias("l_id"), "l_name_n", "l_first_n")
 
 
-@query(f"""WITH {R.REC}, c AS (SELECT country, l_name, count(*) AS n FROM l GROUP BY 1, 2), v AS (SELECT DISTINCT unnest(string_split(l_name, ' ')) AS t FROM l)
-SELECT r.r_id, count(*) OVER (PARTITION BY r.country, r.r_name) AS r_name_n_r, coalesce(c.n, 0) AS r_name_n_s1, CAST(len(list_filter(list_distinct(string_split(r_name, ' ')), lambda t: NOT list_contains((SELECT list(t) FROM v), t))) AS BIGINT) AS r_oov_n, CAST(0 AS INTEGER) AS r_is_web
-FROM r LEFT JOIN c ON c.country = r.country AND c.l_name = r.r_name""")
+@query(f"""WITH {R.REC}, c AS (SELECT country, l_name, count(*) AS n FROM l GROUP BY 1, 2), v AS (SELECT DISTINCT unnest(string_split(l_name, ' ')) AS t FROM l), w AS (SELECT DISTINCT r_id, unnest(string_split(r_name, ' ')) AS t FROM r), o AS (SELECT w.r_id, count(*) AS n FROM w LEFT JOIN v ON v.t = w.t WHERE v.t IS NULL GROUP BY w.r_id)
+SELECT r.r_id, count(*) OVER (PARTITION BY r.country, r.r_name) AS r_name_n_r, coalesce(c.n, 0) AS r_name_n_s1, coalesce(o.n, 0) AS r_oov_n, CAST(0 AS INTEGER) AS r_is_web
+FROM r LEFT JOIN c ON c.country = r.country AND c.l_name = r.r_name LEFT JOIN o ON o.r_id = r.r_id""")
 def row_stats_right(spark, d):
     return _stats(spark, d)[1].select(F.col("id").alias("r_id"), "r_name_n_r", "r_name_n_s1", F.col("r_oov_n").cast("long").alias("r_oov_n"), "r_is_web")
 
@@ -529,7 +529,8 @@ def output_validation(spark, d):
 
 
 def _features(spark, d):
-    p = R.pairs(spark, d)
+    left, right = R.sides(spark, d)
+    p = _fused(spark, d).select("l_id", "r_id").join(left.drop("country"), "l_id").join(right.drop("country", "src"), "r_id")
     a, b = F.col("l_name"), F.col("r_name")
     p = p.withColumns({"n_lev": F.levenshtein(a, b), "n_jac": S.jaccard(X.tokens(a), X.tokens(b)), "state_eq": S.equal_if_known(F.col("lpart"), F.col("rpart")), "len_n_r": F.length(b), "weight": F.lit(1.0)})
     return B.label(p, R.truth(*R.sides(spark, d)))

@@ -34,7 +34,7 @@ def first_by(df: DataFrame, id_: str, order: list[Column]) -> DataFrame:
 
 def id_list(c: Column) -> Column:
     """Ids of a comma-separated list, stripped, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
