@@ -2,8 +2,9 @@
 
 Texts and test items are sequences of lower-cased words (letters and digits).  Seeds are
 the items' word n-grams (an item of fewer words is one seed).  One pass counts in how many
-documents each seed occurs; an item's rare seeds are those no more frequent than its median
-seed, so an item that leaked everywhere keeps its seeds, and every item keeps at least half.
+documents each seed occurs.  Rare seeds are those in at most a thousandth of the documents, and
+of any ``near`` seeds in a row of an item the rarest: so an item that leaked everywhere, or
+in part, keeps seeds in each of its parts.
 A second pass aligns an item with the window of a document around each rare seed they share,
 by local alignment (match 2, mismatch -1, gap -1); the score is a share of a perfect match.
 A window that holds too few of the item's words to pass is not aligned; that loses nothing.
@@ -62,13 +63,18 @@ class Items:
         self.short = sorted({len(w) for w in words if 0 < len(w) < n})
         self.active = np.ones(len(self.item), bool)
 
-    def keep_rare(self, count: np.ndarray) -> None:
-        """Switches off seeds above the median frequency of their item."""
-        c = count[self.seed_of]
-        median = np.zeros(len(self.ids))
-        for i in np.unique(self.item):
-            median[i] = np.median(c[self.item == i])
-        self.active = c <= median[self.item]
+    def keep_rare(self, count: np.ndarray, documents: int, share: float = 1e-3, near: int = 4) -> None:
+        """Switches off seeds that are frequent and not the rarest of ``near`` neighbours."""
+        order = np.lexsort((self.place, self.item))
+        c, item = count[self.seed_of][order], self.item[order]
+        rare = c <= max(2.0, share * documents)
+        for i in np.unique(item):
+            own = np.flatnonzero(item == i)
+            for a in range(max(1, len(own) - near + 1)):
+                run = own[a : a + near]
+                rare[run[c[run] == c[run].min()]] = True
+        self.active = np.empty(len(order), bool)
+        self.active[order] = rare
 
     def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a text's words, and the seed found at each."""
@@ -166,8 +172,9 @@ def mark(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 3, lea
         sent = spark.sparkContext.broadcast(items)
 
         def count(batches, sent=sent):
-            total = np.zeros(len(sent.value.seeds), np.int64)
+            total, rows = np.zeros(len(sent.value.seeds), np.int64), 0
             for batch in batches:
+                rows += batch.num_rows
                 for part in slices(batch, "text"):
                     h, off = _words(part.column("text"))
                     _, found = zip(*(sent.value.find(h[a:b]) for a, b in zip(off, off[1:]))) if part.num_rows else ((), ())
@@ -175,13 +182,13 @@ def mark(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 3, lea
                         if len(f):
                             total[np.unique(f)] += 1
             hit = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], names=["seed", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, hit].astype(np.int32)), pa.array(np.r_[rows, total[hit]])], names=["seed", "c"])
 
         counted = docs.select("text").mapInArrow(count, "seed int, c long").groupBy("seed").agg(F.sum("c").alias("c")).collect()  # at most a row for each seed of the chunk
-        frequency = np.zeros(len(items.seeds), np.int64)
+        frequency = np.zeros(len(items.seeds) + 1, np.int64)
         for r in counted:
-            frequency[r.seed] = r.c
-        items.keep_rare(frequency)
+            frequency[r.seed] = r.c  # the last holds the number of documents
+        items.keep_rare(frequency[:-1], int(frequency[-1]))
         ready = spark.sparkContext.broadcast(items)
 
         def find(batches, ready=ready):

@@ -151,12 +151,11 @@ def learn(pages: list[str], least: float = 0.5) -> dict[str, float]:
         for kind, text, a in found:
             if not _hidden(kind):
                 (inside if a else outside)[kind] += len(text.split()) if text else 1
-    n, m = sum(inside.values()) + 1, sum(outside.values()) + 1
     weights = dict(START)
     for kind in {*inside, *outside}:
-        odds = math.log((inside[kind] + least) / n) - math.log((outside[kind] + least) / m)
+        odds = math.log((inside[kind] + least) / (outside[kind] + least))
         # words speak for content and tags against it, more or less so as the pages say
-        weights[kind] = max(0.2, min(odds, 3.0)) if kind == "word" else max(-4.0, min(odds - 1.0, -0.1))
+        weights[kind] = max(0.5, min(odds, 3.0)) if kind == "word" else max(-4.0, min(odds, -0.1))
     return weights
 
 
