@@ -209,8 +209,10 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 def fit(pages: DataFrame, sample: int = 1000, seed: int = 5) -> dict[str, float]:
     """Weights from at most ``sample`` pages in hash order, read by the driver."""
-    few = pages.filter(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html", F.xxhash64("url", "html", F.lit(seed)).alias("h")).orderBy("h", "html").limit(sample)
-    return learn([r.html for r in few.collect()])
+    marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html", F.xxhash64("url", "html", F.lit(seed)).alias("h"))
+    least = [r.h for r in marked.select("h").distinct().orderBy("h").limit(sample).collect()]  # hashes only: no task sends pages that are not in the sample
+    few = marked.filter(F.col("h") <= least[-1]).dropDuplicates(["h"]).orderBy("h").collect() if least else []
+    return learn([r.html for r in few])
 
 
 def extract_pages(spark: SparkSession, pages: DataFrame, weights: dict[str, float]) -> DataFrame:
