@@ -155,8 +155,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, may_learn: Colu
     if not chosen:
         return train([])
     few = F.broadcast(spark.createDataFrame([(r.doc_id, int(r.y)) for r in chosen], "doc_id long, y int"))  # bounded by `sample`
-    bags = docs.select("doc_id", "text").join(few, "doc_id").select("y", "text").mapInArrow(_featurise, "y int, f binary, n binary").collect()
-    return train([(r.y, np.frombuffer(r.f, np.int32), np.frombuffer(r.n, np.int32)) for r in sorted(bags, key=lambda r: (r.y, r.f))])
+    bags = docs.select("doc_id", "text").join(few, "doc_id").select("y", "text").mapInArrow(_featurise, "y int, f binary, n binary")
+    # one task trains on the bounded sample, so that the driver holds weights only
+    got = bags.groupBy(F.lit(1).alias("all")).applyInArrow(_train_table, "words binary, weights binary, bias double").first()
+    return (np.frombuffer(got.words, np.int64), np.frombuffer(got.weights, np.float32), got.bias) if got else train([])
+
+
+def _train_table(table: pa.Table) -> pa.Table:
+    rows = sorted(zip(table["y"].to_pylist(), table["f"].to_pylist(), table["n"].to_pylist()))
+    words, weights, bias = train([(y, np.frombuffer(f, np.int32), np.frombuffer(n, np.int32)) for y, f, n in rows])
+    return pa.table({"words": [words.astype(np.int64).tobytes()], "weights": [weights.tobytes()], "bias": [float(bias)]})
 
 
 def score(spark: SparkSession, docs: DataFrame, weights: Weights, threshold: float = 0.7) -> DataFrame:
