@@ -76,3 +76,36 @@ def threshold_grid(pairs: DataFrame, truth_counts: DataFrame, gates: list[float]
     rest = without.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum((F.col("n_true") == 0).cast("double")), F.lit(0.0)).alias("_f"))
     sums = per.groupBy("gate", "include").agg(F.sum(f_beta("tp", "n_pred", "n_true")).alias("_s"), F.count(F.lit(1)).alias("_m"))
     return sums.join(F.broadcast(rest), how="cross").select("gate", "include", ((F.col("_s") + F.col("_f")) / (F.col("_m") + F.col("_n"))).alias("f05"))  # one row
+
+
+def choose_rule(pairs: DataFrame, truth_counts: DataFrame, gates: list[float] | None = None, includes: list[float] | None = None) -> dict:
+    """The rule of largest macro F0.5: thresholds or expected F, with or without one-to-one first; the first of equal ones.
+
+    pairs: l_id, r_id, p, y; truth_counts: l_id, n_true of every left record.
+    """
+    from .competition import one_to_one
+    from .metrics import f_beta
+
+    gates = gates or [round(0.2 + 0.05 * i, 2) for i in range(15)]
+    includes = includes or [round(0.1 + 0.05 * i, 2) for i in range(17)]
+    best: dict = {"f05": -1.0}
+    for single in (False, True):
+        own = one_to_one(pairs) if single else pairs
+        g = threshold_grid(own, truth_counts, gates, includes).orderBy(F.col("f05").desc(), "gate", "include").first()
+        if g and g.f05 > best["f05"]:
+            best = {"rule": "threshold", "one_to_one": single, "gate": g.gate, "include": g.include, "f05": g.f05}
+        per = expected_f(own.select("l_id", "r_id", "p", "y")).groupBy("l_id").agg(F.sum(F.col("keep").cast("int")).alias("n_pred"), F.sum(F.col("keep").cast("int") * F.col("y")).alias("tp"))
+        e = truth_counts.join(per, "l_id", "left").fillna(0, ["n_pred", "tp"]).agg(F.avg(f_beta("tp", "n_pred", "n_true"))).first()[0]
+        if e is not None and e > best["f05"]:
+            best = {"rule": "expected", "one_to_one": single, "f05": e}
+    return best
+
+
+def apply_rule(pairs: DataFrame, rule: dict) -> DataFrame:
+    """(l_id, r_id) that a rule of choose_rule keeps."""
+    from .competition import one_to_one
+
+    own = one_to_one(pairs) if rule["one_to_one"] else pairs
+    if rule["rule"] == "expected":
+        return expected_f(own.select("l_id", "r_id", "p")).filter("keep").select("l_id", "r_id")
+    return own.withColumn("_k", threshold_mask("p", rule["gate"], rule["include"])).filter("_k and p > 0").select("l_id", "r_id")

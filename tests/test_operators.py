@@ -121,3 +121,68 @@ def test_auc(spark):
     pos, neg = [x for x, y in rows if y], [x for x, y in rows if not y]
     expected = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
     assert abs(M.auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first().auc - expected) < 1e-9
+
+
+def test_variants(spark):
+    from kinlink.functions import variants as V
+
+    rows = [
+        ("Quoavi Co doing business as Asset Building Committee", "315 80th Street, Chicago, IL", "US"),
+        ("wilford-hancock.com", "Mack Rd, Haltom City, Texas", "US"),
+        ("Europ & Frères Distribution S.A.", "(41) Rue Des Thuyas, Lège-cap-ferret, Gironde", "France"),
+        (None, "NULL", "France"),
+        ("Lawrence C0mpany", "JD-36B, near park, PITAMPURA, NEW DELHI 110034", "India"),
+    ]
+    got = V.normalize(spark.createDataFrame(rows, "business_name string, business_address string, country string")).collect()
+    a, b, c, d, e = got
+    assert (a.name_core, a.has_alias, a.name_alts, a.legal, a.state) == ("quoavi", True, "asset building committee", "co", "il")
+    assert (b.is_web, b.name_core, b.state) == (True, "wilford hancock", "tx")
+    assert (c.region, c.nums, c.legal, c.name_strict) == ("gironde", "41", "sa", "europ distribution")
+    assert (d.name, d.addr_missing, d.acronym) == ("", True, "")
+    assert (e.postcode, e.state, e.legal, e.has_landmark) == ("110034", "dl", "co", True)
+
+
+def test_partition_key(spark):
+    from pyspark.sql import functions as F
+
+    from kinlink.functions import variants as V
+
+    rows = [("france", "", "1 Rue X, Lille, Nord"), ("france", "", "1 Rue X, Rennes"), ("india", "tg", ""), ("us", "tx", "")]
+    df = spark.createDataFrame(rows, "c string, s string, a string")
+    got = [r.k for r in df.select(V.partition_key(F.col("c"), F.col("s"), V.region_parts(F.col("a")), {"rennes": "bre"}).alias("k")).collect()]
+    assert got == ["hdf", "bre", "tg_ap", "tx"]
+
+
+def test_pair_features(spark):
+    from pyspark.sql import functions as F
+
+    from kinlink.functions import text as X
+    from kinlink.operators import features as P
+
+    rows = [("1", "Cabrera Secure Sciences", "165 Barren River Drive, Erlanger, KY", "US"), ("2", "Cabrera 5ecure Sciences LP", "165 BARREN RIVER DR, ERLANGER KY, KY", "US"), ("3", "", "", "US")]
+    n = X.normalize(spark.createDataFrame(rows, "id string, business_name string, business_address string, country string"))
+    left, right = n.filter("id = '1'").withColumnRenamed("id", "l_id"), n.filter("id <> '1'").withColumnRenamed("id", "r_id").withColumn("src", F.lit(2))
+    idf = lambda c: B.idf(n, "id", X.tokens(F.col(c)))
+    pairs = spark.createDataFrame([("1", "2"), ("1", "3")], "l_id string, r_id string").withColumn("cos_v_name_c", F.lit(1.0))
+    got = {r.r_id: r for r in P.with_competition(P.pair_features(pairs, left, right, idf("n_core"), idf("a_words"))).collect()}
+    assert got["2"].n_ratio == 100 and got["2"].state_eq == 1 and got["2"].num_first_eq == 1 and abs(got["2"].n_idf_jac - 1) < 1e-9
+    assert got["3"].n_ratio is None and got["3"].a_tset is None and got["3"].state_eq == -1 and got["3"].n_cand == 2
+
+
+def test_link_stream(spark, tmp_path):
+    from kinlink.streaming.incremental import link_stream
+
+    spark.createDataFrame([(10, "a"), (11, "b")], "r_id long, key string").write.parquet(str(tmp_path / "in"))
+    master = spark.createDataFrame([(1, "a"), (2, "c")], "l_id long, key string")
+    arriving = spark.readStream.schema("r_id long, key string").parquet(str(tmp_path / "in"))
+    link_stream(spark, arriving, master, "key", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [(r.l_id, r.r_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 10)]
+
+
+def test_choose_rule(spark):
+    rows = [(1, 1, 0.9, 1), (1, 2, 0.6, 1), (1, 3, 0.2, 0), (2, 1, 0.5, 0), (2, 4, 0.4, 0), (3, 5, 0.95, 1)]
+    pairs = spark.createDataFrame(rows, "l_id long, r_id long, p double, y int")
+    counts = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "l_id long, n_true long")
+    rule = D.choose_rule(pairs, counts, [0.3, 0.55], [0.3, 0.55])
+    assert rule["f05"] == 1.0
+    assert sorted(map(tuple, D.apply_rule(pairs, rule).collect())) == [(1, 1), (1, 2), (3, 5)]
