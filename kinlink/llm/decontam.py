@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word n-gram seeds, then Smith-Waterman alignment.
 
 Texts and test items are sequences of lower-cased words (letters and digits).  Seeds are
-the items' word n-grams (an item of fewer words is one seed).  One pass counts in how many
-documents each seed occurs.  Rare seeds are those in at most a thousandth of the documents, and
-of any ``near`` seeds in a row of an item the rarest: so an item that leaked everywhere, or
-in part, keeps seeds in each of its parts.
-A second pass aligns an item with the window of a document around each rare seed they share,
-by local alignment (match 2, mismatch -1, gap -1); the score is a share of a perfect match.
-A window that holds too few of the item's words to pass is not aligned; that loses nothing.
-
-Items are taken in chunks of at most ``chunk`` bytes, one broadcast and two passes for each,
+the items' word n-grams (an item of fewer words is one seed).  Every seed found in a document
+counts, however frequent it is: which ones an edit destroyed differs from copy to copy, so
+no choice made over the corpus can tell which of them a copy still holds.
+An item is aligned with the windows of a document around the seeds they share, by local
+alignment (match 2, mismatch -1, gap -1); the score is a share of a perfect match.
+Items of which the document, and then the window, holds too few words to pass are not
+aligned; that loses nothing and is what keeps frequent seeds cheap.
+
+Items are taken in chunks of at most ``chunk`` bytes, one broadcast and one pass for each,
 so what is broadcast is bounded however large the benchmark is.
 
 Cases.  Null or empty texts and items: no words, no leak.  Repeated items are each
@@ -59,22 +59,20 @@ class Items:
         place = np.concatenate([*(np.arange(len(x)) for x in own), np.zeros(0, np.int64)])
         order = np.argsort(at, kind="stable")
         self.item, self.place, self.first = item[order], place[order], np.r_[0, np.cumsum(np.bincount(at, minlength=len(self.seeds)))]
-        self.seed_of = at[order]
         self.short = sorted({len(w) for w in words if 0 < len(w) < n})
-        self.active = np.ones(len(self.item), bool)
-
-    def keep_rare(self, count: np.ndarray, documents: int, share: float = 1e-3, near: int = 4) -> None:
-        """Switches off seeds that are frequent and not the rarest of ``near`` neighbours."""
-        order = np.lexsort((self.place, self.item))
-        c, item = count[self.seed_of][order], self.item[order]
-        rare = c <= max(2.0, share * documents)
-        for i in np.unique(item):
-            own = np.flatnonzero(item == i)
-            for a in range(max(1, len(own) - near + 1)):
-                run = own[a : a + near]
-                rare[run[c[run] == c[run].min()]] = True
-        self.active = np.empty(len(order), bool)
-        self.active[order] = rare
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.begin = np.r_[0, np.cumsum(self.size)]
+        self.vocabulary, self.word = np.unique(np.concatenate([*words, np.zeros(0, _U)]), return_inverse=True)
+
+    def may_pass(self, w: np.ndarray, item: np.ndarray, least: float) -> np.ndarray:
+        """Those of ``item`` of whose words a text holds enough for an alignment to pass."""
+        at = np.minimum(np.searchsorted(self.vocabulary, w), len(self.vocabulary) - 1)
+        held = np.zeros(len(self.vocabulary), bool)
+        held[at[self.vocabulary[at] == w]] = True
+        n = self.size[item]
+        first = np.cumsum(n) - n
+        word = np.repeat(self.begin[item] - first, n) + np.arange(n.sum())
+        return item[np.add.reduceat(held[self.word[word]].astype(np.int64), first) >= least * n]
 
     def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a text's words, and the seed found at each."""
@@ -116,16 +114,16 @@ def leaks(w: np.ndarray, items: Items, least: float) -> list[dict]:
     n = items.first[found + 1] - items.first[found]
     posting = np.repeat(items.first[found] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
     at = np.repeat(places, n)
-    use = items.active[posting]
-    at, posting = at[use], posting[use]
+    item, begin = items.item[posting], at - items.place[posting]
+    order = np.lexsort((begin, item))
+    item, begin = item[order], begin[order]
     out = []
-    item = items.item[posting]
-    for i in np.unique(item):
+    for i in items.may_pass(w, np.unique(item), least):
         own = items.words[i]
         m, slack = len(own), len(items.words[i]) // 4 + 5
-        begin = np.sort(at[item == i] - items.place[posting[item == i]])
         best = (0, 0, 0)
-        runs = np.split(begin, np.flatnonzero(np.diff(begin) > m + 2 * slack) + 1)
+        mine = begin[np.searchsorted(item, i) : np.searchsorted(item, i, side="right")]
+        runs = np.split(mine, np.flatnonzero(np.diff(mine) > m + 2 * slack) + 1)
         for run in runs:
             a, b = max(0, int(run[0]) - slack), min(len(w), int(run[-1]) + m + slack)
             if np.isin(own, w[a:b]).sum() < least * m:
@@ -171,31 +169,11 @@ def mark(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 3, lea
     for items in _chunks(bench, n, chunk):
         sent = spark.sparkContext.broadcast(items)
 
-        def count(batches, sent=sent):
-            total, rows = np.zeros(len(sent.value.seeds), np.int64), 0
+        def find(batches, sent=sent):
             for batch in batches:
-                rows += batch.num_rows
                 for part in slices(batch, "text"):
                     h, off = _words(part.column("text"))
-                    _, found = zip(*(sent.value.find(h[a:b]) for a, b in zip(off, off[1:]))) if part.num_rows else ((), ())
-                    for f in found:
-                        if len(f):
-                            total[np.unique(f)] += 1
-            hit = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, hit].astype(np.int32)), pa.array(np.r_[rows, total[hit]])], names=["seed", "c"])
-
-        counted = docs.select("text").mapInArrow(count, "seed int, c long").groupBy("seed").agg(F.sum("c").alias("c")).collect()  # at most a row for each seed of the chunk
-        frequency = np.zeros(len(items.seeds) + 1, np.int64)
-        for r in counted:
-            frequency[r.seed] = r.c  # the last holds the number of documents
-        items.keep_rare(frequency[:-1], int(frequency[-1]))
-        ready = spark.sparkContext.broadcast(items)
-
-        def find(batches, ready=ready):
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    h, off = _words(part.column("text"))
-                    found = [(old or []) + leaks(h[a:b], ready.value, least) for old, a, b in zip(part.column("_leaks").to_pylist(), off, off[1:])]
+                    found = [(old or []) + leaks(h[a:b], sent.value, least) for old, a, b in zip(part.column("_leaks").to_pylist(), off, off[1:])]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "_leaks"), pa.array(found, part.schema.field("_leaks").type)], names=[c for c in part.schema.names if c != "_leaks"] + ["_leaks"])
 
         out = out.mapInArrow(find, f"{fields}, _leaks {typed}")

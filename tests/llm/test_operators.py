@@ -257,6 +257,21 @@ def test_decontamination(spark, odd_texts):
     assert decontam.mark(spark, make_docs(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("step", [4, 5, 6])
+def test_decontamination_finds_many_edited_copies(spark, step):
+    """Copies with every step-th word changed, in far more than a thousandth of the documents."""
+    rng = random.Random(step)
+    items = [prose(rng, n) for n in (18, 24, 38)]
+    rows = [(i, prose(rng, 60)) for i in range(100)]
+    for i in range(30):
+        words = items[i % 3].split()
+        words[step - 1 :: step] = [f"changed{i}x{k}" for k in range(len(words) // step)]
+        rows.append((1000 + i, prose(rng, 30) + " " + " ".join(words) + " " + prose(rng, 30)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {r.doc_id: [x.item_id for x in r._leaks] for r in decontam.mark(spark, make_docs(spark, rows), bench).collect()}
+    assert found == {i: [(i - 1000) % 3] if i >= 1000 else [] for i, _ in rows}
+
+
 def test_alignment_matches_dynamic_programme():
     rng = random.Random(1)
     for _ in range(100):
