@@ -157,6 +157,32 @@ def test_topk_matches_brute_force(spark):
     assert topk.search(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_takes_all_rows_and_wide_components(spark, tmp_path):
+    """The registered query: rows that share a vec_id all take part, and nothing is clipped."""
+    rng = np.random.default_rng(5)
+    rows = [(i % 41, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(90)]
+    rows += [(100, [4e5, -1e6, 0.5, 0.0, 3e7, 1.0]), (101, [-7e5, 2e6, 0.0, 1.0, 1e7, 2.0]), (102, [2e9] + [0.0] * 5), (20, rows[20][1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = collections.defaultdict(list)
+    for r in topk.op3_topk(spark, str(tmp_path)).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    q = [[math.floor(64 * x) for x in v] for _, v in rows]
+    expected = collections.defaultdict(list)
+    for a, (i, _) in enumerate(rows):
+        if i % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(q[a], q[b])), j) for b, (j, _) in enumerate(rows) if a != b)[:20]
+            expected[i] += [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in expected.items()}
+
+
+@pytest.mark.parametrize("large", [1e30, 5e8])
+def test_topk_says_when_a_score_overflows(spark, tmp_path, large):
+    rows = [(20, [large, 1.0]), (21, [large, 2.0]), (22, [1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.op3_topk(spark, str(tmp_path)).collect()
+
+
 def test_mixing(spark, odd_texts):
     rng = random.Random(2)
     rows = odd_texts + [(2000 + i, prose(rng, rng.randrange(1, 60))) for i in range(200)]
