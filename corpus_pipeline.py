@@ -5,8 +5,8 @@ returns a DataFrame with the columns of documents; the last returns the mix.  St
 written and read again between each other.
 
 Cases.  Null doc_id: kept by the near-duplicate stage, and mixed like any other row.  Null
-text: not toxic, no duplicate, nothing removed, no leak, size 0.  Rows that repeat a
-doc_id: the near-duplicate stage keeps one.  Empty table: empty results.  Columns beyond
+text: not toxic, no duplicate, nothing removed, no leak, size 0.  Rows that share a
+doc_id: taken each by its text; only near-duplicates go.  Empty table: empty results.  Columns beyond
 those of documents are carried by all stages but the last.
 """
 
@@ -25,10 +25,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): the one of the smallest id."""
-    gone = minhash.near_duplicates(spark, docs, percent=80).filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    """One row of each group of near-duplicates (five words, 0.8): the one of the smallest id.
+
+    Rows are told apart by a key of their own, so texts that share a doc_id are taken each.
+    """
+    rows = common.stage(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    named = rows.filter("doc_id is not null")
+    found = minhash.near_duplicates(spark, named.select(F.col("_row").alias("doc_id"), "text"), percent=80)
+    found = common.stage(spark, found.select(F.col("doc_id").alias("_row"), "component_id", "kept"), "pipeline-found")
+    groups = found.filter("not kept").select("component_id").distinct()
+    grouped = found.join(groups.hint("merge"), "component_id", "left_semi")
+    order = F.struct("doc_id", F.xxhash64("text").alias("h"), "_row")
+    grouped = grouped.join(named.select("_row", order.alias("o")).hint("merge"), "_row")
+    first = grouped.groupBy("component_id").agg(F.min("o")["_row"].alias("_row")).select("_row")
+    gone = grouped.select("_row").join(first.hint("merge"), "_row", "left_anti")
+    return rows.join(gone.hint("merge"), "_row", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

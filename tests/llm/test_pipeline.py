@@ -1,7 +1,9 @@
+import random
+
 import corpus_pipeline as P
 from kinlink.llm import common, registry
 
-from .test_operators import cover
+from .test_operators import cover, make_docs, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +27,16 @@ def test_stages(spark):
     assert P.run(spark, SF).count() == kept[-1]
 
 
+def test_near_duplicates_keep_texts_that_share_an_id(spark):
+    rng = random.Random(14)
+    a, b, c, *own = (prose(rng, 60) for _ in range(20))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, b), (0, near), (2, c), (2, c), (5, b), (None, a)] + [(7, t) for t in own] + [(8, None), (8, "")]
+    got = P.drop_near_duplicates(spark, make_docs(spark, rows), SF).select("doc_id", "text").collect()
+    expected = [(0, near), (1, b), (2, c), (None, a)] + [(7, t) for t in own] + [(8, None), (8, "")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+
+
 def test_empty(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         common.table(spark, SF, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
