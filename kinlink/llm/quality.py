@@ -29,6 +29,19 @@ from .bytesops import buffer_of, combine, lower_ascii, prefix_hash, span_hash, s
 N_FEATURES = 14
 
 
+def distinct_share(w: np.ndarray, window: int = 200) -> float:
+    """Mean share of distinct words over all runs of ``window`` words (fewer words: over all of them)."""
+    k, m = len(w), min(len(w), window)
+    order = np.argsort(w, kind="stable")
+    same = w[order[1:]] == w[order[:-1]]
+    before = np.full(k, -1)  # where each word was last
+    before[order[1:][same]] = order[:-1][same]
+    at = np.arange(k)
+    # a place counts in the runs that hold it but not the one before
+    runs = np.minimum(at, k - m) - np.maximum(np.maximum(0, at - m + 1), before + 1) + 1
+    return float(np.maximum(runs, 0).sum() / ((k - m + 1) * m))
+
+
 def features(raw: np.ndarray) -> np.ndarray:
     """Shape of one text, from its bytes."""
     out = np.zeros(N_FEATURES)
@@ -50,9 +63,8 @@ def features(raw: np.ndarray) -> np.ndarray:
     full = spans[1] > spans[0]
     line = span_hash(prefix_hash(raw), spans[0][full], spans[1][full])
     pairs = combine([w[:-1], w[1:]]) if k > 1 else w
-    m = min(k, 200)
     out[:] = (
-        np.log1p(k), n / k, upper.sum() / n, mark.sum() / n, digit.sum() / n, len(np.unique(w[:m])) / m, count.max() / k, 1 - len(np.unique(line)) / max(1, len(line)),
+        np.log1p(k), n / k, upper.sum() / n, mark.sum() / n, digit.sum() / n, distinct_share(w), count.max() / k, 1 - len(np.unique(line)) / max(1, len(line)),
         (raw == 33).sum() / k, (w[1:] == w[:-1]).mean() if k > 1 else 0, 1 - len(np.unique(pairs)) / len(pairs), ((raw == 124) | (raw == 123) | (raw == 60) | (raw == 35) | (raw == 95) | (raw == 61)).sum() / n, np.log1p(n / max(1, len(line))), (count == 1).sum() / k,
     )
     return out

@@ -325,6 +325,17 @@ def test_quality(spark, odd_texts):
     assert quality.posterior(spark, make_docs(spark, []), model, "source", "lang").count() == 0
 
 
+def test_quality_reads_distinct_words_of_whole_texts():
+    rng = random.Random(15)
+    clean = [f"w{i}" for i in range(200)]
+    share = lambda words: quality.features(np.frombuffer(" ".join(words).encode(), np.uint8))[5]
+    assert share(clean) == 1 and share(clean + ["buy"] * 400) < 0.6
+    for n in (1, 2, 199, 200, 201, 650):
+        words = [rng.choice(clean[:90]) for _ in range(n)]
+        runs = [words[i : i + 200] for i in range(max(1, n - 199))]
+        assert abs(share(words) - sum(len(set(r)) / len(r) for r in runs) / len(runs)) < 1e-12
+
+
 def test_quality_shrinks_sparse_groups(spark):
     sums = spark.createDataFrame([("a", 1000, 100.0, 60.0), ("b", 1000, 900.0, 850.0), ("c", 1, 1.0, 1.0)], "g string, n long, s double, ss double")
     got = {r.g: r["mean"] for r in quality.shrink(sums, ["g"], F.lit(0.5)).collect()}
