@@ -41,32 +41,70 @@ def shingle_set(t, k=5):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else (frozenset([tuple(w)]) if w else frozenset())
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_minhash_matches_brute_force(spark, percent):
-    rng = random.Random(percent)
-    texts = []
-    for _ in range(40):
-        base = prose(rng, rng.randrange(20, 150)).split()
-        for _ in range(rng.randrange(1, 6)):
-            copy = list(base)
-            for _ in range(rng.randrange(0, 4)):
-                copy[rng.randrange(len(copy))] = "edit" + str(rng.randrange(9))
-            texts.append(" ".join(copy))
-    docs = make_docs(spark, list(enumerate(texts)))
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark, docs, percent=percent).collect()}
-    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+def components_of(sets, percent):
+    """Brute force: the least index reachable over links."""
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(texts)):
+    for i in range(len(sets)):
         for j in range(i):
-            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(texts))}
+    return [find(i) for i in range(len(sets))]
+
+
+def edited(rng, base, edits, words):
+    copy = list(base)
+    for _ in range(edits):
+        copy[rng.randrange(len(copy))] = "edit" + str(rng.randrange(words))
+    return " ".join(copy)
+
+
+def texts_with_copies(rng):
+    for _ in range(40):
+        base = prose(rng, rng.randrange(20, 150)).split()
+        for _ in range(rng.randrange(1, 6)):
+            yield edited(rng, base, rng.randrange(0, 4), 9)
+
+
+def texts_under_the_threshold(rng):
+    """Large groups whose members mostly lie just under the threshold, so that stars leave much to do."""
+    for n in (40, 60, 90):
+        base = prose(rng, n).split()
+        for _ in range(60):
+            yield edited(rng, base, 1 + n // 30, 40)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("make", [texts_with_copies, texts_under_the_threshold])
+def test_minhash_matches_brute_force(spark, make, percent):
+    texts = list(make(random.Random(percent)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark, make_docs(spark, list(enumerate(texts))), percent=percent).collect()}
+    sets = [shingle_set(t) for t in texts]
+    assert got == {i: (len(sets[i]), c, c == i) for i, c in enumerate(components_of(sets, percent))}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_meetings_lose_no_link(spark, percent):
+    sets = [shingle_set(t) for t in texts_under_the_threshold(random.Random(percent + 1))]
+    number = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    full = spark.createDataFrame([(i, [number[x] for x in s]) for i, s in enumerate(sets)], "id long, s array<long>")
+    met = {(r.u, r.v) for r in minhash.meetings(full, spark.range(len(sets)).select("id", F.col("id").alias("c")), percent).collect()}
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    assert linked <= met and len(met) < 60 * 59 / 2
+
+
+def test_minhash_takes_texts_that_share_an_id_each(spark):
+    rng = random.Random(21)
+    a, b = prose(rng, 40), prose(rng, 40)
+    rows = [(5, a), (5, b), (5, a), (7, a.replace(a.split()[0], "other", 1)), (9, b), (9, b)]
+    got = [(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark, make_docs(spark, rows), percent=85).collect()]
+    assert sorted(got) == [(5, 5), (5, 5), (5, 5), (7, 5), (9, 5), (9, 5)]
 
 
 def test_minhash_odd(spark, odd_texts):
