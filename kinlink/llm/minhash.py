@@ -198,7 +198,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
     if not more.isEmpty():
         part = graph.components(spark, links.unionByName(more))
     names = classes.select("id", "doc_id").join(part.hint("merge"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = classes.select("id", "doc_id", "d1", "d2").join(part.hint("merge"), "id", "left").join(names.hint("merge"), "component", "left")
+    linked = part.join(names.hint("merge"), "component").select("id", "least")
+    named = classes.select("id", "doc_id", "d1", "d2").join(linked.hint("merge"), "id", "left")
     named = named.select("d1", "d2", F.coalesce("least", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "n", "d1", "d2").join(named.hint("merge"), ["d1", "d2"], "left")
     out = out.withColumn("component_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
