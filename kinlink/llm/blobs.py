@@ -36,6 +36,18 @@ def ints(b: bytes, ordered: bool = False) -> np.ndarray:
     return unpack(b, ordered).astype(np.int64)
 
 
+def bundle(*arrays: np.ndarray, ordered: np.ndarray | None = None) -> bytes:
+    """Several arrays of non-negative integers in one value; an ordered one comes last."""
+    parts = [pack(a) for a in arrays] + ([pack(ordered, True)] if ordered is not None else [])
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def unbundle(b: bytes, ordered: bool = False) -> list[np.ndarray]:
+    n = int(np.frombuffer(b[:8], np.int64)[0])
+    ends = 8 * (n + 1) + np.r_[0, np.cumsum(np.frombuffer(b[8 : 8 * (n + 1)], np.int64))]
+    return [ints(b[x:y], ordered and k == n - 1) for k, (x, y) in enumerate(zip(ends[:-1], ends[1:]))]
+
+
 def place(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 

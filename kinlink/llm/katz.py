@@ -1,24 +1,34 @@
-"""Language-model scoring: a Katz back-off bigram model with Good-Turing discounts.
+"""Language-model scoring: a Katz back-off model with Good-Turing discounts.
 
-Tokens are lower-cased words and one end; the first token of a text follows a start.
+Tokens are lower-cased words and one end; a text is preceded by starts.  With h the last
+``order`` - 1 tokens and h' = h without its first,
 
-    P(w | h) = d(c) * c(h, w) / c(h)      if c = c(h, w) >= ``cutoff``
-             = alpha(h) * P(w)            otherwise
-    P(w)     = d1(c(w)) * c(w) / N        if w is known
-             = what is left               for the one unknown word
+    P(w | h) = d(c) * c(h, w) / c(h)    if the training rows hold h, w
+             = alpha(h) * P(w | h')     if they hold h, but not with w
+             = P(w | h')                otherwise
+    P(w)     = d(c) * c(w) / N          if w is known
+             = what is left / U         for each of U unknown words
 
-d are Katz' Good-Turing discounts (counts over ``top`` are taken as they are), bigrams seen
-fewer than ``cutoff`` times count as unseen, as Katz proposes, and alpha makes every history's
-probabilities sum to exactly 1 over the known words and the unknown one.  If a history's
-counts are all too large to be discounted, one more count is set aside for what is unseen.
+d are Katz' Good-Turing discounts of each order (counts over ``top`` are taken as they are; none
+is cut off), and alpha makes the probabilities after every history sum to exactly 1 over the
+known words and the U unknown ones.  U is Chao's estimate of the words not seen yet, from those
+seen once and twice, so an unknown word isn't credited with what all of them have together.  If a
+history's counts are all too large to be discounted, one more count is set aside for the unseen.
 
 How it runs.  Texts are packed into blocks of about ``block`` bytes: sorted distinct word
-hashes and the tokens as positions in them, staged once.  Counts meet in partitions: each
-block sends a partition one compressed slice of its distinct words (later: word pairs, by
-history) with its counts; the partition merges the slices, which is the model's table for
-those keys, and answers each block with the totals of just what it asked for.  So nothing is
-broadcast but a few counts of counts and the most frequent histories, at most one for each
-partition, whose pairs are dealt out by both words.  A block then scores its own tokens.
+hashes and the tokens as positions in them, staged once.  Then, order by order, counts meet in
+partitions: each block sends a partition one compressed slice of its distinct n-grams (history
+id, word id, its own count, and the count of the n-gram without its first word); the partition
+merges the slices to the model's table of those histories, gives its n-grams ids, which are
+the history ids of the next order, and answers each block with what it asked for: the count
+and id of each n-gram, and of each history how many followers have each count, at this order
+and below.  The tables (n-grams and counts, sums of histories) are staged by partition next
+to the answers.  Discounts are known when an order is done, so from these a block evaluates
+its own tokens, recursively from the highest order down.
+
+Nothing is broadcast but a few counts of counts and, for each order, the histories that more
+than one ``parts``-th of all tokens follow (so fewer than partitions); their n-grams are dealt out
+by word too, and their sums added up over partitions.
 
 Cases.  Null or empty text: its one token is the end.  Null doc_id: scored; whether it is
 learned from is the caller's column (null: learned from).  Repeated rows count and are scored
@@ -30,28 +40,37 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .blobs import ask, ints, pack, place, unpack
+from .blobs import ask, bundle, ints, pack, place, unbundle, unpack
 from .bytesops import mix, slices, words_of
 
 _U = np.uint64
 END = _U(0x656E642D6F662D74)
-def discounts(n: np.ndarray, top: int, least: int = 1) -> np.ndarray:
+#: Rows of a staged order: statistics, answers, ids, partial sums of frequent histories, tables.
+STATS, ANSWER, IDS, HEAVY, TABLE = range(5)
+ROW = "block long, kind int, part long, data binary"
+
+
+def discounts(n: np.ndarray, top: int) -> np.ndarray:
     """d[r] for r <= top from counts of counts n[1..top + 1]; 1 above.  Falls back to (r - 1/2) / r where Good-Turing fails."""
     d = np.ones(top + 2)
     rest = (top + 1) * n[top + 1] / n[1] if n[1] else 0.0
-    for r in range(least, top + 1):
+    for r in range(1, top + 1):
         good = (r + 1) * n[r + 1] / (r * n[r]) if n[r] else 0.0
         x = (good - rest) / (1 - rest) if rest < 1 else 0.0
         d[r] = x if 0 < x < 1 else (r - 0.5) / r
     return d
 
 
+def unseen(n: np.ndarray) -> float:
+    """Chao's estimate of how many words the training rows don't hold, from how many they hold once and twice."""
+    return max(1.0, n[1] * (n[1] - 1) / (2 * (n[2] + 1)))
+
+
 # blocks
 
 
@@ -83,245 +102,291 @@ def _blocks(size: int):
     return run
 
 
-ANSWER = "block long, kind int, part long, x binary, y binary, z binary"
+def _rows(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("block", "kind", "part", "data"), kinds))})
 
 
-def _answers(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("block", "kind", "part", "x", "y", "z"), kinds))})
+def _ids(total: np.ndarray, parts: int, part: int) -> np.ndarray:
+    """Ids from 1, unlike those of other partitions; frequent ones are small, which packs well."""
+    rank = np.empty(len(total), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+    return rank * parts + part + 1
 
 
-def _merge_words(parts: int, top: int, heavy: int):
-    """Answers (kind 1: ids, counts) and one row of statistics (kind 0: counts of counts, then N and V; heavy ids; their counts)."""
+def _stats(total: np.ndarray, ids: np.ndarray, top: int, heavy: int, part: int) -> tuple:
+    """Counts of counts, sum and number of all counts, and the ids of frequent ones."""
+    often = np.sort(ids[total >= heavy])
+    return -1, STATS, part, bundle(np.r_[np.bincount(np.minimum(total, top + 2), minlength=top + 3)[: top + 2], total.sum(), (total > 0).sum()], often)
 
+
+def _merge_words(parts: int, top: int, heavy: int):
     def run(key, table):
         part = key[0].as_py()
         asked = [unpack(x, True) for x in table["words"].to_pylist()]
         count = np.concatenate([ints(x) for x in table["counts"].to_pylist()])
         words, at = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(at, count, minlength=len(words)).astype(np.int64)
-        ids = np.arange(len(words), dtype=np.int64) * parts + part + 1
-        rows, k = [], 0
+        ids = _ids(total, parts, part)
+        rows, k = [_stats(total, ids, top, heavy, part)], 0
         for block, own in zip(table["block"].to_pylist(), asked):
             i = at[k : k + len(own)]
-            rows.append((block, 1, part, pack(ids[i], True), pack(total[i]), None))
+            rows.append((block, ANSWER, part, bundle(ids[i], total[i])))
             k += len(own)
-        often = total >= heavy
-        stats = np.r_[np.bincount(np.minimum(total, top + 2), minlength=top + 3)[: top + 2], total.sum(), (total > 0).sum()]
-        rows.append((-1, 0, part, pack(stats), pack(ids[often]), pack(total[often])))
-        return _answers(rows)
+        return _rows(rows)
 
     return run
 
 
-class Block:
-    """A block's tokens with global ids of words and their training counts (id 0: the start)."""
+# orders above the first
 
-    def __init__(self, row: dict, answers: list[dict]):
-        self.n, self.held = ints(row["n"]), unpack(row["held"]).astype(bool)
-        token = ints(row["tokens"])
-        own = sorted((a for a in answers if a["kind"] == 1), key=lambda a: a["part"])
-        self.ids = np.concatenate([np.zeros(1, np.int64), *(ints(a["x"], True) for a in own)])
-        self.count = np.concatenate([np.zeros(1, np.int64), *(ints(a["y"]) for a in own)])
-        self.token = token + 1
-        before = np.zeros_like(self.token)
-        before[1:] = self.token[:-1]
-        before[np.cumsum(self.n)[:-1]] = 0
-        self.before = before
-        self.pair = before * len(self.ids) + self.token
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct pairs (history * words + word) and their counts in training rows."""
-        held = np.repeat(self.held, self.n)
-        k, c = np.unique(self.pair * 2 + held, return_counts=True)
-        c = np.where(k & 1, 0, c)
-        first = np.flatnonzero(np.r_[True, (k[1:] >> 1) != (k[:-1] >> 1)])
-        return k[first] >> 1, np.add.reduceat(c, first)
-
-    def dealt(self, pair: np.ndarray, parts: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Order of pairs by partition, history id and word id; then their partition, history and word ids in that order."""
-        h, w = self.ids[pair // len(self.ids)], self.ids[pair % len(self.ids)]
-        at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
-        spread = (often[at] == h) if len(often) else np.zeros(len(h), bool)
+
+class Order:
+    """The distinct n-grams of a block: history and word (places of n - 1-grams and words; 0: only starts), and the n-gram of each token."""
+
+    def __init__(self, history: np.ndarray, word: np.ndarray, below: np.ndarray, words: int):
+        keys, at = np.unique(history * words + word, return_inverse=True)
+        self.history, self.word = keys // words, keys % words
+        self.gram = at + 1
+        self.below = np.zeros(len(keys) + 1, np.int64)
+        self.below[self.gram] = below  # without its first token
+        self.ids = self.count = self.sums = None
+
+    def dealt(self, ids: np.ndarray, word_ids: np.ndarray, parts: int, often: np.ndarray):
+        """Order of n-grams by partition, history id and word id; then their partition, history and word ids in that order."""
+        h, w = ids[self.history], word_ids[self.word]
+        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+        spread = often[at] == h
         to = place(mix(h.astype(_U) * _U(0x9E3779B97F4A7C15) + np.where(spread, w, 0).astype(_U)), parts)
         order = np.lexsort((w, h, to))
         return order, to[order], h[order], w[order]
 
 
-def _rows(table: pa.Table) -> list[dict]:
-    return table.to_pylist()
-
+class Block:
+    """A block's tokens, with what the orders done so far have answered."""
 
-def _ask_pairs(parts: int, often: np.ndarray):
-    def run(key, left, right):
-        block = Block(_rows(left)[0], _rows(right))
-        pair, count = block.pairs()
-        order, to, h, w = block.dealt(pair, parts, often)
-        count, cw = count[order], block.count[pair[order] % len(block.ids)]
+    def __init__(self, row: dict, answers: list[dict], plan: Plan):
+        self.n, self.held = ints(row["n"]), unpack(row["held"]).astype(bool)
+        own = sorted((a for a in answers if a["order"] == 1), key=lambda a: a["part"])
+        found = [unbundle(a["data"]) for a in own]
+        self.ids = np.concatenate([np.zeros(1, np.int64), *(x[0] for x in found)])
+        self.count = np.concatenate([np.zeros(1, np.int64), *(x[1] for x in found)])
+        self.word = ints(row["tokens"]) + 1
+        self.first = np.cumsum(self.n) - self.n
+        self.orders: list[Order] = []
+        for k in range(len(plan.often)):
+            self._next(plan, [a for a in answers if a["order"] == k + 2])
+
+    def _next(self, plan: Plan, answers: list[dict]) -> None:
+        last = self.orders[-1] if self.orders else None
+        gram, ids, words = (last.gram, last.ids, len(self.ids)) if last else (self.word, self.ids, len(self.ids))
+        history = np.zeros_like(gram)
+        history[1:] = gram[:-1]
+        history[self.first] = 0
+        new = Order(history, self.word, gram, words)
+        self.orders.append(new)
+        if not answers:
+            return
+        often, heavy = plan.often[len(self.orders) - 1], plan.heavy[len(self.orders) - 1]
+        order, to, h, _ = new.dealt(ids, self.ids, plan.parts, often)
+        got = {kind: sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["part"]) for kind in (ANSWER, IDS)}
+        counts, sums = zip(*(unbundle(a["data"]) for a in got[ANSWER]))
+        new.count = np.zeros(len(order) + 1, np.int64)
+        new.count[1:][order] = np.concatenate(counts)
+        if got[IDS]:
+            new.ids = np.zeros(len(order) + 1, np.int64)
+            new.ids[1:][order] = np.concatenate([unbundle(a["data"])[0] for a in got[IDS]])
+        # histories as answered: one for each run of a history in a partition
+        first = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (h[1:] != h[:-1])])
+        width = 2 * plan.top + 2
+        new.sums = np.zeros((len(ids), width))
+        new.sums[new.history[order][first]] = np.concatenate([s.reshape(width, -1).T for s in sums])
+        at = np.minimum(np.searchsorted(often, ids), len(often) - 1)
+        is_often = often[at] == ids
+        new.sums[is_often] = heavy[at[is_often]]
+
+    def train_counts(self, order: Order) -> np.ndarray:
+        held = np.repeat(self.held, self.n)
+        return np.bincount(order.gram[~held], minlength=len(order.history) + 1)[1:]
+
+    def asks(self, plan: Plan) -> pa.Table:
+        """Slices of the n-grams of the last order, for their partitions."""
+        new = self.orders[-1]
+        before = self.orders[-2] if len(self.orders) > 1 else None
+        order, to, h, w = new.dealt(before.ids if before else self.ids, self.ids, plan.parts, plan.often[-1])
+        count, below = self.train_counts(new)[order], (before.count if before else self.count)[new.below[1:][order]]
         cut = np.r_[0, np.flatnonzero(np.diff(to)) + 1, len(to)]
-        out = {c: [] for c in ("part", "block", "h", "hn", "w", "c", "cw")}
+        out = []
         for a, b in zip(cut, cut[1:]):
             first = np.r_[0, np.flatnonzero(np.diff(h[a:b])) + 1]
-            for c, x in (("part", int(to[a])), ("block", key[0].as_py()), ("h", pack(h[a:b][first], True)), ("hn", pack(np.diff(np.r_[first, b - a]))), ("w", pack(w[a:b])), ("c", pack(count[a:b])), ("cw", pack(cw[a:b]))):
-                out[c].append(x)
-        return pa.table({c: pa.array(v, pa.int64() if c in ("part", "block") else pa.binary()) for c, v in out.items()})
+            out.append(bundle(np.diff(np.r_[first, b - a]), w[a:b], count[a:b], below[a:b], ordered=h[a:b][first]))
+        return pa.table({"part": pa.array(to[cut[:-1]]), "data": pa.array(out, pa.binary())})
+
+    def probabilities(self, plan: Plan) -> np.ndarray:
+        """P of each token, from the lowest order up: each n-gram's own or, if it is unseen, that of the n-gram below it times alpha."""
+        d, top = plan.discounts, plan.top
+        take = lambda d, c: d[np.minimum(c, top + 1)] * c
+        r = np.arange(1, top + 1)
+        p = np.where(self.count > 0, take(d[0], self.count) / max(plan.total, 1), plan.unknown)
+        over_below, below = np.full(1, float(max(plan.total, 1))), np.zeros(len(self.ids), np.int64)
+        for k, x in enumerate(self.orders):
+            s = x.sums
+            used, seen = s[:, :top] @ (r * d[k + 1][r]) + s[:, top], s[:, :top] @ r + s[:, top]
+            mass = s[:, top + 1 : -1] @ (r * d[k][r]) + s[:, -1] * d[k][top + 1]
+            over = np.where(used > seen - 1e-9, seen + 1, seen)  # nothing discounted: one more count for the unseen
+            with np.errstate(divide="ignore", invalid="ignore"):
+                alpha = np.where(seen > 0, (1 - used / over) / (1 - mass / over_below[below]), 1.0)
+                own = take(d[k + 1], x.count[1:]) / over[x.history]
+            p = np.r_[0.0, np.where(x.count[1:] > 0, own, alpha[x.history] * p[x.below[1:]])]
+            over_below, below = over, x.below
+        last = self.orders[-1].gram if self.orders else self.word
+        return p[last]
+
+
+class Plan:
+    """What all blocks are told: discounts and frequent histories of the orders done, and those of the order that is under way."""
+
+    def __init__(self, parts: int, top: int, total: int, known: int, unknown: float, uni: np.ndarray):
+        self.parts, self.top, self.total, self.known, self.unknown = parts, top, total, known, unknown
+        self.discounts, self.often, self.heavy = [uni], [], []
+
+
+def _ask_grams(sent):
+    def run(key, left, right):
+        plan = sent.value
+        out = Block(left.to_pylist()[0], right.to_pylist(), plan).asks(plan)
+        return out.append_column("block", pa.array([key[0].as_py()] * out.num_rows, pa.int64())).select(["part", "block", "data"])
 
     return run
 
 
-def _merge_pairs(top: int, cutoff: int, uni: np.ndarray, total: int, often: np.ndarray):
-    """Answers (kind 2: counts of pairs; sums of their histories; their mass below), statistics (kind 0) and sums of heavy histories (kind 3).
+def _merge_grams(sent, heavy: int, last: bool):
+    """Of each part: statistics, answers, ids, sums of frequent histories, and the model's table.
 
-    Sums of a history are, for r in cutoff..top, the pairs seen r times, then the counts above top.
+    Sums of a history are, for r in 1..top, its followers seen r times, then the counts above top; then the same for their counts below.
     """
 
     def run(key, table):
-        part = key[0].as_py()
-        hs, hn = [ints(x, True) for x in table["h"].to_pylist()], [ints(x) for x in table["hn"].to_pylist()]
-        h = np.concatenate([np.repeat(x, n) for x, n in zip(hs, hn)])
-        ws = [ints(x) for x in table["w"].to_pylist()]
-        w, c, cw = np.concatenate(ws), np.concatenate([ints(x) for x in table["c"].to_pylist()]), np.concatenate([ints(x) for x in table["cw"].to_pylist()])
+        plan, part = sent.value, key[0].as_py()
+        top, often = plan.top, plan.often[-1]
+        hs, cols = [], ([], [], [], [])
+        for x in table["data"].to_pylist():
+            hn, *rest, own = unbundle(x, ordered=True)
+            hs.append((own, hn))
+            for c, v in zip(cols, (np.repeat(own, hn), *rest)):
+                c.append(v)
+        sizes = [len(x) for x in cols[0]]
+        h, w, c, below = (np.concatenate(x) for x in cols)
         order = np.lexsort((w, h))
         oh, ow = h[order], w[order]
         new = np.r_[True, (oh[1:] != oh[:-1]) | (ow[1:] != ow[:-1])]
         number = np.empty(len(h), np.int64)
         number[order] = np.cumsum(new) - 1
-        count = np.bincount(number, c).astype(np.int64)  # of each distinct pair, which are in order
+        total = np.bincount(number, c).astype(np.int64)  # of each distinct n-gram, which are in order
         first = order[new]
-        ph, pw = h[first], cw[first]
+        ph, below = h[first], below[first]
         new_h = np.r_[True, ph[1:] != ph[:-1]]
         history, uh = np.cumsum(new_h) - 1, ph[new_h]
-        seen = count >= cutoff
-        sums = [np.bincount(history, count == r, minlength=len(uh)).astype(np.int64) for r in range(cutoff, top + 1)]
-        sums.append(np.bincount(history, np.where(seen & (count > top), count, 0), minlength=len(uh)).astype(np.int64))
-        mass = np.bincount(history, np.where(seen, uni[np.minimum(pw, top + 1)] * pw / max(total, 1), 0.0), minlength=len(uh))
-        sums = np.stack(sums, axis=1)
-        rows, k = [], 0
-        for block, x, own in zip(table["block"].to_pylist(), hs, ws):
-            at = np.searchsorted(uh, x)
-            rows.append((block, 2, part, pack(count[number[k : k + len(own)]]), pack(sums[at].T.ravel()), zstandard.ZstdCompressor(level=1).compress(mass[at].tobytes())))
-            k += len(own)
-        rows.append((-1, 0, part, pack(np.bincount(np.minimum(count, top + 2), minlength=top + 3)[: top + 2]), None, None))
-        if len(often):
-            is_often = np.flatnonzero(np.isin(uh, often))
-            rows.extend((int(uh[i]), 3, part, pack(sums[i]), mass[i : i + 1].tobytes(), None) for i in is_often)
-        return _answers(rows)
+        some = total > 0
+        own, many = history[some], len(uh)
+        sums = np.stack([x for n in (total[some], below[some]) for x in (*(np.bincount(own[n == r], minlength=many) for r in range(1, top + 1)), np.bincount(own, np.where(n > top, n, 0), minlength=many))]).astype(np.int64)
+        ids = _ids(total, plan.parts, part)
+        rows, k = [_stats(total, ids, top, heavy, part)], 0
+        for block, (x, _), size in zip(table["block"].to_pylist(), hs, sizes):
+            at = number[k : k + size]
+            rows.append((block, ANSWER, part, bundle(total[at], sums[:, np.searchsorted(uh, x)].ravel())))
+            if not last:
+                rows.append((block, IDS, part, bundle(ids[at])))
+            k += size
+        rows.extend((int(uh[i]), HEAVY, part, bundle(sums[:, i])) for i in np.flatnonzero(np.isin(uh, often)))
+        kept = np.bincount(own, minlength=many)
+        rows.append((-1, TABLE, part, bundle(kept[kept > 0], w[first][some], total[some], ordered=uh[kept > 0])))
+        return _rows(rows)
 
     return run
 
 
-def _score(parts: int, often: np.ndarray, often_sums: np.ndarray, often_mass: np.ndarray, top: int, cutoff: int, uni: np.ndarray, bi: np.ndarray, total: int, known: int, left_over: float, starts: int):
-    rs = np.arange(cutoff, top + 1)
+def _sums(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([unbundle(x.as_py())[0] for x in batch.column("data")], pa.list_(pa.int64()))], names=["h", "s"])
+
+
+def _frequent(rows: DataFrame, often: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the frequent histories over all partitions; one row for each of ``often`` comes to the driver."""
+    each = rows.filter(F.col("kind") == HEAVY).select("block", "data").mapInArrow(_sums, "h long, s array<long>")
+    sums = np.zeros((len(often), width))
+    for r in each.groupBy("h").agg(F.array(*(F.sum(F.col("s")[i]) for i in range(width))).alias("s")).collect():
+        sums[np.searchsorted(often, r.h)] = r.s
+    return sums
 
+
+def _score(sent):
     def run(key, left, right):
-        row, answers = _rows(left)[0], _rows(right)
-        b = Block(row, answers)
-        pair, _ = b.pairs()
-        order, to, h, _ = b.dealt(pair, parts, often)
-        width = len(rs) + 1
-        counts, sums, mass = [], [], []
-        for a in sorted((a for a in answers if a["kind"] == 2), key=lambda a: a["part"]):
-            counts.append(ints(a["x"]))
-            sums.append(ints(a["y"]).reshape(width, -1).T)
-            mass.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(a["z"])))
-        count = np.empty(len(pair), np.int64)
-        count[order] = np.concatenate(counts)
-        # histories as answered: one for each run of a history in a partition
-        first = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (h[1:] != h[:-1])])
-        local = pair[order][first] // len(b.ids)
-        s, m = np.zeros((len(b.ids), width)), np.zeros(len(b.ids))
-        s[local], m[local] = np.concatenate(sums), np.concatenate(mass)
-        if len(often):
-            at = np.minimum(np.searchsorted(often, b.ids), len(often) - 1)
-            is_often = often[at] == b.ids
-            s[is_often], m[is_often] = often_sums[at[is_often]], often_mass[at[is_often]]
-        follows = b.count.copy()
-        follows[0] = starts
-        used = s[:, :-1] @ (rs * bi[rs]) + s[:, -1]
-        over = np.where(used > follows - 1e-9, follows + 1, follows)  # nothing discounted: one more count for the unseen
-        with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = np.where(follows > 0, np.log10((1 - used / np.maximum(over, 1)) / (1 - m)), 0.0)
-            # only a model without any training rows has no mass for the unknown word
-            low = np.where(b.count > 0, np.log10(np.maximum(uni[np.minimum(b.count, top + 1)] * b.count / max(total, 1), 1e-300)), np.log10(left_over))
-            c = count[np.searchsorted(pair, b.pair)]
-            d = np.where(c <= top, bi[np.minimum(c, top + 1)], 1.0)
-            p = np.where(c >= cutoff, np.log10(np.maximum(d * c, 1e-300) / np.maximum(over[b.before], 1)), alpha[b.before] + low[b.token])
-        at = np.cumsum(b.n) - b.n
-        base = np.log10((b.count[b.token] + 1) / (total + known + 1))
+        plan = sent.value
+        b = Block(left.to_pylist()[0], right.to_pylist(), plan)
+        count = b.count[b.word]
+        base = np.log10((count + 1) / (plan.total + plan.known + 1))
+        with np.errstate(divide="ignore"):
+            p = np.log10(b.probabilities(plan))
         return pa.table(
             {
                 "doc_id": left["doc_ids"].combine_chunks().flatten(),
                 "held_out": pa.array(b.held),
                 "n_tokens": pa.array(b.n),
-                "n_known": pa.array(np.add.reduceat((b.count[b.token] > 0).astype(np.int64), at)),
-                "train_tokens": pa.array(np.full(len(b.n), total, np.int64)),
-                "base_score": pa.array(np.add.reduceat(base, at)),
-                "score": pa.array(np.add.reduceat(p, at)),
+                "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), b.first)),
+                "train_tokens": pa.array(np.full(len(b.n), plan.total, np.int64)),
+                "base_score": pa.array(np.add.reduceat(base, b.first)),
+                "score": pa.array(np.add.reduceat(p, b.first)),
             }
         )
 
     return run
 
 
-def score(spark: SparkSession, docs: DataFrame, held: Column, top: int = 5, cutoff: int = 2, block: int = 8 << 20, slice_keys: int = 1_500_000) -> DataFrame:
+def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of counts (then sum and number), and the frequent ids, over all partitions: one row each."""
+    found = [unbundle(r.data) for r in rows.filter(F.col("kind") == STATS).select("data").collect()]
+    often = np.unique(np.concatenate([np.zeros(1, np.int64), *(x[1] for x in found)]))  # the start, and fewer than partitions
+    return sum((x[0] for x in found), np.zeros(1, np.int64)), often
+
+
+def score(spark: SparkSession, docs: DataFrame, held: Column, order: int = 3, top: int = 5, block: int = 8 << 20, slice_keys: int = 1_500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows where ``held`` is true are not learned from."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", held.alias("held"))
     blocks = rows.mapInArrow(_blocks(block), f"block long, doc_ids array<{kind}>, held binary, n binary, words binary, counts binary, tokens binary, n_words long, n_tokens long, n_train long")
     blocks = common.stage(spark, blocks, "katz-blocks")
     n_words, n_tokens, total = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_train")).first())
-    starts = rows.filter(~F.coalesce(F.col("held"), F.lit(False))).count()
-    parts = common.partitions(spark, -(-n_words // slice_keys))
-    parts2 = common.partitions(spark, -(-2 * n_tokens // 3 // slice_keys))
-
-    asked = blocks.select("block", "words", "counts").mapInArrow(ask(parts), "part long, block long, words binary, counts binary")
-    words = common.stage(spark, asked.groupBy("part").applyInArrow(_merge_words(parts, top, max(1, -(-total // parts2))), ANSWER), "katz-words")
-    stats = words.filter("kind = 0").select("x", "y", "z").collect()  # a row for each partition
-    n = sum((ints(r.x) for r in stats), np.zeros(top + 4, np.int64))
-    known = int(n[-1])
-    uni = discounts(n[: top + 2], top)
+    parts1, parts = (common.partitions(spark, -(-n // slice_keys)) for n in (n_words, n_tokens))
+    heavy = max(1, -(-total // parts))
+
+    asked = blocks.select("block", "words", "counts").mapInArrow(ask(parts1), "part long, block long, words binary, counts binary")
+    words = common.stage(spark, asked.groupBy("part").applyInArrow(_merge_words(parts1, top, heavy), ROW), "katz-1")
+    n, often = _collected(words)
+    n, known = (n[: top + 2], int(n[-1])) if total else (np.zeros(top + 2, np.int64), 0)
+    uni = discounts(n, top)
     used = sum(uni[r] * r * n[r] for r in range(1, top + 1)) + total - sum(r * n[r] for r in range(1, top + 1))
     if total and used >= total - 1e-9:  # nothing discounted: as for histories
         uni, used = uni * total / (total + 1), used * total / (total + 1)
-    left_over = 1 - used / total if total else 1.0
-    often = np.unique(np.concatenate([np.zeros(1, np.int64), *(ints(r.y) for r in stats)]))  # the start, and at most one word for each of parts2
-
-    tokens = blocks.select("block", "held", "n", "tokens")
-    pairs = tokens.groupBy("block").cogroup(words.filter("kind = 1").groupBy("block")).applyInArrow(_ask_pairs(parts2, often), "part long, block long, h binary, hn binary, w binary, c binary, cw binary")
-    pairs = common.stage(spark, pairs.groupBy("part").applyInArrow(_merge_pairs(top, cutoff, uni, total, often), ANSWER), "katz-pairs")
-    n2 = sum((ints(r.x) for r in pairs.filter("kind = 0").select("x").collect()), np.zeros(top + 2, np.int64))
-    bi = discounts(n2, top, cutoff)
-    often_sums, often_mass = _heavy(pairs, often, top - cutoff + 2)
-
-    answers = words.filter("kind = 1").unionByName(pairs.filter("kind = 2"))
+    plan = Plan(parts, top, total, known, (1 - used / total) / unseen(n) if total else 1.0, uni)
+    answers = words.filter(F.col("kind") == ANSWER).withColumn("order", F.lit(1))
     tokens = blocks.select("block", "doc_ids", "held", "n", "tokens")
+    for k in range(2, order + 1):
+        plan.often.append(often)
+        plan.heavy.append(None)
+        sent = spark.sparkContext.broadcast(plan)  # a few numbers, and frequent histories: fewer than partitions
+        grams = tokens.drop("doc_ids").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_grams(sent), "part long, block long, data binary")
+        done = common.stage(spark, grams.groupBy("part").applyInArrow(_merge_grams(sent, heavy, k == order), ROW), f"katz-{k}")
+        n, frequent = _collected(done)
+        plan.discounts.append(discounts(n[: top + 2] if len(n) > 1 else np.zeros(top + 2), top))
+        plan.heavy[-1] = _frequent(done, often, 2 * top + 2)
+        often = frequent
+        answers = answers.unionByName(done.filter(F.col("kind").isin(ANSWER, IDS)).withColumn("order", F.lit(k)))
     return tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score(parts2, often, often_sums, often_mass, top, cutoff, uni, bi, total, known, left_over, starts),
-        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        _score(spark.sparkContext.broadcast(plan)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
-def _unpack_sums(width: int):
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), pa.array([ints(x.as_py()) for x in batch.column("x")], pa.list_(pa.int64())), pa.array([float(np.frombuffer(x.as_py())[0]) for x in batch.column("y")], pa.float64())], names=["h", "s", "m"]
-            )
-
-    return run
-
-
-def _heavy(pairs: DataFrame, often: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the most frequent histories over all partitions; one row for each of ``often`` comes to the driver."""
-    each = pairs.filter("kind = 3").select("block", "x", "y").mapInArrow(_unpack_sums(width), "h long, s array<long>, m double")
-    found = each.groupBy("h").agg(*(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)), F.sum("m").alias("m")).collect()
-    sums, mass = np.zeros((len(often), width)), np.zeros(len(often))
-    for r in found:
-        k = int(np.searchsorted(often, r.h))
-        sums[k], mass[k] = [r[f"s{i}"] for i in range(width)], r.m
-    return sums, mass
-
-
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return score(spark, docs, F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False)))

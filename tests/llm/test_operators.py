@@ -240,38 +240,87 @@ def test_mixing(spark, odd_texts):
     assert mixing.mix(spark, make_docs(spark, [])).count() == 0
 
 
-def test_katz_is_normalised_and_matches_brute_force(spark):
+class Katz:
+    """Brute force of the model, from its definition."""
+
+    def __init__(self, texts, order, top=5):
+        self.top, self.order = top, order
+        self.grams = [collections.Counter() for _ in range(order)]
+        for t in texts:
+            padded = ["<s>"] * (order - 1) + t
+            for n in range(order):
+                self.grams[n].update(tuple(padded[i - n : i + 1]) for i in range(order - 1, len(padded)))
+        self.total = sum(self.grams[0].values())
+        counts = [np.bincount([min(c, top + 2) for c in g.values()], minlength=top + 3)[: top + 2] for g in self.grams]
+        self.d = [katz.discounts(n, top) for n in counts]
+        self.follow = [collections.defaultdict(dict) for _ in range(order)]
+        for n, g in enumerate(self.grams):
+            for x, c in g.items():
+                self.follow[n][x[:-1]][x[-1]] = c
+        used = sum(self.taken(0, c) for c in self.grams[0].values())
+        self.scale = self.total / (self.total + 1) if used >= self.total - 1e-9 else 1.0
+        self.unseen = max(1.0, counts[0][1] * (counts[0][1] - 1) / (2 * (counts[0][2] + 1)))
+        self.memo = {}
+
+    def taken(self, n, c):
+        return (self.d[n][c] if c <= self.top else 1) * c
+
+    def seen(self, h):
+        """What each word seen after h has of its mass."""
+        own = self.follow[len(h)].get(h, {})
+        if not h:
+            return {w: self.scale * self.taken(0, c) / self.total for w, c in own.items()}
+        n, used = sum(own.values()), {w: self.taken(len(h), c) for w, c in own.items()}
+        over = n if sum(used.values()) < n - 1e-9 else n + 1
+        return {w: x / over for w, x in used.items()}
+
+    def all(self, h):
+        """P(w | h) of all known words and, under None, of each unknown one."""
+        if h not in self.memo:
+            own = self.seen(h)
+            if not h:
+                out = own | {None: (1 - sum(own.values())) / self.unseen}
+            else:
+                below = self.all(h[1:])
+                alpha = (1 - sum(own.values())) / (1 - sum(below[w] for w in own)) if own else 1.0
+                out = {w: own.get(w, alpha * p) for w, p in below.items()}
+            self.memo[h] = out
+        return self.memo[h]
+
+    def score(self, t):
+        padded = ["<s>"] * (self.order - 1) + t
+        return sum(math.log10(d.get(w, d[None])) for i, w in enumerate(t) for d in [self.all(tuple(padded[i : i + self.order - 1]))])
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_matches_brute_force(spark, order):
     rng = random.Random(6)
-    texts = [(i, " ".join(rng.choice(WORDS[: rng.randrange(2, 12)]) for _ in range(rng.randrange(1, 40)))) for i in range(150)] + [(500, None), (501, ""), (None, "alpha beta"), (502, "Unseen WORDS only"), (1, "alpha alpha")]
+    texts = [(i, " ".join(rng.choice(WORDS[: rng.randrange(2, 12)]) for _ in range(rng.randrange(1, 40)))) for i in range(150)] + [(500, None), (501, ""), (None, "alpha beta"), (502, "Unseen WORDS only"), (1, "alpha alpha"), (503, "beta " * 70)]
     docs = make_docs(spark, texts)
-    got = katz.score(spark, docs, F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False)), block=2000, slice_keys=30).collect()
+    got = katz.score(spark, docs, F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False)), order=order, block=2000, slice_keys=30).collect()
     assert len(got) == len(texts)
     toks = [((t or "").lower().split() + ["</s>"], i is not None and zlib.crc32(str(i).encode()) % 7 == 2, i) for i, t in texts]
-    uc, bc, hc = collections.Counter(), collections.Counter(), collections.Counter()
-    for t, held, _ in toks:
-        if not held:
-            uc.update(t)
-            bc.update(zip(["<s>"] + t[:-1], t))
-            hc.update(["<s>"] + t[:-1])
-    total, top = sum(uc.values()), 5
-    counts = lambda c: np.bincount([min(x, top + 2) for x in c.values()], minlength=top + 3)[: top + 2]
-    d1, d2 = katz.discounts(counts(uc), top), katz.discounts(counts(bc), top, 2)
-    scale = 1.0
-    if sum((d1[c] if c <= top else 1) * c for c in uc.values()) >= total - 1e-9:
-        scale = total / (total + 1)
-    low = {w: scale * (d1[c] if c <= top else 1) * c / total for w, c in uc.items()}
-    unknown = 1 - sum(low.values())
-    p, alpha = {}, {}
-    for h, n in hc.items():
-        own = {w: (d2[c] if c <= top else 1) * c for (x, w), c in bc.items() if x == h and c >= 2}
-        over = n if sum(own.values()) < n - 1e-9 else n + 1
-        p |= {(h, w): x / over for w, x in own.items()}
-        alpha[h] = (1 - sum(own.values()) / over) / (1 - sum(low[w] for w in own))
-        assert abs(sum(p.get((h, w), alpha[h] * low[w]) for w in low) + alpha[h] * unknown - 1) < 1e-9
-    expected = sorted((str(i), held, len(t), sum(w in uc for w in t), total, round(sum(math.log10((uc[w] + 1) / (total + len(uc) + 1)) for w in t), 6), round(sum(math.log10(p[h, w] if (h, w) in p else alpha.get(h, 1) * low.get(w, unknown)) for h, w in zip(["<s>"] + t[:-1], t)), 6)) for t, held, i in toks)
-    found = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got)
-    assert found == expected
+    model = Katz([t for t, held, _ in toks if not held], order)
+    uni, total = model.grams[0], model.total
+    scores = [model.score(t) for t, _, _ in toks]
+    for p in model.memo.values():  # sums to 1 over known and unknown words
+        assert abs(sum(p.values()) + (model.unseen - 1) * p[None] - 1) < 1e-9
+    known = lambda t: sum((w,) in uni for w in t)
+    base = lambda t: sum(math.log10((uni[w,] + 1) / (total + len(uni) + 1)) for w in t)
+    expected = sorted((str(i), held, len(t), known(t), total, round(base(t), 6), round(s, 6)) for (t, held, i), s in zip(toks, scores))
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == expected
+
+
+def test_katz_without_training_rows(spark):
     assert katz.score(spark, make_docs(spark, []), F.lit(False)).count() == 0
+    got = katz.score(spark, make_docs(spark, [(1, "a b"), (2, None)]), F.lit(True)).collect()
+    assert [(r.train_tokens, r.n_known, r.score) for r in got] == [(0, 0, 0.0)] * 2
+
+
+def test_katz_does_not_favour_unknown_words(spark):
+    got = katz.score(spark, common.table(spark, "/root/testdata/sf0.001", "documents"), toxicity.fold(7) == 2)
+    each = {r.held_out: r for r in got.groupBy("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("own"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).collect()}
+    assert each[True].own < each[False].own and each[False].own > each[False].base
 
 
 def test_toxicity_finds_sentences(spark, odd_texts):
