@@ -52,18 +52,19 @@ def place(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
 
-def ask(parts: int):
-    """One row for each block and partition: the block's own slice of sorted hashes, and its counts of them."""
+def ask(parts: int, *more: str):
+    """One row for each block and partition: the block's own slice of sorted hashes, its counts of them, and ``more`` arrays aligned with them."""
 
     def run(batches):
         for batch in batches:
-            for block, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts"))):
-                words, counts = unpack(words, True), unpack(counts)
+            for block, words, *others in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts", *more))):
+                words, others = unpack(words, True), [unpack(x) for x in others]
+                if not len(words):
+                    continue
                 to = place(words, parts)  # ascending, as the hashes are
                 cut = np.r_[0, np.flatnonzero(np.diff(to)) + 1, len(to)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[cut[:-1]]), pa.array([block] * (len(cut) - 1), pa.int64()), *(pa.array([f(a, b) for a, b in zip(cut, cut[1:])], pa.binary()) for f in (lambda a, b: pack(words[a:b], True), lambda a, b: pack(counts[a:b])))],
-                    names=["part", "block", "words", "counts"],
-                )
+                cuts = list(zip(cut, cut[1:]))
+                cols = [pa.array([pack(words[a:b], True) for a, b in cuts], pa.binary()), *(pa.array([pack(x[a:b]) for a, b in cuts], pa.binary()) for x in others)]
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]]), pa.array([block] * len(cuts), pa.int64()), *cols], names=["part", "block", "words", "counts", *more])
 
     return run

@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
+BASE2 = 0xD1B54A32D192ED03
 _U = np.uint64
-_BASE_INV = pow(BASE, -1, 1 << 64)
-_POW = {"n": 0, "p": np.ones(1, _U), "q": np.ones(1, _U)}
+_POW: dict[int, list[np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,11 +25,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept and grown per process."""
-    if _POW["n"] < n:
+def _powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i for i < n, kept and grown per process."""
+    found = _POW.get(base)
+    if found is None or len(found[0]) < n:
         m = max(1 << 16, 1 << (n - 1).bit_length())
-        for key, b in (("p", BASE), ("q", _BASE_INV)):
+        found = []
+        for b in (base, pow(base, -1, 1 << 64)):
             a = np.empty(m, _U)
             a[0] = 1
             k = 1
@@ -37,9 +39,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 with np.errstate(over="ignore"):
                     a[k : 2 * k] = a[: min(k, m - k)] * _U(pow(b, k, 1 << 64))
                 k *= 2
-            _POW[key] = a
-        _POW["n"] = m
-    return _POW["p"][:n], _POW["q"][:n]
+            found.append(a)
+        _POW[base] = found
+    return found[0][:n], found[1][:n]
 
 
 def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,18 +64,18 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """h with h[j] - h[i] = sum of raw[t] * BASE**t over i <= t < j."""
-    p, _ = _powers(max(1, len(raw)))
+def prefix_hash(raw: np.ndarray, base: int = BASE) -> np.ndarray:
+    """h with h[j] - h[i] = sum of raw[t] * base**t over i <= t < j."""
+    p, _ = _powers(max(1, len(raw)), base)
     h = np.zeros(len(raw) + 1, _U)
     with np.errstate(over="ignore"):
         np.cumsum((raw.astype(_U) + _U(1)) * p[: len(raw)], out=h[1:])
     return h
 
 
-def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
     """Position-independent hash of the bytes start..end (equal bytes, equal hash)."""
-    _, q = _powers(len(h) + 1)
+    _, q = _powers(len(h) + 1, base)
     with np.errstate(over="ignore"):
         return mix((h[end] - h[start]) * q[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,44 @@ def test_suffix_matches_brute_force(spark, odd_texts):
     assert suffix_dedup.mark(spark, make_docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 3])
+def test_suffix_on_periodic_and_shifted_texts(spark, bits):
+    """Periods shorter and longer than a gram, passages at other offsets, edges inside windows; with few bits all hashes are equal."""
+    rng = random.Random(bits)
+    a, b = prose(rng, 120), prose(rng, 120)
+    unit = prose(rng, 12)
+    texts = ["z" * 3000, "ab" * 900, unit * 12, unit * 3 + a, a[100:700] + b, b[:400] + "q" * 250 + a[:350], "z" * 199, "z" * 200, a + b, a[1:], "x" + a[:260] + "y" + a[200:460], "q" * 230 + "r" * 230, "r" * 215]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r._n_bytes, r._n_removed, r._n_spans, r._kept_sha256) for r in suffix_dedup.mark(spark, make_docs(spark, rows), block=1500, bits=bits).collect()}
+    assert got == dict(enumerate(cover(texts)))
+
+
+def test_periodic_text_makes_few_suffixes():
+    raw = np.full(100_000, 97, np.uint8)
+    start, n, _, _, content = suffix_dedup.segments(raw, np.array([0, len(raw)]), 200, 48)
+    copy, first = suffix_dedup.settle(raw, start, n, content, 200)
+    assert copy.all() and first.sum() == 1
+
+
+def test_equal_hashes_do_not_settle():
+    raw = np.frombuffer(("p" * 250 + "q" * 250 + "p" * 250).encode(), np.uint8)
+    start, n = np.array([0, 250, 500]), np.array([51, 51, 51])
+    copy, first = suffix_dedup.settle(raw, start, n, np.zeros(3, np.uint64), 200)
+    assert copy.tolist() == [True, False, True] and first.tolist() == [True, True, False]
+
+
+def test_multikey_quicksort():
+    rng = random.Random(31)
+    pool = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    rows = [(rng.choice(pool), rng.choice(pool)) for _ in range(700)]
+    keys = suffix_dedup.Suffixes(pa.array([r for r, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary()))
+    order, same = suffix_dedup.multikey_quicksort(keys, len(rows))
+    got = [rows[i] for i in order]
+    pad = lambda x: x + b"\0" * (-len(x) % 8 + 8 * (4 - -(-len(x) // 8)))
+    assert got == sorted(rows, key=lambda x: (pad(x[0]), len(x[0]), pad(x[1]), len(x[1])))
+    assert same.tolist() == [False] + [a == b for a, b in zip(got, got[1:])]
+
+
 def test_suffix_pieces(monkeypatch, spark):
     rng = random.Random(9)
     a = prose(rng, 900)
