@@ -1,21 +1,30 @@
 """Main text of web pages by maximum-scoring subsequence.
 
-A page becomes a sequence of tokens: words score positive, tags negative, by the kind of
-token (tag name, opening or closing; word in a link or not).  The weights are log-odds of
-being content, learned from labelled pages: pages that mark their article, with the
-marking itself hidden.  One linear scan (Kadane) finds the contiguous region with the
-largest sum.  Where a page does mark its article, the marking is evidence too: words
-outside it score as clearly outside, words inside as inside.  Parts that are never
-content by their own markup (menus, forms, scripts, adverts, reader comments, ...) are
-taken out before; the region's blocks are then decoded and joined.
-
-Fitting takes a bounded sample of ``sample`` pages in hash order; every page is extracted
-whole.  The model is about a hundred floats.
+A page becomes a sequence of words and tags.  Words score positive, more or less so by the
+marks of the elements around them (name of a section, class, id, role), and negative where a
+mark speaks clearly against them; tags score negative, the more so the rarer they are inside
+articles.  One linear scan (Kadane) finds the contiguous region with the largest sum, which is
+widened to whole blocks, and to further blocks of positive words without links, which are too
+short to pay for their tags (the items of a last list).  Inside the region, elements whose own marks make their words
+negative (an advert, a form or the readers' comments within an article) are left out; such an
+element costs no more than ``GAP`` words, so that a long one doesn't cut an article in two.
+
+Weights are learned from labelled pages, those that mark their article, with the marking
+itself hidden: for each mark, the log of its share of the words inside articles over its share
+of the words outside; for each tag, how often it stands outside.  Names that the HTML standard
+or plain usage gives to menus, adverts, comments and the like have a prior against them (a
+share ``PRIOR`` of the words outside), which labelled pages can overrule.  A page's own
+marking, if it has one, is evidence like any other mark, ``INSIDE`` or ``OUTSIDE``, and spares
+what it holds the costs of tags and of elements left out.
+
+Fitting takes a bounded sample of ``sample`` pages in hash order, counted in executors, and
+the ``most`` commonest marks; every page is extracted whole.
 
 Cases.  Null or empty html: empty text.  A page without tags is one block.  Unclosed and
-crossing tags are closed as browsers do, roughly.  Very long pages are one linear scan.
-Repeated rows: each is extracted.  Null page_id or url are passed through.  Extra columns
-are carried, except those named like the results, which are replaced.
+crossing tags are closed as browsers do, roughly.  Very long pages are one linear scan.  Equal
+sums: the first region.  No word scores positive: empty text.  Repeated rows: each is
+extracted.  Null page_id or url are passed through.  Extra columns are carried, except those
+named like the results, which are replaced.  No labelled pages: priors only.
 """
 
 from __future__ import annotations
@@ -24,6 +33,8 @@ import html
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,162 +43,256 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Elements whose content is never text, skipped as raw text.
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|math|canvas"
+RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|canvas"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(?P<close2>/?)(?P<name2>[A-Za-z][A-Za-z0-9:-]*)[^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that are never part of an article.
-NEVER = frozenset("nav footer aside form button select menu dialog head label input option datalist audio video map fieldset".split())
-NEVER_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
-#: Words of class and id attributes that mark what surrounds an article.
-NEVER_WORD = frozenset(
-    """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification
-    alert popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars rail aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs
-    crumbs footer foot masthead topbar toolbar comment comments commentlist discussion replies reply respond disqus share sharing social related recommended
-    recommendations pagination pager login search skip""".split()
-)
-#: A word that turns one of the above into something else ("article-header" stays, "site-header" goes).
-SITE_WORD = frozenset("site page global top main".split())
-KEEP = frozenset("html body main article".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose name says what a part is for; other names say nothing about the words in them.
+SECTIONS = frozenset("nav footer aside header form button select menu dialog datalist fieldset label legend option audio video map section details".split())
+LABELS = frozenset(("article", "main"))
+#: Names against which there is a prior: elements, roles, and classes or ids (their last word).
+AGAINST_ELEMENT = frozenset("nav footer aside header form button select menu dialog datalist fieldset label legend option audio video map".split())
+AGAINST_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
+AGAINST_NAME = frozenset(
+    """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification
+    alert popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars rail widget widgets menu menus nav navbar navigation breadcrumb
+    breadcrumbs crumbs footer masthead topbar toolbar comment comments commentlist discussion replies respond disqus sharing related recommended
+    recommendations pagination pager""".split()
+)
+#: Last words of compounds that only say "part" ("ad-slot"), and first words that turn a name around ("no-sidebar").
+PARTS = frozenset("area bar block box container content header item items list panel section slot unit wrap wrapper".split())
+TURNS = frozenset("no not non has with without hide".split())
 
-#: Before anything is learned.
-START = {"word": 1.0, "linkword": -1.5, "tag": -1.0}
-SURE = 6.0
+BASE = 2.0  # log-odds of a word without any mark
+INSIDE, OUTSIDE = 2.0, -4.0
+LEAST, PRIOR = 0.001, 0.2  # shares of words
+TAG, GAP = 0.5, 3.0
 
 
-def _never(name: str, attrs: str, in_article: bool) -> bool:
-    if name in NEVER or name == "header" and not in_article:
-        return True
-    if not attrs or name in KEEP:
-        return False
+@lru_cache(maxsize=1 << 14)
+def marks(name: str, attrs: str) -> tuple[str, ...]:
+    """What an element says of itself: its name if that names a section, its classes, id, role, and whether it is hidden."""
+    out = [name] if name in SECTIONS else []
     for m in ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "role" and value in NEVER_ROLE or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", value))
-            if words & NEVER_WORD or "header" in words and words & SITE_WORD:
-                return True
-    return False
-
-
-def tokens(page: str) -> list[tuple[str, str, bool]]:
-    """(kind, text, in article) of what is left: kind is word text ("word", "linkword") or a tag ("<p", "</p")."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements and whether each starts a part that is never content
-    skipping = links = articles = 0
-
-    def pop(k: int) -> None:
-        nonlocal skipping, links, articles
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if key == "class":
+            out.extend(f".{x}" for x in value.split())
+        elif key in ("id", "role") and value:
+            out.append(("#" if key == "id" else "@") + value)
+        elif key == "hidden" or key == "aria-hidden" and value == "true":
+            out.append("hidden")
+    return tuple(out)
+
+
+@lru_cache(maxsize=1 << 14)
+def against(mark: str) -> bool:
+    """Is there a prior against this mark?"""
+    if mark[0] == "@":
+        return mark[1:] in AGAINST_ROLE
+    if mark[0] not in ".#":
+        return mark == "hidden" or mark in AGAINST_ELEMENT
+    words = [w for w in re.split(r"[^a-z]+", mark) if w]
+    if len(words) > 1 and words[0] in TURNS:
+        return False
+    if words[-2:] == ["site", "header"] or words[-2:] == ["page", "header"]:
+        return True
+    while len(words) > 1 and words[-1] in PARTS:
+        words.pop()
+    return bool(words) and words[-1] in AGAINST_NAME
+
+
+def walk(page: str) -> Iterator[tuple[str, str, str]]:
+    """("<", name, attributes), (">", name, "") and ("", "", text) in page order; every element is closed, void ones at once."""
+    stack: list[str] = []
+
+    def until(k: int):
         while len(stack) > k:
-            name, never = stack.pop()
-            skipping -= never
-            links -= name == "a"
-            articles -= name in ("article", "main")
+            yield ">", stack.pop(), ""
 
     for m in TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
-            if not skipping:
-                out.append(("linkword" if links else "word", text, articles > 0))
+            yield "", "", text
             continue
         name = m["name"] or m["name2"]
         if name is None:
             continue
-        name = name.lower()
+        name, attrs = name.lower(), m["attrs"] or ""
         if m["close"] or m["close2"]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            inside, skipped = articles > 0, skipping
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k] == name), None)
             if at is not None:
-                pop(at)
-            if not skipped:
-                out.append((f"</{name}", "", inside))
+                yield from until(at)
             continue
-        if name in BLOCK and stack and stack[-1][0] != "p":  # a block ends an open paragraph, whatever inline elements are still open
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK), None)
-            if k is not None and stack[k][0] == "p":
-                pop(k)
-        elif name in BLOCK and stack:
-            pop(len(stack) - 1)
+        if name in BLOCK:  # a block ends an open paragraph, whatever inline elements are still open
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k] in BLOCK), None)
+            if k is not None and stack[k] == "p":
+                yield from until(k)
         if name in CLOSES:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SCOPE[name] and stack[k][0] not in CLOSES[name]:
+                if stack[k] in SCOPE[name] and stack[k] not in CLOSES[name]:
                     break
-                if stack[k][0] in CLOSES[name]:
-                    pop(k)
+                if stack[k] in CLOSES[name]:
+                    yield from until(k)
                     break
-        never = _never(name, m["attrs"] or "", articles > 0)
-        if not skipping and not never:
-            out.append((f"<{name}", "", articles > 0))
-        if name not in VOID and not (m["attrs"] or "").rstrip().endswith("/"):
-            stack.append((name, never))
-            skipping += never
+        yield "<", name, attrs
+        if name in VOID or attrs.rstrip().endswith("/"):
+            yield ">", name, ""
+        else:
+            stack.append(name)
+    yield from until(0)
+
+
+def count(page: str) -> Counter:
+    """(mark or tag, inside) -> words or tags of a labelled page, the marking hidden; ("", inside): all words.  What there is a prior against is outside."""
+    found: Counter = Counter()
+    path: list[tuple[tuple[str, ...], bool]] = []
+    articles = bad = 0
+    for sign, name, x in walk(page):
+        inside = articles > 0 and not bad
+        if sign == "<":
+            own = marks(name, x)
+            if articles and name == "header":
+                own = own[1:]
+            worse = name not in LABELS and any(against(k) for k in own)
+            if name not in LABELS:
+                found[f"<{name}", inside and not worse] += 1
+            path.append((() if name in LABELS else own, worse))
+            articles += name in LABELS
+            bad += worse
+        elif sign == ">":
+            articles -= name in LABELS
+            bad -= path.pop()[1]
+        elif n := len(x.split()):
+            found["", inside] += n
+            for mark in {k for own, _ in path for k in own}:
+                found[mark, inside] += n
+    return found
+
+
+class Weights:
+    """Log ratios of marks, and scores of tags, from counts of labelled pages."""
+
+    def __init__(self, found: Counter, prior: bool = True):
+        total = [max(1, found["", False]), max(1, found["", True])]
+        self.prior, self.marks, self.tags = prior, {}, {}
+        for key in {k for k, _ in found if k}:
+            out, inside = found[key, False], found[key, True]
+            if key[0] == "<":
+                self.tags[key[1:]] = -TAG * (out + 1) / (out + inside + 2) - 0.001
+            else:
+                self.marks[key] = self.ratio(key, out / total[0], inside / total[1])
+
+    def ratio(self, mark: str, out: float, inside: float) -> float:
+        return math.log((inside + LEAST) / (out + LEAST + (PRIOR if self.prior and against(mark) else 0)))
+
+    def mark(self, mark: str) -> float:
+        return self.marks[mark] if mark in self.marks else self.ratio(mark, 0, 0)
+
+    def tag(self, name: str) -> float:
+        return self.tags.get(name, -TAG / 2)
+
+
+def learn(pages: list[str], prior: bool = True) -> Weights:
+    return Weights(sum((count(p) for p in pages if marked(p)), Counter()), prior)
+
+
+def marked(page: str) -> bool:
+    return re.search("<(article|main)[\\s>]", page, re.I) is not None
+
+
+Token = tuple[float, str, str, bool, bool]
+
+
+def tokens(page: str, weights: Weights) -> list[Token]:
+    """(score, tag or "", text, left out, in a link) in page order; words are in runs, as text between tags."""
+    out: list[Token] = []
+    path: list[tuple[float, int | None]] = []  # of each open element: the least log ratio so far, and where an element to be left out begins
+    articles, links, own_marks = 0, 0, marked(page)
+    for sign, name, x in walk(page):
+        low, gone = path[-1] if path else (0.0, None)
+        if sign == "<":
+            found = marks(name, x) if name not in LABELS and name not in ("html", "body") else ()
+            if articles and name == "header":
+                found = found[1:]
+            low = min([low, *(weights.mark(k) for k in found)])
+            here = gone
+            if gone is None and BASE + (INSIDE if articles else 0) + low < 0:
+                here = len(out)
+            path.append((low, here))
+            articles += name in LABELS
             links += name == "a"
-            articles += name in ("article", "main")
+            if name not in LABELS:
+                out.append((-0.001 if articles else weights.tag(name), f"<{name}", "", here is not None, False))
+        elif sign == ">":
+            articles -= name in LABELS
+            links -= name == "a"
+            _, here = path.pop()
+            if name not in LABELS and name not in VOID:
+                out.append((-0.001 if articles else weights.tag(name), f"</{name}", "", here is not None, False))
+            if here is not None and (path[-1][1] if path else None) is None:  # the whole element costs a bounded sum
+                cost, most = sum(t[0] for t in out[here:]), 0.001 if articles else GAP / 2
+                if cost < -most:
+                    out[here:] = [(t[0] * -most / cost, *t[1:]) for t in out[here:]]
+        elif n := len(x.split()):
+            z = BASE + low + ((INSIDE if articles else OUTSIDE) if own_marks else 0)
+            out.append((n * (1 / (1 + math.exp(-z)) - 0.5), "", x, gone is not None, links > 0))
+        else:
+            out.append((0.0, "", x, gone is not None, False))
     return out
 
 
-def _hidden(kind: str) -> bool:
-    return kind in ("<article", "</article", "<main", "</main")
-
-
-def learn(pages: list[str], least: float = 0.5) -> dict[str, float]:
-    """Log-odds of each kind of token from the pages that mark their article, with the marking hidden."""
-    inside, outside = Counter(), Counter()
-    for page in pages:
-        found = tokens(page)
-        if not any(a for _, _, a in found):
-            continue
-        for kind, text, a in found:
-            if not _hidden(kind):
-                (inside if a else outside)[kind] += len(text.split()) if text else 1
-    weights = dict(START)
-    for kind in {*inside, *outside}:
-        odds = math.log((inside[kind] + least) / (outside[kind] + least))
-        # words speak for content and tags against it, more or less so as the pages say
-        weights[kind] = max(0.5, min(odds, 3.0)) if kind == "word" else max(-4.0, min(odds, -0.1))
-    return weights
-
-
-def region(found: list[tuple[str, str, bool]], weights: dict[str, float]) -> tuple[int, int]:
-    """The maximum-scoring contiguous run of tokens, as a half-open range; the first of equal ones."""
-    marked = any(a and text.strip() for _, text, a in found)
+def region(scores: list[float]) -> tuple[int, int]:
+    """The maximum-scoring contiguous run, as a half-open range; the first of equal ones, empty if none is positive."""
     best, best_at, sum_, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, text, inside) in enumerate(found):
-        if text:
-            w = weights[kind] * len(text.split())
-            if marked:
-                w = (abs(w) + 0.1 if inside else -abs(w) - SURE) if text.strip() else 0.0
-        elif _hidden(kind):
-            w = -0.01 if marked and inside else -SURE
-        else:
-            w = -0.001 if marked and inside else weights.get(kind, weights["tag"])
+    for i, s in enumerate(scores):
         if sum_ <= 0:
             sum_, start = 0.0, i
-        sum_ += w
+        sum_ += s
         if sum_ > best:
             best, best_at = sum_, (start, i + 1)
     return best_at
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
+def _ends(token: Token) -> bool:
+    return token[1].lstrip("</") in BLOCK
+
+
+def widen(found: list[Token], at: int, step: int) -> int:
+    """Places from ``at`` on, in direction ``step``, to take on: the rest of a block, then blocks of positive words without links (over what is left out)."""
+    taken, begun, i = at, False, at
+    words, good = False, True
+    while 0 <= i < len(found):
+        score, _, text, gone, link = found[i]
+        i += step
+        if _ends(found[i - step]):
+            if not good:
+                return taken
+            if words or not begun:
+                taken = i - step
+            words, begun = False, True
+        elif text.strip() and not gone:
+            words, good = True, not begun or good and score > 0 and not link
+    return i if good and (words or not begun) else taken
+
+
+def extract(page: str | None, weights: Weights) -> str:
     """The main text: one line a block."""
     if not page:
         return ""
-    found = tokens(page)
-    a, b = region(found, weights)
-    while a > 0 and found[a - 1][0][1:] in HEADINGS:  # tags just before the first words, for block starts only
-        a -= 1
+    found = tokens(page, weights)
+    a, b = region([t[0] for t in found])
+    if a == b:
+        return ""
+    a, b = widen(found, a - 1, -1) + 1, widen(found, b, 1)
     lines, own = [], []
 
     def end() -> None:
@@ -196,26 +301,38 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             lines.append(line)
         own.clear()
 
-    for kind, text, _ in found[a:b]:
-        if text:
-            own.append(text)
-        elif kind.lstrip("</") in BLOCK:
+    for token in found[a:b]:
+        _, tag, text, gone, _ = token
+        if _ends(token):
             end()
-        elif kind == "<br":
+        elif tag == "<br":
             own.append(" ")
+        elif text and not gone:
+            own.append(text)
     end()
     return "\n".join(lines)
 
 
-def fit(pages: DataFrame, sample: int = 1000, seed: int = 5) -> dict[str, float]:
-    """Weights from at most ``sample`` pages in hash order, read by the driver."""
-    marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html", F.xxhash64("url", "html", F.lit(seed)).alias("h"))
-    least = [r.h for r in marked.select("h").distinct().orderBy("h").limit(sample).collect()]  # hashes only: no task sends pages that are not in the sample
-    few = marked.filter(F.col("h") <= least[-1]).dropDuplicates(["h"]).orderBy("h").collect() if least else []
-    return learn([r.html for r in few])
+def _count(batches):
+    for batch in batches:
+        found = sum((count(x) for x in batch.column("html").to_pylist()), Counter())
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.bool_()), pa.array([found[k] for k in keys], pa.int64())], names=["key", "inside", "n"])
+
+
+def fit(pages: DataFrame, sample: int = 1000, most: int = 5000, seed: int = 5, prior: bool = True) -> Weights:
+    """Weights from at most ``sample`` labelled pages and the ``most`` commonest marks and tags in them."""
+    own = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("html", F.xxhash64("url", "html", F.lit(seed)).alias("h"))
+    least = [r.h for r in own.select("h").distinct().orderBy("h").limit(sample).collect()]  # hashes only: no task sends pages
+    if not least:
+        return Weights(Counter(), prior)
+    few = own.filter(F.col("h") <= least[-1]).dropDuplicates(["h"]).select("html")
+    rows = few.mapInArrow(_count, "key string, inside boolean, n long").groupBy("key").agg(*(F.sum(F.when(F.col("inside") == side, F.col("n"))).alias(name) for side, name in ((F.lit(True), "a"), (F.lit(False), "b"))))
+    found = rows.withColumn("n", F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).orderBy((F.col("key") != ""), F.col("n").desc(), "key").limit(most).collect()
+    return Weights(Counter({k: v for r in found for k, v in (((r.key, True), r.a or 0), ((r.key, False), r.b or 0))}), prior)
 
 
-def extract_pages(spark: SparkSession, pages: DataFrame, weights: dict[str, float]) -> DataFrame:
+def extract_pages(spark: SparkSession, pages: DataFrame, weights: Weights) -> DataFrame:
     """All columns of pages, with text and n_chars (code points)."""
     plain = pages.drop("text", "n_chars")
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), "text string", "n_chars long"])
