@@ -14,7 +14,8 @@ whole texts of all rows, and what is broadcast are the words of positive weight,
 Cases.  Null or empty text: no sentence, score 0.  Null doc_id: scored, not held out.
 Several labels of one doc_id: the largest counts.  Null labels are not learned from.
 Repeated rows: each is scored.  No usable labels: all weights 0, and the bias gives
-scores near 0.  Extra columns are ignored.  A text of any length is scored in pieces.
+scores near 0.  Extra columns are ignored.  Texts of any length are worked through in pieces,
+sentences of any length are whole.
 """
 
 from __future__ import annotations
@@ -35,36 +36,63 @@ def _is_letter(raw: np.ndarray) -> np.ndarray:
     return ((raw >= 97) & (raw <= 122)) | (raw >= 128) | ((raw >= 65) & (raw <= 90)) | ((raw >= 48) & (raw <= 57))
 
 
-def sentences(raw: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (feature, sentence) pairs, by sentence, and starts and ends (bytes) of sentences with words."""
-    z = np.zeros(0, np.int64)
-    if not len(raw):
-        return z, z, z, z
-    low = lower_ascii(raw)
-    s, e, _ = word_spans(low, np.array([0, len(low)]), _is_letter(low))
-    if not len(s):
-        return z, z, z, z
-    feature = (span_hash(prefix_hash(low), s, e) >> np.uint64(64 - bits)).astype(np.int64)
-    stops = np.flatnonzero((low == 46) | (low == 33) | (low == 63) | (low == 10))
-    number = np.searchsorted(stops, s)
-    new = np.r_[True, number[1:] != number[:-1]]
-    first = np.flatnonzero(new)
-    pairs = np.unique(((np.cumsum(new) - 1) << bits) | feature)  # a word repeated in a sentence says no more
-    return pairs & ((1 << bits) - 1), pairs >> bits, s[first], e[np.r_[first[1:] - 1, len(s) - 1]]
-
-
-def _pieces(raw: np.ndarray, size: int = 1 << 20):
-    """Cuts a long text after line ends or stops (or anywhere, if there is none)."""
+def _stops(low: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((low == 46) | (low == 33) | (low == 63) | (low == 10))
+
+
+def _pieces(raw: np.ndarray, size: int):
+    """Parts of about ``size`` bytes, none of which ends within a word: (first byte, part)."""
     a = 0
-    while len(raw) - a > size:
-        own = raw[a : a + size]
-        cut = np.flatnonzero((own == 10) | (own == 46))
-        if not len(cut):
-            cut = np.flatnonzero(own == 32)
-        b = a + (int(cut[-1]) + 1 if len(cut) else size)
+    while a < len(raw):
+        b = min(len(raw), a + size)
+        gaps = np.flatnonzero(~_is_letter(raw[a:b])) if b < len(raw) else []
+        if len(gaps):
+            b = a + int(gaps[-1]) + 1
+        else:
+            while b < len(raw):  # a word longer than that: on to its end
+                c = min(len(raw), b + size)
+                gaps = np.flatnonzero(~_is_letter(raw[b:c]))
+                b = b + int(gaps[0]) + 1 if len(gaps) else c
+                if len(gaps):
+                    break
         yield a, raw[a:b]
         a = b
-    yield a, raw[a:]
+
+
+def sentences(raw: np.ndarray, bits: int = BITS, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (feature, sentence) pairs, by sentence, and starts and ends (bytes) of sentences with words.
+
+    Long texts are worked through in pieces; a sentence goes on from one piece to the next.
+    """
+    z = np.zeros(0, np.int64)
+    pairs, starts, ends = [z], [z], [z]
+    count, open_ = 0, False  # sentences so far; whether the last one goes on
+    for at, part in _pieces(raw, piece):
+        low = lower_ascii(part)
+        s, e, _ = word_spans(low, np.array([0, len(low)]), _is_letter(low))
+        stops = _stops(low)
+        if not len(s):
+            open_ = open_ and not len(stops)
+            continue
+        feature = (span_hash(prefix_hash(low), s, e) >> np.uint64(64 - bits)).astype(np.int64)
+        number = np.searchsorted(stops, s)
+        new = np.r_[True, number[1:] != number[:-1]]
+        first = np.flatnonzero(new)
+        goes_on = open_ and number[0] == 0
+        pairs.append(np.unique(((np.cumsum(new) - 1 + count - goes_on) << bits) | feature))  # a word repeated in a sentence says no more
+        own_ends = e[np.r_[first[1:] - 1, len(s) - 1]] + at
+        if goes_on:
+            ends[-1][-1] = own_ends[0]
+        starts.append(s[first][int(goes_on) :] + at)
+        ends.append(own_ends[int(goes_on) :])
+        if not len(ends[-1]):
+            ends.pop()
+        count += len(first) - goes_on
+        open_ = not len(stops) or stops[-1] < s[-1]
+    found = np.concatenate(pairs)
+    if len(pairs) > 2:
+        found = np.unique(found)
+    return found & ((1 << bits) - 1), found >> bits, np.concatenate(starts), np.concatenate(ends)
 
 
 def _featurise(batches):
@@ -130,22 +158,16 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 120, lea
 def score_text(raw: np.ndarray, w: Weights) -> tuple[float, int, float, int, int]:
     """Noisy-or of all sentences, their number, and the worst one's probability, start and end (bytes)."""
     words, weight, bias = w
-    clean, count, worst = 0.0, 0, (0.0, 0, 0)
-    for at, part in _pieces(raw):
-        f, n, s, e = sentences(part)
-        if not len(s):
-            continue
-        z = np.full(len(s), bias)
-        if len(words):
-            at_word = np.minimum(np.searchsorted(words, f), len(words) - 1)
-            z += np.bincount(n, np.where(words[at_word] == f, weight[at_word], 0), minlength=len(s))
-        z = np.clip(z, -30, 30)
-        clean += float(np.logaddexp(0, z).sum())
-        count += len(s)
-        k = int(z.argmax())
-        if (p := 1 / (1 + np.exp(-z[k]))) > worst[0]:
-            worst = (float(p), at + int(s[k]), at + int(e[k]))
-    return float(-np.expm1(-clean)), count, *worst
+    f, n, s, e = sentences(raw)
+    if not len(s):
+        return 0.0, 0, 0.0, 0, 0
+    z = np.full(len(s), bias)
+    if len(words):
+        at_word = np.minimum(np.searchsorted(words, f), len(words) - 1)
+        z += np.bincount(n, np.where(words[at_word] == f, weight[at_word], 0), minlength=len(s))
+    z = np.clip(z, -30, 30)
+    k = int(z.argmax())
+    return float(-np.expm1(-np.logaddexp(0, z).sum())), len(s), float(1 / (1 + np.exp(-z[k]))), int(s[k]), int(e[k])
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = 8000, seed: int = 11) -> Weights:

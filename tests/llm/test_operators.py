@@ -393,6 +393,27 @@ def test_long_text_is_scored_whole():
     assert p > 0.9 and text[a:b] == b"vile"
 
 
+@pytest.mark.parametrize("gap", [" word", "", " ", "x"])
+def test_long_sentence_is_scored_whole(gap):
+    """Two words that only together offend, in one sentence of over a megabyte."""
+    of = lambda t: int(toxicity.sentences(np.frombuffer(t.encode(), np.uint8))[0][0])
+    pair = sorted([of("vile"), of("rotten")])
+    w = (np.array(pair), np.array([4.0, 4.0], np.float32), -7.0)
+    scored = lambda t: toxicity.score_text(np.frombuffer(t.encode(), np.uint8), w)
+    short, long = scored("vile rotten"), scored("vile " + (gap * (1_300_000 // len(gap)) if gap else "") + " rotten")
+    assert short[:3] == long[:3] and short[1] == 1 and long[4] > (1_200_000 if gap else 0)
+
+
+def test_sentences_do_not_depend_on_pieces():
+    rng = random.Random(23)
+    for _ in range(60):
+        text = "".join(rng.choice(["ab", "c ", ". ", "!", "\n", " ", "dd e", ",", "fghijklmnop"]) for _ in range(rng.randrange(0, 60)))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        whole = [x.tolist() for x in toxicity.sentences(raw)]
+        for piece in (1, 2, 5, 16):
+            assert [x.tolist() for x in toxicity.sentences(raw, piece=piece)] == whole
+
+
 def test_decontamination(spark, odd_texts):
     rng = random.Random(11)
     items = [prose(rng, n) for n in (12, 25, 40)] + ["short one", "", None]
