@@ -8,20 +8,23 @@ whole bitmaps (negative components take the complement).  Rows are then selected
 the most significant score slice downward; rows that tie at the boundary are resolved
 by vec_id, and scores are read back exactly from the slices.
 
-Queries meet the index in blocks: (chunk of queries) x (block of rows).  Each task keeps
-the best k of a query over the blocks it has, so what is merged is k rows a query and task.
+Queries meet the index in blocks: (chunk of queries) x (block of rows), laid in a grid of
+groups of chunks x groups of blocks, one task for each cell.  A task keeps the best k of a query
+over the blocks of its cell, so k rows a query and group of blocks are merged; both sides are
+copied about as often as the square root of the number of tasks.
 
 Cases.  A vector that is null, or holds a null or non-finite component, takes no part as
 query or candidate.  Null vec_id takes no part.  Repeated vec_id: every row takes part, as a
-query and as a candidate of all rows but itself (``one_per_id``: the largest vector in array
-order stands for all).  Empty vectors score 0.  Shorter vectors count as padded with
-zeros.  Components of any size count in full (``limit``: clipped to +-limit); one that, or a
-chosen score that, does not fit a long is an error.  Ties go to the smaller vec_id.  Fewer
+query and as a candidate of all rows but itself.  Empty vectors score 0.  Shorter vectors count
+as padded with zeros.  Components of any size count in full; one that, or a chosen score that,
+does not fit a long is an error.  Ties go to the smaller vec_id.  Fewer
 than k candidates: all are returned.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,24 +34,19 @@ from . import common
 
 _U = np.uint64
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
-LIMIT = 1 << 24
 
 
-def quantise(vectors: DataFrame, scale: float, limit: int | None = LIMIT, one_per_id: bool = True) -> DataFrame:
+def quantise(vectors: DataFrame, scale: float) -> DataFrame:
     """(row, vec_id, q array<long>) of the vectors that take part; row tells them apart once staged."""
     x = F.col("embedding")
     good = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
 
     def level(v):
         y = F.lit(float(scale)) * v.cast("double")
-        if limit is not None:
-            return F.greatest(F.lit(-limit), F.least(F.lit(limit), F.floor(y).cast("long")))
         wide = (y >= F.lit(2.0**63)) | (y < F.lit(-(2.0**63)))
         return F.when(wide, F.raise_error(F.lit("top-k: a quantised component does not fit a long")).cast("long")).otherwise(F.floor(y).cast("long"))
 
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).select("vec_id", F.transform(x, level).alias("q"))
-    if one_per_id:
-        rows = rows.groupBy("vec_id").agg(F.max("q").alias("q"))
     return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "q")
 
 
@@ -214,25 +212,28 @@ def _search(k: int):
     return run
 
 
-def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, block_rows: int = 1024, chunk_queries: int = 128, limit: int | None = LIMIT, one_per_id: bool = True) -> DataFrame:
+def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, block_rows: int = 1024, chunk_queries: int = 128) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of every query row."""
-    rows = common.stage(spark, quantise(vectors, scale, limit, one_per_id), "topk-rows")
+    rows = common.stage(spark, quantise(vectors, scale), "topk-rows")
     n, nq = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     blocks, chunks = -(-n // block_rows) or 1, -(-nq // chunk_queries) or 1
-    tasks = max(common.partitions(spark), min(blocks, 1024))
+    tasks = min(max(common.partitions(spark), min(blocks, 1024)), blocks * chunks)
+    across = min(blocks, math.ceil(math.sqrt(tasks)))  # groups of blocks; a query's results are merged over them
+    down = min(chunks, -(-tasks // across))
     place = lambda salt, m: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(m)).cast("long")
+    copies = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     index = rows.withColumn("block", place(1, blocks)).groupBy("block").applyInArrow(pack_block, "block long, n int, d int, bits int, ids binary, own binary, lo binary, slices binary")
-    index = common.stage(spark, index, "topk-index").repartition(tasks, "block")
+    index = common.stage(spark, index, "topk-index").withColumn("gb", F.col("block") % across).withColumn("gc", copies(down))
     queries = rows.filter(is_query).withColumn("chunk", place(2, chunks)).groupBy("chunk").applyInArrow(pack_queries, "chunk long, qd int, qids binary, qrows binary, qs binary")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).repartition(tasks, "block")
-    met = queries.join(index.hint("merge"), "block").sortWithinPartitions("chunk", "block")
+    queries = queries.withColumn("gc", F.col("chunk") % down).withColumn("gb", copies(across))
+    met = queries.repartition(tasks, "gc", "gb").join(index.repartition(tasks, "gc", "gb").hint("merge"), ["gc", "gb"]).sortWithinPartitions("gb", "chunk", "block")
     best = met.mapInArrow(_search(k), "query_row long, query_id long, vec_id long, score long")
     by_query = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return best.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(spark, common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, limit=None, one_per_id=False)
+    return search(spark, common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 ORACLE_SQL = """

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import operator
 import random
 import re
 import zlib
@@ -221,16 +222,16 @@ def test_topk_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=9), 1)], 0) for i in range(130)]
     rows[7] = (7, rows[6][1], 0)
-    rows += [(200, None, 0), (220, [1.0, None], 0), (240, [1.0, float("nan")], 0), (260, [], 0), (280, [2.5], 0), (0, rows[0][1], 0), (300, [1e30] * 9, 0)]
+    rows += [(200, None, 0), (220, [1.0, None], 0), (240, [1.0, float("nan")], 0), (260, [], 0), (280, [2.5], 0), (0, rows[0][1], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block int")
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(spark, df, F.col("vec_id") % 20 == 0, k=5, block_rows=40, chunk_queries=3).collect()}
-    q = {i: [max(-(1 << 24), min(1 << 24, math.floor(64 * x))) for x in v] for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    expected = {}
-    for i in q:
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(spark, df, F.col("vec_id") % 20 == 0, k=5, block_rows=40, chunk_queries=3).collect())
+    q = [(i, [math.floor(64 * x) for x in v]) for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    expected = []
+    for a, (i, x) in enumerate(q):
         if i % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i)[:5]
-            expected |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(best)}
-    assert got == expected
+            best = sorted((-sum(map(operator.mul, x, y)), j) for b, (j, y) in enumerate(q) if a != b)[:5]
+            expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(expected)
     assert topk.search(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
@@ -453,7 +454,34 @@ def test_alignment_matches_dynamic_programme():
         for i in range(len(a)):
             for j in range(len(b)):
                 h[i + 1][j + 1] = max(0, h[i][j] + (2 if a[i] == b[j] else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
-        assert decontam.align(np.array(a), np.array(b))[0] == max(max(x) for x in h)
+        best, start, end = decontam.located(np.array(a), np.array(b))
+        assert best == decontam.align(np.array(a), np.array(b))[0] == max(max(x) for x in h)
+        assert best == decontam.align(np.array(a), np.array(b[start:end]))[0] and (not best or b[start] in a and b[end - 1] in a)
+
+
+def test_decontamination_matches_aligning_every_pair(spark):
+    """Copies with 5 to 40 words in a hundred changed, left out or added, against the alignment of every item with every whole text."""
+    rng = random.Random(41)
+    items = [prose(rng, n).split() for n in (6, 12, 20, 30, 45, 60)]
+    rows = []
+    for i in range(150):
+        own, rate = rng.choice(items), rng.choice([0.05, 0.15, 0.25, 0.4])
+        copy = [w for x in own for w in ([x] if rng.random() > rate else rng.choice([[], ["other"], [x, "more"]]))]
+        rows.append((i, " ".join([*prose(rng, rng.randrange(40)).split(), *copy, *prose(rng, rng.randrange(40)).split()])))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, x.item_id): (x.score, x.word_start, x.word_end) for r in decontam.mark(spark, make_docs(spark, rows), bench).collect() for x in r._leaks}
+    number = collections.defaultdict(lambda: len(number))
+    code = lambda words: np.array([number[w] for w in words])
+    expected = {}
+    for i, t in rows:
+        for k, own in enumerate(items):
+            best, _, end = decontam.align(code(own), code(t.split()))
+            if best >= len(own):
+                expected[i, k] = best / (2 * len(own)), end
+    assert set(got) <= set(expected) and len(got) >= 0.9 * len(expected) and len(expected) > 100
+    assert all(abs(got[x][0] - expected[x][0]) < 1e-9 for x in got)
+    planted = decontam.mark(spark, make_docs(spark, [(1, prose(rng, 100) + " " + " ".join(items[3]) + " " + prose(rng, 20))]), bench).first()._leaks[0]
+    assert (planted.word_start, planted.word_end) == (100, 130)
 
 
 def test_quality(spark, odd_texts):
@@ -506,6 +534,29 @@ def test_langid_held_out(spark):
     assert langid.identify(spark, rows.limit(2), [], table[:0], ["doc_id"]).filter("lang is null").count() == 2
 
 
+def test_langid_cases(spark):
+    rng = random.Random(51)
+    vocabulary = {"en": "the and with from this that".split(), "de": "der und mit von dies dass".split()}
+    docs = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(20)), lang, "src0", 0, *"xyzwvqr") for i in range(60) for lang in [["en", "de"][i % 2]]]
+    docs += [(3, docs[3][1], "de", None, 0, *"xyzwvqr"), (None, "der und", "de", "", 0, *"xyzwvqr"), (70, None, None, "src1", 0, *"xyzwvqr"), (71, "", "en", "src1", 0, *"xyzwvqr"), (72, "mit " * 400_000, None, "src2", 0, *"xyzwvqr")]
+    df = spark.createDataFrame(docs, DOCS)
+    langs, table = langid.fit(spark, df, F.lit(True))
+    assert langs == ["de", "en"] and table.shape == (2, 1 << langid.BITS)
+    null = lambda: F.lit(None).cast("string")
+    rows = df.select("doc_id", "text", F.lit(False).alias("is_html"), null().alias("declared"), F.col("source").alias("host"), null().alias("suffix"), null().alias("code"))
+    got = langid.identify(spark, rows, langs, table, ["doc_id"]).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    assert len(got) == len(docs) and all(by[i][0].lang == ["en", "de"][i % 2] for i in range(60))
+    assert [r.lang for r in by[3]] == ["de", "de"] and by[None][0].lang == by[72][0].lang == "de"
+    assert by[70][0].text_lang is None and by[71][0].text_lang is None and 0 < by[70][0].prob < 1
+    tie = langid.identify(spark, rows.filter("doc_id = 71"), langs, table, ["doc_id"]).first()  # nothing speaks for either
+    assert (tie.lang, tie.prob) == ("de", 0.5)
+    assert langid.identify(spark, rows.limit(0), langs, table, ["doc_id"]).count() == 0
+    assert langid.fit(spark, df.limit(0), F.lit(True))[0] == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p><article>";</script></head><body class="has-sidebar"><header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><main><article><h1>Head &amp; line</h1><p><b>First&nbsp;para <i>graph</i><br>goes   on<p class="ad">Buy!</p><p>Second &lt;para&gt;</p><aside>More</aside>
 <ul><li>one<li>two</ul><form><input value="x"><label>Mail</label></form><section id="comments"><p>Reader says</p></section></article></main><footer>&copy; us</footer></body></html>"""
