@@ -9,8 +9,8 @@ alignment (match 2, mismatch -1, gap -1); the score is a share of a perfect matc
 Items of which the document, and then the window, holds too few words to pass are not
 aligned; that loses nothing and is what keeps frequent seeds cheap.
 
-Items are taken in chunks of at most ``chunk`` bytes, one broadcast and one pass for each,
-so what is broadcast is bounded however large the benchmark is.
+Items are taken in chunks of at most ``chunk`` bytes, one broadcast for each, so what is
+broadcast is bounded however large the benchmark is; texts are read once for all chunks.
 
 Cases.  Null or empty texts and items: no words, no leak.  Repeated items are each
 reported; of rows that share an item_id each counts.  Null item_id is reported as null.
@@ -92,18 +92,24 @@ class Items:
         return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = 1) -> tuple[int, int]:
-    """Best local alignment score of a and b, and where in b it ends (exclusive)."""
-    h, best, end = np.zeros(len(b) + 1, np.int64), 0, 0
+def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = 1) -> tuple[int, int, int]:
+    """Best local alignment score of a and b, and where in a and in b it ends (exclusive; the first of equal ones)."""
+    h, best, end_a, end_b = np.zeros(len(b) + 1, np.int64), 0, 0, 0
     slope = gap * np.arange(len(b) + 1)
-    for x in a:
+    for i, x in enumerate(a):
         new = np.maximum(h - gap, 0)
         new[1:] = np.maximum(new[1:], h[:-1] + np.where(b == x, match, mismatch))
         h = np.maximum.accumulate(new + slope) - slope  # gaps along b
         k = int(h.argmax())
         if h[k] > best:
-            best, end = int(h[k]), k
-    return best, end
+            best, end_a, end_b = int(h[k]), i + 1, k
+    return best, end_a, end_b
+
+
+def located(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment score of a and b, and where in b it starts and ends: the start is where it ends when both are read backwards."""
+    best, end_a, end_b = align(a, b)
+    return best, end_b - align(a[:end_a][::-1], b[:end_b][::-1])[2], end_b
 
 
 def leaks(w: np.ndarray, items: Items, least: float) -> list[dict]:
@@ -128,11 +134,12 @@ def leaks(w: np.ndarray, items: Items, least: float) -> list[dict]:
             a, b = max(0, int(run[0]) - slack), min(len(w), int(run[-1]) + m + slack)
             if np.isin(own, w[a:b]).sum() < least * m:
                 continue
-            score, end = align(own, w[a:b])
+            score, _, _ = align(own, w[a:b])
             if score > best[0]:
-                best = (score, a, a + end)
+                best = (score, a, b)
         if best[0] >= least * 2 * m:
-            out.append({"item_id": items.ids[i], "score": best[0] / (2 * m), "word_start": max(best[1], best[2] - m - slack), "word_end": best[2]})
+            score, start, end = located(own, w[best[1] : best[2]])
+            out.append({"item_id": items.ids[i], "score": score / (2 * m), "word_start": best[1] + start, "word_end": best[1] + end})
     return out
 
 

@@ -60,12 +60,15 @@ def fit(spark: SparkSession, docs: DataFrame, may_learn: Column, sample: int = 4
             for lang, a, b in zip(batch.column("lang").to_pylist(), off, off[1:]):
                 total.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 total[lang] += np.bincount(trigrams(raw[a:b]), minlength=1 << BITS)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["lang", "c"])
+        for lang, x in total.items():
+            some = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(x[some])], names=["lang", "bucket", "n"])
 
+    rows = own.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(chosen, "doc_id").select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
+    sums = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n"))  # at most 2**BITS of each language
     found: dict[str, np.ndarray] = {}
-    for r in own.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(chosen, "doc_id").select("lang", "text").mapInArrow(count, "lang string, c binary").toLocalIterator():
-        found[r.lang] = found.get(r.lang, 0) + np.frombuffer(r.c, np.int64)
+    for r in sums.toLocalIterator():
+        found[r.lang] = np.bincount(np.array(r.b), np.array(r.n), 1 << BITS)
     langs = sorted(found)
     if not langs:
         return [], np.zeros((0, 1 << BITS), np.float32)
