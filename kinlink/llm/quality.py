@@ -1,23 +1,30 @@
 """Quality by hierarchical empirical Bayes.
 
 A logistic model of a document's own features (repetition, shouting, symbols, length, ...)
-gives its evidence.  Sites and sections of sites have posteriors of their own: the mean of
-their documents' evidence, shrunk to the site's, which is shrunk to the global mean.  How
-much a level is shrunk is estimated from the data: the pseudo-count is the ratio of the
-variance within groups to the variance between them (method of moments).  The document's
-log-odds and the section's are added, less the global log-odds counted twice.
+gives its evidence.  Hosts, and ever longer prefixes of paths on them, have posteriors of their
+own: the mean of their documents' evidence, shrunk to that of the prefix one shorter, which
+for the host is the global mean.  How much a level is shrunk is estimated from the data: the
+pseudo-count is the ratio of the variance within groups to the variance between them (method
+of moments).  A document's log-odds and those of its longest prefix are added, less the global
+log-odds counted twice.
+
+The query scores every page, by its main text and its address, and every document; documents
+have no address, so their source stands for the host and their language for the path.
 
 Fitting takes a bounded sample of ``sample`` labelled rows; group statistics cover all rows
 and are made by pre-aggregated sums.
 
-Cases.  Null or empty text: features 0, scored like any other.  Null site or section: a group
-of its own.  Null doc_id: scored.  Several labels of a doc_id: the largest counts.  No usable
-labels: evidence 1/2 for all.  Repeated rows count and are scored each.  Empty table: empty
-result.  Extra columns are ignored.
+Cases.  Null or empty text: features 0, scored like any other.  Null or malformed address: no
+host and no path, a group of its own at each level.  Null doc_id: scored.  Several labels of a
+doc_id: the largest counts.  No usable labels: evidence 1/2 for all.  Repeated rows count and
+are scored each.  Empty table: empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,34 +136,58 @@ def shrink(sums: DataFrame, keys: list[str], parent: Column, most: float = 1e4)
     return sums.join(F.broadcast(k), how="cross").withColumn("mean", (F.col("s") + F.col("k") * parent) / (F.col("n") + F.col("k"))).drop("k")  # k is one row
 
 
-def posterior(spark: SparkSession, docs: DataFrame, model: dict, site: str, section: str, threshold: float = 0.5) -> DataFrame:
-    """doc_id, evidence, site_mean, section_mean, score, kept of every row."""
+def posterior(spark: SparkSession, docs: DataFrame, model: dict, *levels: str, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
+    """``keep``, evidence, means (of each level, the widest first), score, kept of every row; ``levels`` are columns, each a part of the one before."""
     sent = spark.sparkContext.broadcast(model)
+    own = [f"_l{i}" for i in range(len(levels))]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "_site", "_section")), pa.array(evidence(_matrix(part), sent.value))], names=["doc_id", "_site", "_section", "evidence"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*keep, *own)), pa.array(evidence(_matrix(part), sent.value))], names=[*keep, *own, "evidence"])
 
-    own = docs.select("doc_id", F.col(site).cast("string").alias("_site"), F.col(section).cast("string").alias("_section"), "text")
-    rows = common.stage(spark, own.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _site string, _section string, evidence double"), "quality-rows")
+    rows = docs.select(*keep, *(F.col(c).cast("string").alias(x) for c, x in zip(levels, own)), "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    rows = common.stage(spark, rows.mapInArrow(run, f"{kinds}, evidence double"), "quality-rows")
     total = rows.agg(F.avg("evidence")).first()[0]
     base = float(total) if total is not None else 0.5
     sums = (F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("ss"))
-    sites = shrink(rows.groupBy("_site").agg(*sums), ["_site"], F.lit(base)).select(F.col("_site").alias("_s"), F.col("mean").alias("site_mean"))
-    sections = rows.groupBy("_site", "_section").agg(*sums)
-    sections = sections.join(sites, F.col("_site").eqNullSafe(F.col("_s"))).drop("_s")
-    sections = shrink(sections, ["_site", "_section"], F.col("site_mean")).select(F.col("_site").alias("_s"), F.col("_section").alias("_t"), "site_mean", F.col("mean").alias("section_mean"))
+    above, out = None, rows
+    for i in range(len(own)):
+        keys = own[: i + 1]
+        same = lambda names: reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names))
+        groups = rows.groupBy(*keys).agg(*sums)
+        parent = F.lit(base)
+        if above is not None:
+            groups, parent = groups.join(above, same(keys[:-1])).drop(*(f"_{c}" for c in keys[:-1])), F.element_at("means", -1)
+        groups = shrink(groups, keys, parent)
+        means = F.array("mean") if above is None else F.concat("means", F.array("mean"))
+        above = groups.select(*(F.col(c).alias(f"_{c}") for c in keys), means.alias("means"))
+    out = rows.join(above, same(own))
     logit = lambda p: F.log(p / (1 - p))
-    out = rows.join(sections, F.col("_site").eqNullSafe(F.col("_s")) & F.col("_section").eqNullSafe(F.col("_t")))
-    z = logit(F.col("evidence")) + logit(F.col("section_mean")) - F.log(F.lit(base) / (1 - F.lit(base)))
-    out = out.withColumn("score", 1 / (1 + F.exp(-z)))
-    return out.select("doc_id", "evidence", "site_mean", "section_mean", "score", (F.col("score") >= threshold).alias("kept"))
+    z = logit(F.col("evidence")) + logit(F.element_at("means", -1)) - F.log(F.lit(base) / (1 - F.lit(base)))
+    return out.withColumn("score", 1 / (1 + F.exp(-z))).select(*keep, "evidence", "means", "score", (F.col("score") >= threshold).alias("kept"))
+
+
+def address(url: Column) -> list[Column]:
+    """Host, and its paths of one and of two parts (null where there are none)."""
+    some = lambda c: F.when(c != "", c)
+    host = some(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)))
+    path = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1), "/"), lambda x: x != "")
+    return [host, *(F.when(F.size(path) >= n, F.array_join(F.slice(path, 1, n), "/")) for n in (1, 2))]
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    from . import html_extract
     from .toxicity import fold
 
+    docs, labels, pages = (common.table(spark, sf_dir, t) for t in ("documents", "labels", "pages"))
     model = fit(spark, docs, labels, fold(3) != 1)
-    return posterior(spark, docs, model, "source", "lang")
+    pages = pages.select("page_id", "url", "html")
+    texts = html_extract.extract_pages(spark, pages, html_extract.fit(pages))
+    null = lambda kind: F.lit(None).cast(kind)
+    host, one, two = address(F.col("url"))
+    rows = docs.select("doc_id", null("long").alias("page_id"), "text", F.col("source").cast("string").alias("host"), F.col("lang").cast("string").alias("one"), null("string").alias("two"))
+    rows = rows.unionByName(texts.select(null("long").alias("doc_id"), "page_id", "text", host.alias("host"), one.alias("one"), two.alias("two")))
+    rows = rows.withColumn("site", F.concat(F.when(F.col("page_id").isNull(), "source ").otherwise("host "), F.coalesce("host", F.lit(""))))
+    return posterior(spark, rows, model, "site", "one", "two", keep=("doc_id", "page_id"))

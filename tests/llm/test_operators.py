@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinlink.llm import common, decontam, graph, html_extract, katz, langid, minhash, mixing, quality, suffix_dedup, topk, toxicity
+from kinlink.llm import common, decontam, graph, html_extract, katz, langid, minhash, mixing, quality, registry, suffix_dedup, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, n string, d1 string, _leaks string, u string, at string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -351,6 +351,22 @@ def test_katz_matches_brute_force(spark, order):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == expected
 
 
+def test_katz_tables_hold_all_counts(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice(WORDS[:6]) for _ in range(rng.randrange(1, 30)))) for i in range(80)]
+    _, tables = katz.fit_and_score(spark, make_docs(spark, texts), F.lit(False), block=500, slice_keys=20)
+    rows = katz.ngrams(tables).collect()
+    model = Katz([t.split() + ["</s>"] for _, t in texts], 3)
+    for order in (2, 3):
+        own = [r for r in rows if r.order == order]
+        assert len({(tuple(r.history), r.word) for r in own}) == len(own)
+        assert sorted(r.n for r in own) == sorted(model.grams[order - 1].values())
+        per = collections.Counter()
+        for r in own:
+            per[tuple(r.history)] += r.n
+        assert sorted(per.values()) == sorted(sum(x.values()) for x in model.follow[order - 1].values())
+
+
 def test_katz_without_training_rows(spark):
     assert katz.score(spark, make_docs(spark, []), F.lit(False)).count() == 0
     got = katz.score(spark, make_docs(spark, [(1, "a b"), (2, None)]), F.lit(True)).collect()
@@ -517,6 +533,57 @@ def test_quality_shrinks_sparse_groups(spark):
     assert abs(got["a"] - 0.1) < 0.01 and abs(got["b"] - 0.9) < 0.01 and got["c"] < 1.0
 
 
+def test_quality_posterior_matches_brute_force(spark):
+    rng = random.Random(61)
+    rows = [(i, rng.choice(["buy NOW!! " * rng.randrange(1, 9), prose(rng, rng.randrange(5, 60))]), rng.choice("abc"), rng.choice(["x", "y", None]), rng.choice(["p", None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, l0 string, l1 string, l2 string")
+    model = quality.train(np.stack([quality.features(np.frombuffer(t.encode(), np.uint8)) for _, t, *_ in rows]), np.array(["buy" not in t for _, t, *_ in rows], float))
+    got = {r.doc_id: r for r in quality.posterior(spark, df, model, "l0", "l1", "l2").collect()}
+    e = quality.evidence(np.stack([quality.features(np.frombuffer(t.encode(), np.uint8)) for _, t, *_ in rows]), model)
+    base, means = e.mean(), {(): e.mean()}
+    for depth in (1, 2, 3):
+        groups = collections.defaultdict(list)
+        for x, (_, _, *levels) in zip(e, rows):
+            groups[tuple(levels[:depth])].append(x)
+        within = sum(((np.array(g) - np.mean(g)) ** 2).sum() for g in groups.values()) / max(1, len(e) - len(groups))
+        between = sum(len(g) * (np.mean(g) - means[k[:-1]]) ** 2 for k, g in groups.items()) / len(e)
+        pseudo = min(1e4, max(1.0, within / between))
+        means |= {k: (sum(g) + pseudo * means[k[:-1]]) / (len(g) + pseudo) for k, g in groups.items()}
+    logit = lambda p: math.log(p / (1 - p))
+    for x, (i, _, *levels) in zip(e, rows):
+        z = logit(x) + logit(means[tuple(levels)]) - logit(base)
+        assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-9 and np.allclose(got[i].means, [means[tuple(levels[:d])] for d in (1, 2, 3)])
+
+
+def test_quality_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = registry.QUERIES["op4_quality"](spark, sf)
+    labels = common.table(spark, sf, "labels").filter(toxicity.fold(3) == 1).select("doc_id", F.col("quality").alias("y"))
+    rows = [(r.score, r.y) for r in got.join(labels, "doc_id").collect()]
+    good, bad = [s for s, y in rows if y], [s for s, y in rows if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    assert auc > 0.9 and len(rows) > 100
+    assert got.count() == sum(common.table(spark, sf, t).count() for t in ("documents", "pages"))
+
+
+def test_addresses(spark):
+    urls = ["https://A.example.org/en/5/x?q=1#t", "http://u@b.example.org:80", "http://c.example.org/one", "nonsense", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [tuple(r) for r in df.select(*quality.address(F.col("url"))).collect()] == [("a.example.org", "en", "en/5"), ("b.example.org", None, None), ("c.example.org", "one", None), (None, None, None), (None,) * 3]
+
+
+def test_mixing_with_uneven_quality_and_equal_rows(spark):
+    rng = random.Random(71)
+    rows = [(i, prose(rng, rng.randrange(1, 30))) for i in range(300)] + [(7, "the same row")] * 5000 + [(None, None)] * 40
+    docs = make_docs(spark, rows)
+    got = mixing.mix(spark, docs, quality=F.pow(F.lit(10.0), -(F.coalesce("doc_id", F.lit(0)) % 4)), keep=("lang",)).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    per = collections.defaultdict(list)
+    for r in got:
+        per[r.source].append(r)
+    assert all(abs(sum(r.taken for r in own) - own[0].target) <= 1 for own in per.values())
+
+
 def test_langid_held_out(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     langs, table = langid.fit(spark, docs, toxicity.fold(3) != 1)
