@@ -15,8 +15,10 @@ def document_frequency(df: DataFrame, id_: str, grams: Column) -> DataFrame:
 
 def idf(df: DataFrame, id_: str, grams: Column, n: int | None = None) -> DataFrame:
     """(gram, df, idf) with the smooth weight ln((1 + N) / (1 + df)) + 1."""
-    total = F.lit(n if n is not None else df.count())
-    return document_frequency(df, id_, grams).withColumn("idf", F.log((total + 1) / (F.col("df") + 1)) + 1)
+    frequency = document_frequency(df, id_, grams)
+    if n is None:  # one row, joined to the frequencies: nothing runs while the plan is made
+        return frequency.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))), how="cross").withColumn("idf", F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1).drop("_n")
+    return frequency.withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
 
 
 def postings(df: DataFrame, keys: list[str], grams: Column, weights: DataFrame) -> DataFrame:
@@ -27,9 +29,10 @@ def postings(df: DataFrame, keys: list[str], grams: Column, weights: DataFrame)
     return raw.select(*keys, "gram", (F.col("raw") / size).alias("w"))
 
 
-def pruned(weights: DataFrame, n: int, min_df: int = 2, max_share: float = 0.02) -> DataFrame:
-    """Without grams of fewer than ``min_df`` records or more than a share of all: the frequent ones are what makes postings skewed."""
-    return weights.filter((F.col("df") >= min_df) & (F.col("df") <= max_share * n))
+def pruned(weights: DataFrame, df: DataFrame, min_df: int = 2, max_share: float = 0.02) -> DataFrame:
+    """Without grams of fewer than ``min_df`` records or more than a share of all rows of ``df``: the frequent ones are what makes postings skewed."""
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    return weights.join(total, how="cross").filter((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("_n"))).drop("_n")
 
 
 def partition_join(left: DataFrame, right: DataFrame, on: list[str], lpart: str = "lpart", rpart: str = "rpart") -> DataFrame:
@@ -50,22 +53,22 @@ def topk(pairs: DataFrame, k: int = 15, by: tuple[str, ...] = ("l_id", "src"), s
     return pairs.filter(F.col(score) > least).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def cosine_topk(left: DataFrame, right: DataFrame, k: int = 15, on: tuple[str, ...] = ("country",)) -> DataFrame:
-    """Per left record and source of right, the k right records of largest cosine.
+def cosine_topk(left: DataFrame, right: DataFrame, k: int = 15, on: tuple[str, ...] = ("country",), digits: int = 12) -> DataFrame:
+    """Per left record and source of right, the k right records of largest cosine (rounded, so that the order of sums makes no ties).
 
     left: l_id, lpart, on, gram, w; right: r_id, src, rpart, on, gram, w.  An inverted-index
     join: only records that share a gram meet, within equal (or unknown) partitions.
     """
     met = partition_join(left.withColumnRenamed("w", "lw"), right.withColumnRenamed("w", "rw"), [*on, "gram"])
-    scored = met.groupBy("l_id", "r_id", "src").agg(F.sum(F.col("lw") * F.col("rw")).alias("score"))
+    scored = met.groupBy("l_id", "r_id", "src").agg(F.round(F.sum(F.col("lw") * F.col("rw")), digits).alias("score"))
     return topk(scored, k)
 
 
-def dense_topk(left: DataFrame, right: DataFrame, on: list[str], k: int = 15) -> DataFrame:
+def dense_topk(left: DataFrame, right: DataFrame, on: list[str], k: int = 15, digits: int = 12) -> DataFrame:
     """Per left vector, the k right vectors of the same partition with the largest inner product (l_id, lv; r_id, rv)."""
     from ..functions.similarity import dot
 
-    met = left.join(right, on).filter("l_id <> r_id").withColumn("score", dot(F.col("lv"), F.col("rv")))
+    met = left.join(right, on).filter("l_id <> r_id").withColumn("score", F.round(dot(F.col("lv"), F.col("rv")), digits))
     order = Window.partitionBy("l_id").orderBy(F.col("score").desc(), F.col("r_id"))
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("l_id", "r_id", "score", "rank")
 
@@ -102,7 +105,7 @@ def fuse(views: dict[str, DataFrame], ids: tuple[str, ...] = ("l_id", "r_id", "s
     return wide.withColumn("n_views", sum((F.col(n).isNotNull().cast("int") for n in views), F.lit(0))).withColumn("bsum", sum((zero(n) for n in views), F.lit(0.0)))
 
 
-def rank_fuse(pairs: DataFrame, views: list[str], bonus: dict[str, float] | None = None, offset: float = 5.0, cap: int = 40) -> DataFrame:
+def rank_fuse(pairs: DataFrame, views: list[str], bonus: dict[str, float] | None = None, offset: float = 5.0, cap: int = 40, digits: int = 12) -> DataFrame:
     """Reciprocal rank fusion: brrf, and brank from 0 within l_id, capped.
 
     A view's rank is by (l_id, src), best first, unknown as -1, ties in order of r_id.  Ranks of
@@ -114,7 +117,7 @@ def rank_fuse(pairs: DataFrame, views: list[str], bonus: dict[str, float] | None
         total = total + F.when(F.col(v) > 0, 1.0 / (offset + F.row_number().over(order))).otherwise(0.0)
     for v, w in (bonus or {}).items():
         total = total + F.when(F.col(v).isNotNull(), F.lit(w)).otherwise(0.0)
-    ranked = pairs.withColumn("brrf", total)
+    ranked = pairs.withColumn("brrf", F.round(total, digits))
     order = Window.partitionBy("l_id").orderBy(F.col("brrf").desc(), F.col("r_id"))
     return ranked.withColumn("brank", F.row_number().over(order) - 1).filter(F.col("brank") < cap)
 

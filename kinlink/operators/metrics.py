@@ -53,20 +53,35 @@ def recall_by_cap(truth: DataFrame, ranked: DataFrame, caps: list[int]) -> DataF
     return rows.groupBy("cap").agg(F.avg(F.when(F.col("brank") < F.col("cap"), 1.0).otherwise(0.0)).alias("recall"))
 
 
+def running(per: DataFrame, score: str, sums: list[str], cells: int = 256) -> DataFrame:
+    """Adds, for each of ``sums``, what all smaller scores have (``below_``) and what all have (``all_``); per has one row a score.
+
+    In two levels, so that no task orders more than a cell: scores are dealt into cells between
+    approximate quantiles, cells are summed first, and rows are ordered within their cell only.
+    """
+    cuts = per.agg(F.percentile_approx(score, [i / cells for i in range(1, cells)], 10_000).alias("_cuts"))
+    placed = per.join(F.broadcast(cuts), how="cross").withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")  # one row
+    before, whole = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    per_cell = placed.groupBy("_cell").agg(*(F.sum(c).alias(f"_{c}") for c in sums))  # at most ``cells`` rows
+    per_cell = per_cell.select("_cell", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_below_{c}") for c in sums), *(F.sum(f"_{c}").over(whole).alias(f"all_{c}") for c in sums))
+    inside = Window.partitionBy("_cell").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(per_cell), "_cell")
+    return out.withColumns({f"below_{c}": F.col(f"_below_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).drop("_cell", *(f"_below_{c}" for c in sums))
+
+
 def auc(df: DataFrame, score: str, y: str) -> DataFrame:
     """Area under the ROC curve by rank sums, over distinct scores: pre-aggregated, ties count half."""
-    per = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("_p"), F.sum(1 - F.col(y).cast("long")).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = per.withColumn("_won", F.col("_p") * (below + F.col("_n") / 2))
-    return won.agg(F.try_divide(F.sum("_won"), F.sum("_p") * F.sum("_n")).alias("auc"))
+    one = F.col(y).cast("long")
+    per = df.groupBy(F.col(score).alias("_s")).agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg"))
+    won = running(per, "_s", ["pos", "neg"]).withColumn("_won", F.col("pos") * (F.col("below_neg") + F.col("neg") / 2))
+    return won.agg(F.try_divide(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
     """Step-wise area under precision and recall, over distinct scores."""
-    per = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_c"))
-    order = Window.orderBy(F.col(score).desc())
-    cum = per.select("_p", F.sum("_p").over(order).alias("_tp"), F.sum("_c").over(order).alias("_all"))
-    return cum.agg(F.try_divide(F.sum(F.col("_p") * F.col("_tp") / F.col("_all")), F.sum("_p")).alias("ap"))
+    per = df.groupBy(F.col(score).alias("_s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    cum = running(per, "_s", ["pos", "n"]).withColumns({"_tp": F.col("all_pos") - F.col("below_pos"), "_n": F.col("all_n") - F.col("below_n")})
+    return cum.agg(F.try_divide(F.sum(F.col("pos") * F.col("_tp") / F.col("_n")), F.sum("pos")).alias("ap"))
 
 
 def coverage(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import tables
 from ..functions import text as X
+from ..functions import variants as V
 from ..operators import blocking as B
 from ..operators import competition as C
 from ..operators import decide as D
@@ -116,16 +117,26 @@ def stopword_core(spark, d):
     return R.read(spark, d, "part").select("p_partkey", name["n_core"].alias("core"))
 
 
-@query("SELECT s_suppkey, 'co ltd' AS n_legal, CAST(0 AS INTEGER) AS n_alias FROM supplier")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'co ltd' WHEN 1 THEN 'inc' WHEN 2 THEN 'corp llc' WHEN 3 THEN 'ltd pvt' WHEN 4 THEN 'sarl' ELSE '' END AS n_legal, CAST(p_partkey % 6 = 5 AS INTEGER) AS n_alias FROM part""")
 def legal_canonical(spark, d):
-    name = X.name_parts(F.concat_ws(" ", F.col("s_name"), F.lit("Company Limited")), F.lower)
-    return R.read(spark, d, "supplier").select("s_suppkey", name["n_legal"].alias("n_legal"), name["n_alias"].cast("int").alias("n_alias"))
+    forms = F.array(*(F.lit(x) for x in (" Company Limited", " Incorporated", " Corporation L L C", " Private Limited", " S.A.R.L", " formerly known as")))
+    name = X.name_parts(F.concat("p_name", F.get(forms, (F.col("p_partkey") % 6).cast("int"))), F.lower)
+    return R.read(spark, d, "part").select("p_partkey", name["n_legal"].alias("n_legal"), name["n_alias"].cast("int").alias("n_alias"))
 
 
-@query()
+@query(f"""WITH {R.REC}, c AS (SELECT entity, id % 4 AS k, name, split_part(addr, ' ', 1) AS num, split_part(addr, ' ', 2) AS kind FROM (SELECT *, 'S' || src || '-' || id AS entity FROM rec)),
+n AS (SELECT *, array_to_string(list_transform(string_split(name, ' '), lambda t: {_squeeze('t')}), ' ') AS core FROM c)
+SELECT entity AS entity_id, core || CASE k WHEN 0 THEN ' co ltd' WHEN 1 THEN ' inc' ELSE '' END AS n_full, core AS n_core, CASE k WHEN 0 THEN 'co ltd' WHEN 1 THEN 'inc' ELSE '' END AS n_legal, CAST(k = 2 AS INTEGER) AS n_alias,
+  CAST(CAST(num AS BIGINT) AS VARCHAR) || ' ' || kind || ' street austin' AS a_full, num AS a_nums, kind || ' street austin' AS a_words, CASE WHEN k = 3 THEN '' ELSE 'tx' END AS a_state, CASE WHEN k = 1 THEN '78701' ELSE '' END AS a_zip,
+  replace(core, ' ', '') AS n_nospace, {_phon('core')} AS n_phon FROM n""")
 def normalize_records(spark, d):
-    r = R.rec(spark, d).select(F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("id").cast("string")).alias("entity_id"), F.col("name").alias("business_name"), F.concat_ws(", ", "addr", F.lit("Austin, TX")).alias("business_address"), F.lit("US").alias("country"))
-    return X.normalize(r)
+    """Names with legal forms and an alias mark; addresses with a state by code, by name, or none, and a postal code."""
+    k = F.col("id") % 4
+    name = F.concat("name", F.when(k == 0, F.lit(" Company Ltd.")).when(k == 1, F.lit(", Incorporated")).when(k == 2, F.lit(" dba")).otherwise(F.lit("")))
+    address = F.concat("addr", F.when(k == 0, F.lit(", Austin, TX")).when(k == 1, F.lit(", Austin, Texas 78701")).when(k == 2, F.lit(", Austin TX")).otherwise(F.lit(", Austin")))
+    r = R.rec(spark, d).select(F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("id").cast("string")).alias("entity_id"), name.alias("business_name"), address.alias("business_address"), F.lit("US").alias("country"))
+    out = X.normalize(r)
+    return out.select("entity_id", "n_full", "n_core", "n_legal", F.col("n_alias").cast("int").alias("n_alias"), "a_full", "a_nums", "a_words", "a_state", "a_zip", "n_nospace", "n_phon")
 
 
 @query(f"WITH w AS (SELECT DISTINCT conv_id, turn, unnest({R.toks_sql('text')}) AS t FROM conversations), p AS (SELECT '^' || t || '$' AS t FROM w), g AS (SELECT unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM p) SELECT gram, count(*) AS n FROM g GROUP BY gram")
@@ -224,14 +235,12 @@ s AS (SELECT a.id AS l_id, b.id AS r_id, b.src, round(sum(a.v * b.v), 6) AS scor
 
 def _tfidf(spark, d, k):
     all_ = R.rec(spark, d)
-    n = all_.count()
     grams = X.char_grams(F.col("name"), 3)
-    weights = B.pruned(B.idf(all_, "id", grams, n), n, 2, 0.3)
+    weights = B.pruned(B.idf(all_, "id", grams), all_, 2, 0.3)
     post = B.postings(all_, ["id", "src", "country", "part"], grams, weights)
     left = post.filter("src = 1").select(F.col("id").alias("l_id"), F.col("part").alias("lpart"), "country", "gram", "w")
     right = post.filter("src > 1").select(F.col("id").alias("r_id"), "src", F.col("part").alias("rpart"), "country", "gram", "w")
-    met = B.partition_join(left.withColumnRenamed("w", "lw"), right.withColumnRenamed("w", "rw"), ["country", "gram"])
-    return B.topk(met.groupBy("l_id", "r_id", "src").agg(F.round(F.sum(F.col("lw") * F.col("rw")), 6).alias("score")), k)
+    return B.cosine_topk(left, right, k, digits=6)
 
 
 @query(f"WITH {_TFIDF}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_id, src ORDER BY score DESC, r_id) AS INTEGER) AS rank FROM s WHERE score > 1e-6) SELECT l_id, r_id, src, score, rank FROM k WHERE rank <= 15")
@@ -242,9 +251,8 @@ def tfidf_topk(spark, d):
 @query("WITH p AS (SELECT a.vec_id AS l_id, b.vec_id AS r_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS INTEGER) AS rank FROM p) SELECT l_id, r_id, score, rank FROM k WHERE rank <= 15")
 def dense_topk(spark, d):
     e = R.read(spark, d, "embeddings")
-    met = e.select(F.col("vec_id").alias("l_id"), "label", F.col("embedding").alias("lv")).join(e.select(F.col("vec_id").alias("r_id"), "label", F.col("embedding").alias("rv")), "label").filter("l_id <> r_id")
-    scored = met.select("l_id", "r_id", F.round(S.dot(F.col("lv"), F.col("rv")), 5).alias("score"))
-    return B.topk(scored, 15, by=("l_id",), least=float("-inf"))
+    left, right = e.select(F.col("vec_id").alias("l_id"), "label", F.col("embedding").alias("lv")), e.select(F.col("vec_id").alias("r_id"), "label", F.col("embedding").alias("rv"))
+    return B.dense_topk(left, right, ["label"], 15, digits=5)
 
 
 @query(f"WITH {R.REC}, s AS (SELECT country, r_addr, count(*) AS n FROM r GROUP BY 1, 2) SELECT l.l_id, r.r_id FROM l JOIN r ON l.country = r.country AND l.l_addr = r.r_addr JOIN s ON s.country = r.country AND s.r_addr = r.r_addr WHERE s.n <= 50")
@@ -285,9 +293,7 @@ def _fused(spark, d):
 
 
 def _ranked(spark, d):
-    ranked = B.rank_fuse(_fused(spark, d), ["v_name"], {"v_addr": 0.2}, cap=1 << 30).withColumn("brrf", F.round("brrf", 9)).drop("brank")
-    order = Window.partitionBy("l_id").orderBy(F.col("brrf").desc(), "r_id")
-    return ranked.withColumn("brank", F.row_number().over(order) - 1).filter("brank < 40")
+    return B.rank_fuse(_fused(spark, d), ["v_name"], {"v_addr": 0.2}, cap=40, digits=9)
 
 
 @query(f"WITH {_FUSED} SELECT l_id, r_id, src, v_name, v_addr, CAST((v_name IS NOT NULL)::INT + (v_addr IS NOT NULL)::INT AS INTEGER) AS n_views, round(coalesce(v_name, 0) + coalesce(v_addr, 0), 6) AS bsum FROM f")
@@ -403,7 +409,7 @@ def row_stats_left(spark, d):
 
 
 @query(f"""WITH {R.REC}, c AS (SELECT country, l_name, count(*) AS n FROM l GROUP BY 1, 2), v AS (SELECT DISTINCT unnest(string_split(l_name, ' ')) AS t FROM l), w AS (SELECT DISTINCT r_id, unnest(string_split(r_name, ' ')) AS t FROM r), o AS (SELECT w.r_id, count(*) AS n FROM w LEFT JOIN v ON v.t = w.t WHERE v.t IS NULL GROUP BY w.r_id)
-SELECT r.r_id, count(*) OVER (PARTITION BY r.country, r.r_name) AS r_name_n_r, coalesce(c.n, 0) AS r_name_n_s1, coalesce(o.n, 0) AS r_oov_n, CAST(0 AS INTEGER) AS r_is_web
+SELECT r.r_id, count(*) OVER (PARTITION BY r.country, r.r_name) AS r_name_n_r, coalesce(c.n, 0) AS r_name_n_s1, coalesce(o.n, 0) AS r_oov_n, CAST(r.r_id % 9 = 0 OR r.r_id % 9 = 1 AS INTEGER) AS r_is_web
 FROM r LEFT JOIN c ON c.country = r.country AND c.l_name = r.r_name LEFT JOIN o ON o.r_id = r.r_id""")
 def row_stats_right(spark, d):
     return _stats(spark, d)[1].select(F.col("id").alias("r_id"), "r_name_n_r", "r_name_n_s1", F.col("r_oov_n").cast("long").alias("r_oov_n"), "r_is_web")
@@ -411,14 +417,61 @@ def row_stats_right(spark, d):
 
 def _stats(spark, d):
     left, right = R.sides(spark, d)
-    shape = lambda x, s: x.select(F.col(f"{s}_id").alias("id"), "country", F.col(f"{s}_name").alias("name"), X.tokens(F.col(f"{s}_name")).alias("toks"), F.col(f"{s}_name").alias("raw"))
+    raw = lambda i, n: F.when(i % 9 == 0, F.concat(F.lit("www."), n)).when(i % 9 == 1, F.concat(n, F.lit(".com"))).otherwise(n)
+    shape = lambda x, s: x.select(F.col(f"{s}_id").alias("id"), "country", F.col(f"{s}_name").alias("name"), X.tokens(F.col(f"{s}_name")).alias("toks"), raw(F.col(f"{s}_id"), F.col(f"{s}_name")).alias("raw"))
     return L.row_stats(shape(left, "l"), shape(right, "r"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT DISTINCT role, unnest({R.toks_sql('text')}) AS word FROM conversations),
+g AS (SELECT role = 'user' AS u, unnest(list_transform(range(1, length(word) + 1), lambda i: substr('^' || word || '$', i, 3))) AS g FROM w),
+c AS (SELECT g, CAST(count(*) FILTER (u) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT u) AS DOUBLE) AS b FROM g GROUP BY g), s AS (SELECT sum(a) AS na, sum(b) AS nb, count(*) AS v FROM c),
+t AS (SELECT g, ln((a + 1) / (na + v + 1)) - ln((b + 1) / (nb + v + 1)) AS llr FROM c, s), p AS (SELECT DISTINCT word FROM w),
+e AS (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: substr('^' || word || '$', i, 3))) AS g FROM p WHERE regexp_full_match(word, '[a-z]{{4,14}}'))
+SELECT word, round(avg(llr), 6) AS score FROM e JOIN t USING (g) GROUP BY word UNION ALL SELECT word, -5.0 FROM p WHERE NOT regexp_full_match(word, '[a-z]{{4,14}}')""")
 def trigram_llr(spark, d):
     w = R.read(spark, d, "conversations").select("role", F.explode(R.words(F.col("text"))).alias("word")).distinct()
-    return L.trigram_scores(w.select("word"), w.filter("role = 'user'").select("word"), w.filter("role <> 'user'").select("word"))
+    return L.trigram_scores(w.select("word"), w.filter("role = 'user'").select("word"), w.filter("role <> 'user'").select("word")).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH t AS (SELECT unnest({R.toks_sql('text')}) AS component, lang AS state FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT unnest({R.toks_sql('text')}), '' FROM documents WHERE doc_id % 5 = 0),
+c AS (SELECT component, state, count(*) AS c FROM t WHERE component NOT IN ('de', 'la') AND state <> '' GROUP BY 1, 2), k AS (SELECT *, sum(c) OVER (PARTITION BY component) AS n, row_number() OVER (PARTITION BY component ORDER BY c DESC, state) AS r FROM c)
+SELECT component, state, CAST(n AS BIGINT) AS n, round(c / n, 6) AS share FROM k WHERE r = 1 AND n >= 15 AND c / n >= 0.9""")
+def native_states(spark, d):
+    t = R.read(spark, d, "documents").select(F.explode(R.words(F.col("text"))).alias("component"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("lang")).alias("state"))
+    return L.native_states(t, ["de", "la"]).withColumn("share", F.round("share", 6))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT doc_id, unnest({R.toks_sql('text')}) AS city, lang AS region FROM documents), c AS (SELECT city, region, count(*) AS c FROM t WHERE region <> 'en' GROUP BY 1, 2),
+k AS (SELECT *, sum(c) OVER (PARTITION BY city) AS n, row_number() OVER (PARTITION BY city ORDER BY c DESC, region) AS r FROM c) SELECT city, region, CAST(n AS BIGINT) AS n, round(c / n, 6) AS share FROM k WHERE r = 1 AND n >= 3 AND c / n >= 0.95""")
+def city_regions(spark, d):
+    t = R.read(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(R.words(F.col("text")))).alias("city"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("region"))
+    return L.city_regions(t).withColumn("share", F.round("share", 6))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'hdf' WHEN 1 THEN 'bre' WHEN 2 THEN '' WHEN 3 THEN 'tg_ap' WHEN 4 THEN 'tx' ELSE 'pac' END AS key FROM part""")
+def partition_key(spark, d):
+    """Regions of France by name and by a learned city, states that share a group, a state as it is, and none."""
+    pick = lambda *xs: F.get(F.array(*(F.lit(x) for x in xs)), (F.col("p_partkey") % 6).cast("int"))
+    country, state = pick("france", "france", "france", "india", "us", "france"), pick("", "", "", "ap", "tx", "")
+    address = F.concat(F.col("p_size").cast("string"), F.lit(" Quai Y, "), pick("Douai, Nord", "Redon", "Nulle Part", "Guntur", "Austin", "Nice, Provence-Alpes-C\u00f4te d'Azur, Redon"))
+    return R.read(spark, d, "part").select("p_partkey", V.partition_key(country, state, V.region_parts(address), {"redon": "bre"}).alias("key"))
+
+
+@query("""WITH r AS (SELECT p_partkey, 'Brand ' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN ' co' ELSE '' END AS x FROM part)
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'co' ELSE '' END AS legal, p_partkey % 3 = 1 AS is_web, p_partkey % 3 = 2 AS has_alias, CASE p_partkey % 3 WHEN 2 THEN 'nine lanterns' ELSE '' END AS name_alts,
+  CASE p_partkey % 3 WHEN 0 THEN 'il' WHEN 1 THEN '' ELSE 'dl' END AS state, CASE p_partkey % 3 WHEN 1 THEN 'gironde' ELSE '' END AS region, CASE p_partkey % 3 WHEN 0 THEN '60601' WHEN 1 THEN '' ELSE '110085' END AS postcode,
+  p_partkey % 3 = 2 AS has_landmark, CASE p_partkey % 3 WHEN 2 THEN 'near tower' ELSE '' END AS landmark, CAST(p_size AS VARCHAR) AS nums, p_size || CASE p_partkey % 3 WHEN 0 THEN ' north street|peoria' WHEN 1 THEN ' rue des lilas|le teich' ELSE ' hill road|near tower' END AS components FROM part""")
+def name_variants(spark, d):
+    """The second normaliser on names with legal form, web address or alias, and addresses of three countries."""
+    pick = lambda *xs: F.get(F.array(*xs), (F.col("p_partkey") % 3).cast("int"))
+    n, size = F.col("p_name"), F.col("p_size").cast("string")
+    r = R.read(spark, d, "part").select(
+        "p_partkey",
+        pick(F.concat(n, F.lit(" Co")), F.concat(F.lit("www."), F.replace(n, F.lit(" "), F.lit("-")), F.lit(".com")), F.concat(n, F.lit(" doing business as Nine Lanterns"))).alias("business_name"),
+        pick(F.concat(size, F.lit(" N St, Peoria, IL 60601")), F.concat(F.lit("("), size, F.lit(") Rue des Lilas, Le Teich, Gironde")), F.concat(size, F.lit(" Hill Rd, near tower, NEW DELHI 110085"))).alias("business_address"),
+        pick(F.lit("US"), F.lit("France"), F.lit("India")).alias("country"),
+    )
+    return V.normalize(r).select("p_partkey", "legal", "is_web", "has_alias", "name_alts", "state", "region", "postcode", "has_landmark", "landmark", "nums", "components")
 
 
 @query(f"""WITH {R.REC}, t AS (SELECT string_split(l_name, ' ') AS a, string_split(r_name, ' ') AS b FROM pairs), x AS (SELECT list_filter(a, lambda t: NOT list_contains(b, t)) AS a, list_filter(b, lambda t: NOT list_contains(a, t)) AS b FROM t)
@@ -494,10 +547,17 @@ def match_distribution(spark, d):
     return left.join(R.truth(left, right), "l_id", "left").groupBy("l_id").agg(F.count("r_id").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query(f"WITH {R.REC}, k AS (SELECT CASE WHEN r_name = '' THEN 'empty' WHEN replace(l_name, ' ', '') = replace(r_name, ' ', '') THEN 'glued' WHEN len(list_intersect(string_split(l_name, ' '), string_split(r_name, ' '))) = 0 THEN 'no shared word' ELSE 'other' END AS category FROM pairs) SELECT category, count(*) AS n FROM k GROUP BY category")
+@query(f"""WITH {R.REC}, k AS (SELECT CASE r_id % 8 WHEN 0 THEN 'empty' WHEN 1 THEN 'script' WHEN 2 THEN 'alias' WHEN 3 THEN 'website' WHEN 4 THEN 'acronym' WHEN 5 THEN 'glued' WHEN 6 THEN 'no shared word'
+  ELSE CASE WHEN replace(l_name, ' ', '') = replace(r_name, ' ', '') THEN 'glued' WHEN len(list_intersect(string_split(l_name, ' '), string_split(r_name, ' '))) = 0 THEN 'no shared word' ELSE 'other' END END AS category, l_name, r_name FROM pairs)
+SELECT category, count(*) AS n, CAST(sum(len(list_intersect(string_split(l_name, ' '), string_split(r_name, ' ')))) AS BIGINT) AS shared FROM k GROUP BY category""")
 def hard_pair_table(spark, d):
-    p = R.pairs(spark, d)
-    return p.select(M.hard_category(F.col("l_name"), F.col("r_name"), F.col("r_name"), F.lit(0)).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    """Pairs of every kind, made from the names of linked parts."""
+    kind, l = F.col("r_id") % 8, F.col("l_name")
+    name = F.when(kind == 0, F.lit("")).when(kind == 4, X.initials(l)).when(kind == 5, F.replace(l, F.lit(" "), F.lit(""))).when(kind == 6, F.lit("zzz yyy")).otherwise(F.col("r_name"))
+    raw = F.when(kind == 1, F.lit("\u0930\u093e\u092e")).when(kind == 3, F.concat(F.lit("www."), "r_name")).otherwise(name)
+    shared = F.size(F.array_intersect(X.tokens(l), X.tokens(F.col("r_name"))))
+    p = R.pairs(spark, d).select(M.hard_category(l, name, raw, (kind == 2).cast("int")).alias("category"), shared.alias("s"))
+    return p.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("shared"))
 
 
 # set operations, sinks
@@ -516,13 +576,26 @@ def list_sink(spark, d):
     return io.id_lists(left, R.truth(left, right), "matched")
 
 
-@query("SELECT unnest(['missing records', 'unknown records', 'repeated records', 'repeated ids', 'unknown ids', 'matches that are no candidates']) AS rule, CAST(0 AS BIGINT) AS n")
+_BROKEN = f"""{R.REC}, m AS (SELECT l_id, CASE WHEN l_id % 13 = 0 THEN [r, r] WHEN l_id % 17 = 0 THEN [-1::BIGINT] WHEN l_id % 19 = 0 THEN [r, r2] ELSE [r] END AS ids
+  FROM (SELECT l_id, (SELECT min(r_id) FROM r) AS r, (SELECT max(r_id) FROM r) AS r2 FROM l WHERE l_id % 7 <> 0 UNION ALL SELECT l_id, (SELECT min(r_id) FROM r), (SELECT max(r_id) FROM r) FROM l WHERE l_id % 11 = 0 AND l_id % 7 <> 0 UNION ALL SELECT -l_id, (SELECT min(r_id) FROM r), (SELECT max(r_id) FROM r) FROM l WHERE l_id % 23 = 0)),
+c AS (SELECT l_id, (SELECT min(r_id) FROM r) AS r_id FROM l UNION ALL SELECT -l_id, (SELECT min(r_id) FROM r) FROM l WHERE l_id % 23 = 0), e AS (SELECT l_id, unnest(ids) AS r_id FROM m)"""
+
+
+@query(f"""WITH {_BROKEN} SELECT 'missing records' AS rule, (SELECT count(*) FROM l WHERE l_id NOT IN (SELECT l_id FROM m)) AS n
+UNION ALL SELECT 'unknown records', (SELECT count(*) FROM m WHERE l_id NOT IN (SELECT l_id FROM l)) UNION ALL SELECT 'repeated records', (SELECT count(*) FROM (SELECT l_id FROM m GROUP BY l_id HAVING count(*) > 1))
+UNION ALL SELECT 'repeated ids', (SELECT count(*) FROM m WHERE len(ids) <> len(list_distinct(ids))) UNION ALL SELECT 'unknown ids', (SELECT count(*) FROM e WHERE r_id NOT IN (SELECT r_id FROM r))
+UNION ALL SELECT 'matches that are no candidates', (SELECT count(*) FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.l_id = e.l_id AND c.r_id = e.r_id))""")
 def output_validation(spark, d):
+    """Lists that break each of the rules."""
     left, right = R.sides(spark, d)
-    t = R.truth(left, right)
-    c = B.key_join(left.withColumn("k", F.concat_ws("|", "country", "l_name")), right.withColumn("k", F.concat_ws("|", "country", "r_name")).drop("country"), "k", 1 << 30)
-    lists = lambda x: left.select("l_id").join(x.groupBy("l_id").agg(F.collect_set("r_id").alias("ids")), "l_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
-    return io.violations(left, right, lists(t), lists(c))
+    ends = F.broadcast(right.agg(F.min("r_id").alias("a"), F.max("r_id").alias("b")))  # one row
+    i = F.col("l_id")
+    records = left.select("l_id")
+    strange = records.filter(i % 23 == 0).select((-i).alias("l_id"))
+    made = records.filter(i % 7 != 0).unionByName(records.filter((i % 11 == 0) & (i % 7 != 0))).unionByName(strange).join(ends, how="cross")
+    ids = F.when(i % 13 == 0, F.array("a", "a")).when(i % 17 == 0, F.array(F.lit(-1).cast("long"))).when(i % 19 == 0, F.array("a", "b")).otherwise(F.array("a"))
+    candidates = records.unionByName(strange).join(ends, how="cross").select("l_id", F.array("a").alias("ids"))
+    return io.violations(left, right, made.select("l_id", ids.alias("ids")), candidates)
 
 
 # models
@@ -563,7 +636,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = ranked.join(left.select("l_id", "l_name"), "l_id").join(right.select("r_id", "r_name"), "r_id")
     scored = named.withColumn("p", S.jaccard(X.tokens(F.col("l_name")), X.tokens(F.col("r_name"))))
     kept = C.one_to_one(scored).withColumn("k", D.threshold_mask("p", 0.5, 0.5)).filter("k and p > 0")
-    return M.summary(M.per_record(left.select("l_id", "country"), kept, R.truth(left, right)), ["country"])
+    s = M.summary(M.per_record(left.select("l_id", "country"), kept, R.truth(left, right)), ["country"])
+    return s.select("country", "n", *(F.round(c, 6).alias(c) for c in ("f05", "precision", "recall", "f05_single", "f05_linked")))
 
 
-query()(flagship)
+query(f"""WITH {_FUSED}, j AS (SELECT b.l_id, b.r_id, string_split(l.l_name, ' ') AS x, string_split(r.r_name, ' ') AS y FROM b JOIN l ON l.l_id = b.l_id JOIN r ON r.r_id = b.r_id WHERE brank < 40),
+sc AS (SELECT l_id, r_id, CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) AS p FROM j),
+o AS (SELECT l_id, r_id, CASE WHEN p >= max(p) OVER (PARTITION BY r_id) - 1e-12 THEN p ELSE 0 END AS p FROM sc), m AS (SELECT *, max(p) OVER (PARTITION BY l_id) AS best FROM o),
+kept AS (SELECT l_id, r_id FROM m WHERE best >= 0.5 AND (p >= 0.5 OR p = best) AND p > 0), t AS (SELECT l_id, count(*) AS n_true FROM truth GROUP BY l_id),
+q AS (SELECT kept.l_id, count(*) AS n_pred, count(truth.r_id) AS tp FROM kept LEFT JOIN truth ON truth.l_id = kept.l_id AND truth.r_id = kept.r_id GROUP BY kept.l_id),
+v AS (SELECT l.l_id, l.country, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true, coalesce(tp, 0) AS tp FROM l LEFT JOIN q ON q.l_id = l.l_id LEFT JOIN t ON t.l_id = l.l_id),
+e AS (SELECT *, CASE WHEN n_pred = 0 AND n_true = 0 THEN 1 WHEN n_pred = 0 OR n_true = 0 THEN 0 ELSE 1.25::DOUBLE * tp / (0.25 * n_true + n_pred) END AS f05 FROM v)
+SELECT country, count(*) AS n, round(avg(f05), 6) AS f05, round(sum(tp) / nullif(sum(n_pred), 0), 6) AS precision, round(sum(tp) / nullif(sum(n_true), 0), 6) AS recall, round(avg(CASE WHEN n_true = 0 THEN f05 END), 6) AS f05_single, round(avg(CASE WHEN n_true > 0 THEN f05 END), 6) AS f05_linked FROM e GROUP BY country""")(flagship)
