@@ -14,6 +14,7 @@ from ..functions import variants as V
 from ..operators import blocking as B
 from ..operators import competition as C
 from ..operators import decide as D
+from ..operators import features as P
 from ..operators import learn as L
 from ..operators import metrics as M
 from ..sources import io
@@ -168,20 +169,37 @@ def token_jaccard(spark, d):
     return R.pairs(spark, d).select("l_id", "r_id", F.round(S.jaccard(a, b), 6).alias("jac"), F.size(F.array_distinct(a)).alias("n_ntok_l"))
 
 
-@query(f"""WITH {R.REC}, n AS (SELECT DISTINCT l_name, r_name FROM l JOIN r USING (country))
-SELECT l_name, r_name, round(jaro_winkler_similarity(l_name, r_name), 6) AS jw FROM n""")
+def _names(spark, d):
+    """Names of pairs that share a blocking key, each once."""
+    return R.pairs(spark, d).select("l_name", "r_name").distinct()
+
+
+@query(f"""WITH {R.REC} SELECT DISTINCT l_name, r_name, round(jaro_winkler_similarity(l_name, r_name), 6) AS jw FROM pairs""")
 def jaro_winkler_names(spark, d):
-    left, right = R.sides(spark, d)
-    n = left.select("country", "l_name").distinct().join(right.select("country", "r_name").distinct(), "country").select("l_name", "r_name").distinct()
-    return n.select("l_name", "r_name", F.round(S.jaro_winkler(F.col("l_name"), F.col("r_name")), 6).alias("jw"))
+    return _names(spark, d).select("l_name", "r_name", F.round(S.jaro_winkler(F.col("l_name"), F.col("r_name")), 6).alias("jw"))
 
 
-@query()
+_SORTED = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
+#: Longest common subsequences: row i of the table from row i - 1, a running maximum.
+_LCS = f"""WITH RECURSIVE {R.REC}, n AS (SELECT DISTINCT l_name, r_name, {_SORTED.format('l_name')} AS ls, {_SORTED.format('r_name')} AS rs FROM pairs), p AS (SELECT l_name AS a, r_name AS b FROM n UNION SELECT ls, rs FROM n),
+d AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS row FROM p
+  UNION ALL SELECT a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND substr(b, k - 1, 1) = substr(a, i + 1, 1) THEN row[k - 1] + 1 ELSE row[k] END))) FROM d WHERE i < length(a)),
+c AS (SELECT a, b, round(200.0::DOUBLE * row[length(b) + 1] / (length(a) + length(b)), 6) AS ratio FROM d WHERE i = length(a))"""
+
+
+@query(f"""{_LCS} SELECT n.l_name, n.r_name, x.ratio, y.ratio AS tsort, CAST(length(n.l_name) >= 5 AND length(n.r_name) >= 5 AND (contains(n.l_name, n.r_name) OR contains(n.r_name, n.l_name)) AS INTEGER) AS contain
+FROM n JOIN c x ON x.a = n.l_name AND x.b = n.r_name JOIN c y ON y.a = n.ls AND y.b = n.rs""")
 def fuzzy_ratios(spark, d):
+    a, b = F.col("l_name"), F.col("r_name")
+    return _names(spark, d).select(a, b, F.round(S.ratio(a, b), 6).alias("ratio"), F.round(S.token_sort_ratio(a, b), 6).alias("tsort"), S.contains_either(a, b).alias("contain"))
+
+
+@query()
+def set_and_partial_ratios(spark, d):
     left, right = R.sides(spark, d)
-    n = left.select("country", "l_name").distinct().join(right.select("country", "r_name").distinct(), "country").select("l_name", "r_name").distinct()
     a, b = F.col("l_name"), F.col("r_name")
-    return n.select(a, b, S.ratio(a, b).alias("ratio"), S.token_sort_ratio(a, b).alias("tsort"), S.token_set_ratio(a, b).alias("tset"), S.partial_ratio(a, b).alias("partial"), S.contains_either(a, b).alias("contain"))
+    names = _fused(spark, d).select("l_id", "r_id").join(left.select("l_id", a), "l_id").join(right.select("r_id", b), "r_id").select(a, b).distinct()
+    return names.select(a, b, S.token_set_ratio(a, b).alias("tset"), S.partial_ratio(a, b).alias("partial"))
 
 
 @query(f"""WITH w AS (SELECT DISTINCT conv_id, turn, unnest({R.toks_sql('text')}) AS gram FROM conversations), n AS (SELECT count(*) AS n FROM conversations)
@@ -598,6 +616,47 @@ def output_validation(spark, d):
     return io.violations(left, right, made.select("l_id", ids.alias("ids")), candidates)
 
 
+def _normalized(spark, d):
+    """The records, normalised: names with a legal form or none, addresses in Texas with a postal code or none."""
+    r = R.rec(spark, d)
+    odd = F.col("id") % 2 == 1
+    return X.normalize(
+        r.select(
+            "id", "src", F.col("country").alias("brand"), "part", F.concat("name", F.when(odd, F.lit(" Ltd")).otherwise(F.lit(""))).alias("business_name"),
+            F.when(F.col("part") == "", "").otherwise(F.concat("addr", F.when(odd, F.lit(", Austin, TX 78701")).otherwise(F.lit(", Austin, Texas")))).alias("business_address"), F.lit("US").alias("country"),
+        ),
+        latin=F.lower,
+    )
+
+
+_FEATURES = f"""{R.REC}, z AS (SELECT id, array_to_string(list_transform(string_split(name, ' '), lambda t: {_squeeze('t')}), ' ') AS core, CAST(split_part(addr, ' ', 1) AS BIGINT) AS num, part = '' AS no_addr, id % 2 = 1 AS odd FROM rec),
+q AS (SELECT p.l_id, p.r_id, a.core AS x, b.core AS y, a.num AS m, b.num AS n, a.no_addr AS u, b.no_addr AS v, a.odd AS oa, b.odd AS ob, string_split(a.core, ' ') AS tx, string_split(b.core, ' ') AS ty FROM pairs p JOIN z a ON a.id = p.l_id JOIN z b ON b.id = p.r_id)"""
+
+
+@query(f"""WITH {_FEATURES} SELECT l_id, r_id, CAST(levenshtein(x, y) AS BIGINT) AS n_lev, CAST(len(list_distinct(tx)) AS INTEGER) AS n_ntok_l, CAST(len(list_distinct(ty)) AS INTEGER) AS n_ntok_r, CAST(tx[1] = ty[1] AS INTEGER) AS n_first_eq,
+  CASE WHEN u OR v THEN -1 ELSE 1 END AS state_eq, CASE WHEN u OR v OR NOT oa OR NOT ob THEN -1 ELSE 1 END AS zip_eq, CASE WHEN oa AND ob THEN 1 ELSE -1 END AS legal_eq, CAST(u AS INTEGER) AS l_a_empty, CAST(v AS INTEGER) AS r_a_empty,
+  CAST(u AND v AS INTEGER) AS both_a_empty, CASE WHEN u AND v THEN -1.0::DOUBLE WHEN u OR v THEN 0.0 WHEN m = n THEN 1.0 ELSE 0.0 END AS num_jac, CASE WHEN u OR v THEN -1 ELSE CAST(m = n AS INTEGER) END AS num_first_eq,
+  CAST(length(x) AS INTEGER) AS len_n_l, CAST(length(y) AS INTEGER) AS len_n_r, count(*) OVER (PARTITION BY l_id) AS n_cand, count(*) OVER (PARTITION BY r_id) AS r_n_s1 FROM q""")
+def pair_features(spark, d):
+    """All features of candidate pairs and of their competition; those that SQL can check are returned."""
+    f = P.with_competition(_pair_features(spark, d, R.pairs(spark, d)))
+    ints = ("n_ntok_l", "n_ntok_r", "n_first_eq", "state_eq", "zip_eq", "legal_eq", "l_a_empty", "r_a_empty", "both_a_empty", "num_first_eq", "len_n_l", "len_n_r")
+    return f.select("l_id", "r_id", F.col("n_lev").cast("long").alias("n_lev"), *(F.col(c).cast("int").alias(c) for c in ints), F.col("num_jac").cast("double").alias("num_jac"), "n_cand", "r_n_s1")
+
+
+def _pair_features(spark, d, pairs):
+    n = _normalized(spark, d)
+    side = lambda s, i: n.filter(s).withColumnRenamed("id", i)
+    idf = lambda c: B.idf(n, "id", X.tokens(F.col(c)))
+    return P.pair_features(pairs.select("l_id", "r_id"), side("src = 1", "l_id").drop("src"), side("src > 1", "r_id"), idf("n_core"), idf("a_words"))
+
+
+@query()
+def all_pair_features(spark, d):
+    """Every feature of candidate pairs, with those of their competition."""
+    return P.with_competition(_pair_features(spark, d, _fused(spark, d)))
+
+
 # models
 
 
