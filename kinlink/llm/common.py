@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,23 +15,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own if unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own if that is unset and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/kinlink-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return found.rstrip("/")
 
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _forget() -> None:
-    for spark, path in _staged:
+    for path, spark in _staged.items():
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit
             return
 
@@ -38,6 +45,16 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
@@ -45,14 +62,19 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     drop the shuffle files that produced it at once.
     """
     path = f"{shared_dir(spark)}/kinlink-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with setting(spark, CLEANUP, "true"):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _staged[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes staged tables (or unions of them) that nothing still to be computed reads."""
+    for df in frames:
+        for path in [df.staged_at] if isinstance(df.staged_at, str) else df.staged_at:
+            _delete(_staged.pop(path), path)
 
 
 def partitions(spark: SparkSession, at_least: int = 1) -> int:

@@ -25,7 +25,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         move = common.stage(spark, move, "moves")
         moves.append(move)
         a, b = move.select(F.col("id").alias("u"), F.col("to").alias("a")), move.select(F.col("id").alias("v"), F.col("to").alias("b"))
-        left = common.stage(spark, left.join(a, "u").join(b, "v").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
+        rest = common.stage(spark, left.join(a, "u").join(b, "v").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
+        common.release(left)
+        left = rest
+    common.release(left)
     if not moves:
         return spark.createDataFrame([], "id long, component long")
     found = moves[-1].select("id", F.col("to").alias("component"))

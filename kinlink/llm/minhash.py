@@ -197,6 +197,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
     more = common.stage(spark, confirm(rest, full, percent), "minhash-more")
     if not more.isEmpty():
         part = graph.components(spark, links.unionByName(more))
+    common.release(tables, busy, stars, full, links, at, open_, left, rest, more)
     names = classes.select("id", "doc_id").join(part.hint("merge"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
     linked = part.join(names.hint("merge"), "component").select("id", "least")
     named = classes.select("id", "doc_id", "d1", "d2").join(linked.hint("merge"), "id", "left")

@@ -24,6 +24,8 @@ place, and consecutive windows with one anchor form a segment (about one for eve
    the gram are the edges of passages: the 128-bit fingerprints (two bases) of the windows of
    each different one meet in ranges of fingerprints, sorted and packed, and a window that two
    segments have is repeated.  This is the only place where equality isn't that of bytes.
+   Windows that reach further right than the suffix has in common with its neighbours, or further
+   left than its segment has in common with any of the same gram, take no part.
 
 Cases.  Null text: empty, nothing removed.  Texts under ``length`` bytes lose nothing.  Rows
 that repeat (the same doc_id and text) are copies of each other and lose all that is long
@@ -49,9 +51,10 @@ from .blobs import ask, ints, pack, unpack
 from .bytesops import BASE, BASE2, buffer_of, mix, prefix_hash, slices, span_hash, _powers
 
 _U = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 19
 _IDX = _U((1 << 22) - 1)
 NOBODY = -(1 << 63)
+SAMPLES = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 
 
 def segments(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -273,10 +276,24 @@ def multikey_quicksort(keys: Suffixes, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: Kinds of a bucket's rows: repeated whole; a border of a passage; the bucket's first and last row.
 WHOLE, BORDER, FIRST, LAST = range(4)
-FOUND = "kind int, right binary, left binary, block long, rep long, single boolean, listed boolean"
+FOUND = "kind int, right binary, left binary, block long, rep long, single boolean, listed boolean, lo int, hi int"
 
 
-def _bucket(gram: int):
+def _in_common(keys: Suffixes, a: np.ndarray, b: np.ndarray, side: int) -> np.ndarray:
+    """Leading bytes that suffixes a and b share on one side (0: right, 1: left)."""
+    raw, start, size = keys.sides[side]
+    out, open_ = np.zeros(len(a), np.int64), np.arange(len(a))
+    for d in range(keys.words[side]):
+        if not len(open_):
+            break
+        depth = np.full(len(open_), d + (keys.words[0] + 1 if side else 0))
+        x = keys.character(a[open_], depth) ^ keys.character(b[open_], depth)
+        out[open_] += sum((x >> _U(64 - 8 * k) == 0 for k in range(1, 9)), np.zeros(len(x), np.int64))
+        open_ = open_[x == 0]
+    return np.minimum(out, np.minimum(size[a], size[b]))
+
+
+def _bucket(length: int, gram: int):
     """Sorts a bucket and compares neighbours."""
 
     def run(batches):
@@ -287,15 +304,9 @@ def _bucket(gram: int):
         right, left = (t[c].combine_chunks() for c in ("right", "left"))
         keys, n = Suffixes(right, left), t.num_rows
         order, same = multikey_quicksort(keys, n)
-        alike = np.zeros(n, bool)  # shares the gram with the one before
-        a, b = order[:-1], order[1:]
-        near = np.ones(n - 1, bool)
-        for d in range(-(-gram // 8)):
-            x, y = (keys.character(r, np.full(n - 1, d)) for r in (a, b))
-            drop = _U(8 * max(0, 8 * (d + 1) - gram))
-            near &= (x >> drop) == (y >> drop)
-        alike[1:] = near
-        after = lambda x: np.r_[x[1:], False]
+        shared = np.r_[0, _in_common(keys, order[:-1], order[1:], 0)]  # with the one before
+        alike = shared >= gram
+        after = lambda x: np.r_[x[1:], np.zeros_like(x[:1])]
         whole = same | after(same)
         # of equal rows, the first stands for all; it is a border if its gram goes on with other rows
         head = ~same
@@ -304,18 +315,35 @@ def _bucket(gram: int):
         border = head & (alike | after(alike)[ends[run_of]])
         single = ~whole & ~np.asarray(t["often"].combine_chunks().to_numpy(zero_copy_only=False), bool)[order]
         listed = border[np.flatnonzero(head)[run_of]]  # as a border, by the first of the equal rows
+        # windows that may occur elsewhere: what is beyond the bucket is unknown, so its first and last rows and grams have all
+        at = np.flatnonzero(border)
+        rows = order[at]
+        sizes = [size[rows] for _, _, size in keys.sides]
+        reach = np.maximum(shared[at], after(shared)[ends[run_of[at]]])
+        reach = np.where((run_of[at] == 0) | (run_of[at] == run_of[-1]), sizes[0], reach)
+        group = np.cumsum(~alike)[at]
+        back = np.zeros(len(at), np.int64)
+        words = [keys.character(rows, np.full(len(rows), keys.words[0] + 1 + d)) for d in range(keys.words[1] + 1)]
+        by = np.lexsort((*words[::-1], group))
+        common_ = np.where(group[by[1:]] == group[by[:-1]], _in_common(keys, rows[by[:-1]], rows[by[1:]], 1), 0)
+        np.maximum.at(back, by[1:], common_)
+        np.maximum.at(back, by[:-1], common_)
+        back = np.where((group == np.cumsum(~alike)[0]) | (group == np.cumsum(~alike)[-1]), sizes[1], back)
+        lo, hi = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        lo[at] = sizes[1] - back
+        hi[at] = np.minimum(sizes[1] + reach, sizes[0] + sizes[1]) - length + 1
         t = t.take(pa.array(order))
-        kinds = [(WHOLE, whole), (BORDER, border), (FIRST, np.arange(n) == 0), (LAST, np.arange(n) == n - 1)]
+        kinds = [(WHOLE, whole), (BORDER, border & (lo < hi)), (FIRST, np.arange(n) == 0), (LAST, np.arange(n) == n - 1)]
         for kind, mask in kinds:
             own = t.filter(pa.array(mask))
             blank = pa.array([b""] * own.num_rows, pa.binary())
-            cols = [pa.array(np.full(own.num_rows, kind, np.int32)), *([blank, blank] if kind == WHOLE else [own["right"].combine_chunks(), own["left"].combine_chunks()]), own["block"].combine_chunks(), own["rep"].combine_chunks(), pa.array(single[mask]), pa.array(listed[mask])]
-            yield from pa.Table.from_arrays(cols, names=["kind", "right", "left", "block", "rep", "single", "listed"]).to_batches(max_chunksize=20_000)
+            cols = [pa.array(np.full(own.num_rows, kind, np.int32)), *([blank, blank] if kind == WHOLE else [own["right"].combine_chunks(), own["left"].combine_chunks()]), own["block"].combine_chunks(), own["rep"].combine_chunks(), *(pa.array(x[mask]) for x in (single, listed, lo, hi))]
+            yield from pa.Table.from_arrays(cols, names=["kind", "right", "left", "block", "rep", "single", "listed", "lo", "hi"]).to_batches(max_chunksize=20_000)
 
     return run
 
 
-def _across(rows: list, gram: int) -> list[tuple]:
+def _across(rows: list, length: int, gram: int) -> list[tuple]:
     """What the first and last rows of all buckets, in order of bucket, share across boundaries: rows of FOUND."""
     rows = sorted(rows, key=lambda r: (r.bucket, r.kind))
     whole, border = set(), set()
@@ -327,12 +355,12 @@ def _across(rows: list, gram: int) -> list[tuple]:
             whole |= {k, k + 1}
         elif bytes(a.right[:gram]) == bytes(b.right[:gram]):
             border |= {k, k + 1}
-    out = [(WHOLE, b"", b"", rows[k].block, rows[k].rep, False, False) for k in sorted(whole)]
-    more = {(rows[k].block, rows[k].rep): (BORDER, bytes(rows[k].right), bytes(rows[k].left), rows[k].block, rows[k].rep, rows[k].single and k not in whole, True) for k in sorted(border) if not rows[k].listed}
+    out = [(WHOLE, b"", b"", rows[k].block, rows[k].rep, False, False, 0, 0) for k in sorted(whole)]
+    more = {(rows[k].block, rows[k].rep): (BORDER, bytes(rows[k].right), bytes(rows[k].left), rows[k].block, rows[k].rep, rows[k].single and k not in whole, True, 0, len(rows[k].left) + len(rows[k].right) - length + 1) for k in sorted(border) if not rows[k].listed}
     return out + list(more.values())
 
 
-def _windows(length: int, most: int = 1 << 20):
+def _windows(length: int, most: int = 1 << 18):
     """Blocks of about ``most`` windows of border segments: their fingerprints, and the places of the single segments in them."""
 
     def fingerprints(raw: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -342,22 +370,22 @@ def _windows(length: int, most: int = 1 << 20):
     def run(batches):
         task, number = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
         for batch in batches:
-            sizes = [np.diff(buffer_of(batch.column(c))[1]) for c in ("left", "right")]
-            n = sizes[0] + sizes[1] - length + 1
+            lo, hi = (np.asarray(batch.column(c)).astype(np.int64) for c in ("lo", "hi"))
+            n = hi - lo
             end, i = np.cumsum(n), 0
             while i < len(n):
                 j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + most, side="right")))
                 part = batch.slice(i, j - i)
                 texts = [x[::-1] + y for x, y in zip(part.column("left").to_pylist(), part.column("right").to_pylist())]
                 own, single = n[i:j], np.asarray(part.column("single").to_numpy(zero_copy_only=False), bool)
-                start = np.cumsum([0, *map(len, texts)])[:-1]
+                start = np.cumsum([0, *map(len, texts)])[:-1] + lo[i:j]
                 words, more = fingerprints(np.frombuffer(b"".join(texts), np.uint8), start, own)
                 order = np.lexsort((more, words))
                 new = np.r_[True, (words[order[1:]] != words[order[:-1]]) | (more[order[1:]] != more[order[:-1]])]
                 at = np.empty(len(words), np.int64)
                 at[order] = np.cumsum(new) - 1
                 blobs = {"words": pack(words[order[new]], True), "more": pack(more[order[new]]), "counts": pack(np.bincount(at)), "at": pack(at[np.repeat(single, own)])}
-                lists = {"of": np.asarray(part.column("block"))[single], "rep": np.asarray(part.column("rep"))[single], "n": own[single]}
+                lists = {"of": np.asarray(part.column("block"))[single], "rep": np.asarray(part.column("rep"))[single], "first": lo[i:j][single], "n": own[single]}
                 yield pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), *(pa.array([x], pa.binary()) for x in blobs.values()), *(pa.array([x], pa.list_(pa.int64())) for x in lists.values()), pa.array([int(new.sum())])], names=["block", *blobs, *lists, "n_words"])
                 i, number = j, number + 1
 
@@ -375,7 +403,7 @@ def _repeated(key, left, right):
     new = np.r_[True, (np.diff(found) > 1) | (of[found[1:]] != of[found[:-1]])] if len(found) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     seg = of[found[first]]
-    return pa.table({"block": np.array(row["of"], np.int64)[seg], "rep": np.array(row["rep"], np.int64)[seg], "start": place[found[first]], "n": np.diff(np.r_[first, len(found)]).astype(np.int64)})
+    return pa.table({"block": np.array(row["of"], np.int64)[seg], "rep": np.array(row["rep"], np.int64)[seg], "start": np.array(row["first"], np.int64)[seg] + place[found[first]], "n": np.diff(np.r_[first, len(found)]).astype(np.int64)})
 
 
 def _runs(key, left, right):
@@ -401,7 +429,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_k1", F.coalesce(F.col("doc_id"), F.lit(NOBODY))).withColumn("_k2", F.xxhash64(text))
 
 
-def repeated(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int = 48, block: int = 4 << 20, bits: int = 64) -> DataFrame:
+def repeated(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int = 48, block: int = 1 << 20, bits: int = 64) -> DataFrame:
     """(k1, k2, at): for each text that has any, the sorted runs (start, n) of repeated windows.
 
     ``bits``: of hashes that only choose what is compared; with few of them more is compared, with the same result.
@@ -414,15 +442,16 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int
     answers = answers.groupBy("part").applyInArrow(_twice, "block long, part long, n long, bits binary")
     whole = blocks.drop("k1", "k2", "s_row", "s_start", "s_n", "words", "counts", "n_words")
     suffixes = whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_suffixes(length), SUFFIX)
-    buckets = common.partitions(spark, -(-n_words // 150_000))
+    buckets = common.partitions(spark, -(-n_words // 75_000))
     dealt = suffixes.repartitionByRange(buckets, "right", "left", "block", "rep")
-    found = common.stage(spark, dealt.mapInArrow(_bucket(gram), FOUND).withColumn("bucket", F.spark_partition_id()), "suffix-found")
+    with common.setting(spark, SAMPLES, "20"):  # keys of some hundred bytes: fewer of them come to the driver as samples
+        found = common.stage(spark, dealt.mapInArrow(_bucket(length, gram), FOUND).withColumn("bucket", F.spark_partition_id()), "suffix-found")
     edges = found.filter(F.col("kind") >= FIRST).collect()  # two rows a bucket
     known = found.filter(F.col("kind") < FIRST).drop("bucket")
-    if fixed := _across(edges, gram):
+    if fixed := _across(edges, length, gram):
         known = known.unionByName(spark.createDataFrame(fixed, FOUND))
-    kinds = "block long, words binary, more binary, counts binary, at binary, of array<long>, rep array<long>, n array<long>, n_words long"
-    border = known.filter(F.col("kind") == BORDER).select("right", "left", "block", "rep", "single")
+    kinds = "block long, words binary, more binary, counts binary, at binary, of array<long>, rep array<long>, first array<long>, n array<long>, n_words long"
+    border = known.filter(F.col("kind") == BORDER).select("right", "left", "block", "rep", "single", "lo", "hi")
     windows = common.stage(spark, border.mapInArrow(_windows(length), kinds), "suffix-windows")
     parts = common.partitions(spark, -(-(windows.agg(F.sum("n_words")).first()[0] or 0) // 1_500_000))
     asked = windows.select("block", "words", "counts", "more").mapInArrow(ask(parts, "more"), "part long, block long, words binary, counts binary, more binary")
@@ -431,7 +460,9 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int
     all_ = known.filter(F.col("kind") == WHOLE).select("block", "rep", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("n"))
     of = blocks.select("block", "k1", "k2", "s_row", "s_start", "s_n", "r_row", "r_start", "r_n")
     runs = of.groupBy("block").cogroup(all_.unionByName(hit).groupBy("block")).applyInArrow(_runs, "k1 long, k2 long, at array<struct<start:long,n:long>>")
-    return runs.groupBy("k1", "k2").agg(F.first("at").alias("at"))  # rows of one key have one text
+    out = common.stage(spark, runs.groupBy("k1", "k2").agg(F.first("at").alias("at")), "suffix-runs")  # rows of one key have one text
+    common.release(blocks, found, windows)
+    return out
 
 
 def spans(at: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -457,7 +488,7 @@ def cut(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
 RESULTS = ("_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_kept")
 
 
-def mark(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int = 48, with_text: bool = False, block: int = 4 << 20, bits: int = 64) -> DataFrame:
+def mark(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int = 48, with_text: bool = False, block: int = 1 << 20, bits: int = 64) -> DataFrame:
     """All columns of docs (doc_id and text among them), with _n_bytes, _n_removed, _n_spans, _kept_sha256 and, if asked, _kept.
 
     _kept is what is left as text; a character that lost some of its bytes is left out.
