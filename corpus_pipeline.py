@@ -32,14 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = common.stage(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
     named = rows.filter("doc_id is not null")
     found = minhash.near_duplicates(spark, named.select(F.col("_row").alias("doc_id"), "text"), percent=80)
-    found = common.stage(spark, found.select(F.col("doc_id").alias("_row"), "component_id", "kept"), "pipeline-found")
-    groups = found.filter("not kept").select("component_id").distinct()
-    grouped = found.join(groups.hint("merge"), "component_id", "left_semi")
     order = F.struct("doc_id", F.xxhash64("text").alias("h"), "_row")
-    grouped = grouped.join(named.select("_row", order.alias("o")).hint("merge"), "_row")
-    first = grouped.groupBy("component_id").agg(F.min("o")["_row"].alias("_row")).select("_row")
-    gone = grouped.select("_row").join(first.hint("merge"), "_row", "left_anti")
-    return rows.join(gone.hint("merge"), "_row", "left_anti").select(*docs.columns)
+    grouped = found.select(F.col("doc_id").alias("_row"), "component_id").join(named.select("_row", order.alias("o")).hint("merge"), "_row")
+    first = grouped.groupBy("component_id").agg(F.min("o")["_row"].alias("_row")).select("_row", F.lit(True).alias("_first"))
+    return rows.join(first.hint("merge"), "_row", "left").filter("_first or doc_id is null").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
