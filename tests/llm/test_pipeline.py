@@ -3,7 +3,7 @@ import random
 import corpus_pipeline as P
 from kinlink.llm import common, registry
 
-from .test_operators import cover, make_docs, prose
+from .test_operators import cover, make_docs, odd_texts, prose  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,6 +37,24 @@ def test_near_duplicates_keep_texts_that_share_an_id(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
 
 
+def test_stages_on_odd_rows(spark, odd_texts):
+    """Nulls, empty and long texts, repeated rows and columns whose names clash: every stage keeps what it should, and its columns."""
+    rows = [*odd_texts, (None, "alone and without an id"), (7, None), (7, None)]
+    docs = make_docs(spark, rows)
+    for k, (name, stage) in enumerate(P.STAGES):
+        out = common.stage(spark, stage(spark, docs, SF), "odd")
+        got = [(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()] if k < len(P.STAGES) - 1 else None
+        if got is None:
+            assert {"doc_id", "source", "taken"} <= set(out.columns) and out.filter("doc_id = 7").count() == 0  # nothing to take
+            break
+        assert out.columns == docs.columns
+        assert (None, "alone and without an id") in got and (7, None) in got
+        if name in ("toxicity", "decontamination"):
+            assert len(got) == len(rows)
+        if name == "near_duplicates":
+            assert got.count((0, rows[0][1])) == 1 and got.count((7, None)) == 2
+
+
 def test_empty(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         common.table(spark, SF, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
