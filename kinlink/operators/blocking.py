@@ -144,3 +144,23 @@ def hard_negatives(left: DataFrame, right: DataFrame, key: str, owner: str = "ow
     """Pairs of equal key whose right record belongs to another left record; at most ``most`` right records a key, by r_id."""
     few = right.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("r_id"))).filter(F.col("_n") <= most).drop("_n")
     return left.filter(F.col(key) != "").join(few, key).filter(F.coalesce(F.col(owner) != F.col("l_id"), F.lit(True)))
+
+
+def sample(df: DataFrame, n: int, key: list[str], seed: int = 1) -> DataFrame:
+    """Exactly n rows (all, if fewer), the first in a fixed pseudo-random order of ``key``; a top-n, so no task holds more than n."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in key))), *key).limit(n)
+
+
+def other_owner(truth: DataFrame, right: DataFrame, by: list[str], seed: int = 1) -> DataFrame:
+    """(l_id, r_id): each linked left record with a right record of another one in the same group, which is none of its own.
+
+    Linked pairs of a group are laid in a ring, in a fixed pseudo-random order, and each left record takes the right record of the next
+    pair; where that is its own record's, there is none.  Groups are ordered by window, so a group should be no more than a part of a country.
+    """
+    pairs = truth.join(right.select("r_id", *by), "r_id")
+    order = F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("l_id").cast("string"), F.col("r_id").cast("string"))), "l_id", "r_id")
+    group = Window.partitionBy(*by).orderBy(order)
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = F.coalesce(F.lead(F.struct("l_id", "r_id")).over(group), F.first(F.struct("l_id", "r_id")).over(whole))
+    found = pairs.withColumn("_next", following).filter(F.col("_next.l_id") != F.col("l_id")).select("l_id", F.col("_next.r_id").alias("r_id")).distinct()
+    return found.join(truth.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti")

@@ -93,5 +93,23 @@ def trigram_scores(words: DataFrame, made_up: DataFrame, real: DataFrame, unknow
     return scored.unionByName(plain.filter(~fit).select("word", F.lit(unknown).alias("score")))
 
 
+def made_up_words(linked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, n): words of right names that share none with the left name they are linked with, and that no left name has.
+
+    linked: l_toks, r_toks of linked names, r_raw as written (web addresses and Indic scripts glue or respell words, so they
+    say nothing); vocabulary: word, of all left names.
+    """
+    plain = ~F.col("r_raw").rlike(X.INDIC) & ~F.lower("r_raw").rlike("\\.(com|net|org|in|fr|co|biz)|www\\.")
+    apart = linked.filter(plain & ~F.arrays_overlap("l_toks", "r_toks")).select(F.explode("r_toks").alias("word"))
+    known = vocabulary.select("word").distinct()
+    return apart.filter(F.col("word").rlike("^[a-z]{4,14}$")).join(known, "word", "left_anti").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def most_made_up(records: DataFrame, scores: DataFrame, id_: str, toks: str = "toks", unknown: float = -5.0) -> DataFrame:
+    """(id, gen_max): the highest score (word, score) of a record's words; ``unknown`` without any."""
+    each = records.select(id_, F.explode_outer(toks).alias("word")).join(scores, "word", "left")
+    return each.groupBy(id_).agg(F.greatest(F.coalesce(F.max("score"), F.lit(unknown)), F.lit(unknown)).alias("gen_max"))
+
+
 def shared_word_rate(pairs: DataFrame, left: Column, right: Column) -> DataFrame:
     return pairs.agg(F.avg(F.arrays_overlap(left, right).cast("double")).alias("share"))

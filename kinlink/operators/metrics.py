@@ -69,6 +69,33 @@ def running(per: DataFrame, score: str, sums: list[str], cells: int = 256) -> Da
     return out.withColumns({f"below_{c}": F.col(f"_below_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).drop("_cell", *(f"_below_{c}" for c in sums))
 
 
+def recall_by_group(truth: DataFrame, pairs: DataFrame, records: DataFrame, by: str) -> DataFrame:
+    """(by, links, found, recall) of the groups of left records (l_id, by)."""
+    hit = pairs.select("l_id", "r_id").distinct().withColumn("_hit", F.lit(1))
+    j = truth.join(records.select("l_id", by), "l_id").join(hit, ["l_id", "r_id"], "left")
+    return j.groupBy(by).agg(F.count(F.lit(1)).alias("links"), F.count("_hit").alias("found"), (F.count("_hit") / F.count(F.lit(1))).alias("recall"))
+
+
+def link_profile(records: DataFrame, truth: DataFrame, sources: DataFrame, by: str) -> DataFrame:
+    """(by, n, single, mean_2, mean_3): left records, the share without links, and mean links into either source; sources: r_id, src."""
+    per = truth.join(sources.select("r_id", "src"), "r_id").groupBy("l_id").agg(F.count(F.when(F.col("src") == 2, 1)).alias("_2"), F.count(F.when(F.col("src") == 3, 1)).alias("_3"))
+    each = records.select("l_id", by).join(per, "l_id", "left").fillna(0, ["_2", "_3"])
+    return each.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("_2") + F.col("_3") == 0).cast("double")).alias("single"), F.avg("_2").alias("mean_2"), F.avg("_3").alias("mean_3"))
+
+
+def weak_addresses(pairs: DataFrame, similar: float = 0.5) -> DataFrame:
+    """One row of shares of pairs: an address is empty on the right, on the left; both are there but unlike; first numbers differ; states differ.
+
+    pairs: l_addr, r_addr, sim (0 to 1), l_num, r_num, l_state, r_state; empty is unknown.
+    """
+    share = lambda c: F.avg(c.cast("double"))
+    both = lambda a, b: (F.col(a) != "") & (F.col(b) != "")
+    return pairs.agg(
+        F.count(F.lit(1)).alias("n"), share(F.col("r_addr") == "").alias("right_empty"), share(F.col("l_addr") == "").alias("left_empty"), share(both("l_addr", "r_addr") & (F.col("sim") < similar)).alias("unlike"),
+        share(both("l_num", "r_num") & (F.col("l_num") != F.col("r_num"))).alias("number_differs"), share(both("l_state", "r_state") & (F.col("l_state") != F.col("r_state"))).alias("state_differs"),
+    )
+
+
 def auc(df: DataFrame, score: str, y: str) -> DataFrame:
     """Area under the ROC curve by rank sums, over distinct scores: pre-aggregated, ties count half."""
     one = F.col(y).cast("long")

@@ -578,6 +578,79 @@ def hard_pair_table(spark, d):
     return p.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("shared"))
 
 
+_CUT = "CASE WHEN r_id % 4 = 0 THEN 'zolar ' || substr(r_name, 1, 2) || 'quor' WHEN r_id % 4 = 1 THEN 'zolar.com' ELSE r_name END"
+
+
+@query(f"""WITH {R.REC}, t AS (SELECT string_split(l_name, ' ') AS lt, string_split({_CUT}, ' ') AS rt, {_CUT} AS raw FROM pairs), w AS (SELECT unnest(rt) AS word FROM t WHERE NOT regexp_matches(raw, '[.]com') AND len(list_intersect(lt, rt)) = 0),
+v AS (SELECT DISTINCT unnest(string_split(l_name, ' ')) AS word FROM l) SELECT word, count(*) AS n FROM w WHERE regexp_full_match(word, '[a-z]{{4,14}}') AND word NOT IN (SELECT word FROM v) GROUP BY word""")
+def made_up_words(spark, d):
+    left, _ = R.sides(spark, d)
+    return L.made_up_words(_respelled(spark, d), left.select(F.explode(X.tokens(F.col("l_name"))).alias("word")))
+
+
+def _respelled(spark, d):
+    """Pairs whose right names are made up, web addresses, or as they are."""
+    kind = F.col("r_id") % 4
+    raw = F.when(kind == 0, F.concat(F.lit("zolar "), F.substring("r_name", 1, 2), F.lit("quor"))).when(kind == 1, F.lit("zolar.com")).otherwise(F.col("r_name"))
+    return R.pairs(spark, d).select("r_id", X.tokens(F.col("l_name")).alias("l_toks"), X.tokens(raw).alias("r_toks"), raw.alias("r_raw"))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT role, unnest({R.toks_sql('text')}) AS word FROM conversations), g AS (SELECT role = 'user' AS u, unnest(list_transform(range(1, length(word) + 1), lambda i: substr('^' || word || '$', i, 3))) AS g FROM w),
+c AS (SELECT g, CAST(count(*) FILTER (u) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT u) AS DOUBLE) AS b FROM g GROUP BY g), s AS (SELECT sum(a) AS na, sum(b) AS nb, count(*) AS v FROM c),
+t AS (SELECT g, ln((a + 1) / (na + v + 1)) - ln((b + 1) / (nb + v + 1)) AS llr FROM c, s), p AS (SELECT DISTINCT word FROM w),
+e AS (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: substr('^' || word || '$', i, 3))) AS g FROM p WHERE regexp_full_match(word, '[a-z]{{4,14}}')), x AS (SELECT word, avg(llr) AS score FROM e JOIN t USING (g) GROUP BY word),
+o AS (SELECT conv_id, turn, unnest({R.toks_sql('text')}) AS word FROM conversations), m AS (SELECT conv_id, turn, max(score) AS top FROM o LEFT JOIN x USING (word) GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, round(greatest(coalesce(top, -5.0), -5.0), 6) AS gen_max FROM conversations c LEFT JOIN m USING (conv_id, turn)""")
+def most_made_up(spark, d):
+    c = R.read(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "role", R.words(F.col("text")).alias("toks"))
+    w = c.select("role", F.explode("toks").alias("word")).distinct()
+    scores = L.trigram_scores(w.select("word"), w.filter("role = 'user'").select("word"), w.filter("role <> 'user'").select("word"))
+    return L.most_made_up(c, scores, "id").select("id.conv_id", "id.turn", F.round("gen_max", 6).alias("gen_max"))
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY md5('7|' || p_partkey), p_partkey LIMIT 150")
+def exact_sample(spark, d):
+    return B.sample(R.read(spark, d, "part").select("p_partkey", "p_name"), 150, ["p_partkey"], 7)
+
+
+@query(f"""WITH {R.REC}, t AS (SELECT truth.l_id, truth.r_id, r.country, md5('1|' || truth.l_id || '|' || truth.r_id) AS h FROM truth JOIN r USING (r_id)),
+n AS (SELECT *, coalesce(lead(l_id) OVER (PARTITION BY country ORDER BY h, l_id, r_id), first_value(l_id) OVER (PARTITION BY country ORDER BY h, l_id, r_id)) AS nl, coalesce(lead(r_id) OVER (PARTITION BY country ORDER BY h, l_id, r_id), first_value(r_id) OVER (PARTITION BY country ORDER BY h, l_id, r_id)) AS nr FROM t)
+SELECT DISTINCT l_id, nr AS r_id FROM n WHERE nl <> l_id AND NOT EXISTS (SELECT 1 FROM truth x WHERE x.l_id = n.l_id AND x.r_id = n.nr)""")
+def other_owner(spark, d):
+    left, right = R.sides(spark, d)
+    return B.other_owner(R.truth(left, right), right, ["country"])
+
+
+@query(f"WITH {R.REC}, j AS (SELECT l.country, p.r_id AS hit FROM truth t JOIN l ON l.l_id = t.l_id LEFT JOIN pairs p ON p.l_id = t.l_id AND p.r_id = t.r_id) SELECT country, count(*) AS links, count(hit) AS found, round(count(hit) / count(*), 6) AS recall FROM j GROUP BY country")
+def recall_by_country(spark, d):
+    left, right = R.sides(spark, d)
+    return M.recall_by_group(R.truth(left, right), R.pairs(spark, d), left, "country").withColumn("recall", F.round("recall", 6))
+
+
+@query(f"""WITH {R.REC}, x AS (SELECT t.l_id, count(*) FILTER (src = 2) AS a, count(*) FILTER (src = 3) AS b FROM truth t JOIN r USING (r_id) GROUP BY 1)
+SELECT country, count(*) AS n, round(avg((coalesce(a, 0) + coalesce(b, 0) = 0)::INT), 6) AS single, round(avg(coalesce(a, 0)), 6) AS mean_2, round(avg(coalesce(b, 0)), 6) AS mean_3 FROM l LEFT JOIN x ON x.l_id = l.l_id GROUP BY country""")
+def link_profile(spark, d):
+    left, right = R.sides(spark, d)
+    out = M.link_profile(left, R.truth(left, right), right, "country")
+    return out.select("country", "n", *(F.round(c, 6).alias(c) for c in ("single", "mean_2", "mean_3")))
+
+
+_LINKED = f"""{R.REC}, k AS (SELECT CASE WHEN l.l_id % 10 = 0 THEN '' ELSE l.l_addr END AS la, CASE WHEN r.r_id % 7 = 0 THEN '' ELSE r.r_addr END AS ra, l.lpart, r.rpart FROM truth t JOIN l ON l.l_id = t.l_id JOIN r ON r.r_id = t.r_id),
+z AS (SELECT *, CASE WHEN greatest(length(la), length(ra)) > 0 THEN 1 - levenshtein(la, ra) / greatest(length(la), length(ra)) ELSE 1 END AS sim, split_part(la, ' ', 1) AS ln, split_part(ra, ' ', 1) AS rn FROM k)"""
+
+
+@query(f"""WITH {_LINKED} SELECT count(*) AS n, round(avg((ra = '')::INT), 6) AS right_empty, round(avg((la = '')::INT), 6) AS left_empty, round(avg((la <> '' AND ra <> '' AND sim < 0.5)::INT), 6) AS unlike,
+  round(avg((ln <> '' AND rn <> '' AND ln <> rn)::INT), 6) AS number_differs, round(avg((lpart <> '' AND rpart <> '' AND lpart <> rpart)::INT), 6) AS state_differs FROM z""")
+def weak_addresses(spark, d):
+    left, right = R.sides(spark, d)
+    t = R.truth(left, right).join(left.drop("country"), "l_id").join(right.drop("country"), "r_id")
+    la, ra = F.when(F.col("l_id") % 10 == 0, "").otherwise(F.col("l_addr")), F.when(F.col("r_id") % 7 == 0, "").otherwise(F.col("r_addr"))
+    t = t.select(la.alias("l_addr"), ra.alias("r_addr"), F.col("lpart").alias("l_state"), F.col("rpart").alias("r_state"))
+    first = lambda c: F.coalesce(F.get(X.tokens(F.col(c)), F.lit(0)), F.lit(""))
+    out = M.weak_addresses(t.withColumns({"sim": S.distance_similarity(F.col("l_addr"), F.col("r_addr")), "l_num": first("l_addr"), "r_num": first("r_addr")}))
+    return out.select("n", *(F.round(c, 6).alias(c) for c in ("right_empty", "left_empty", "unlike", "number_differs", "state_differs")))
+
+
 # set operations, sinks
 
 
