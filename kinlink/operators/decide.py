@@ -60,17 +60,18 @@ def expected_f(pairs: DataFrame, p: str = "p", most: int = 30) -> DataFrame:
 def threshold_grid(pairs: DataFrame, truth_counts: DataFrame, gates: list[float], includes: list[float], p: str = "p") -> DataFrame:
     """Macro F0.5 of every (gate, include <= gate) in one job: pairs (l_id, p, y), truth_counts (l_id, n_true) of every left record.
 
-    The grid is a constant of a few hundred rows, exploded on each pair; what is shuffled is one
-    pre-aggregated row for each left record and cell.
+    Pairs are summed once for each left record and value of ``include``, as columns; the grid, a
+    constant of a few hundred cells, is laid on these rows, not on pairs.
     """
     from .metrics import f_beta
 
     cells = [(g, i) for g in gates for i in includes if i <= g + 1e-9]
-    grid = F.explode(F.array(*(F.struct(F.lit(float(g)).alias("gate"), F.lit(float(i)).alias("include")) for g, i in cells)))
     best = pairs.withColumn("_best", F.max(p).over(Window.partitionBy("l_id")))
-    each = best.withColumn("_c", grid).select("*", "_c.*").drop("_c")
-    kept = ((F.col("_best") >= F.col("gate")) & ((F.col(p) >= F.col("include")) | (F.col(p) == F.col("_best")))).cast("int")
-    per = each.groupBy("gate", "include", "l_id").agg(F.sum(kept).alias("n_pred"), F.sum(kept * F.col("y")).alias("tp"))
+    kept = [((F.col(p) >= F.lit(float(i))) | (F.col(p) == F.col("_best"))).cast("int") for i in includes]
+    sums = [x for k, c in enumerate(kept) for x in (F.sum(c).alias(f"_n{k}"), F.sum(c * F.col("y")).alias(f"_t{k}"))]
+    each = best.groupBy("l_id").agg(F.max("_best").alias("_best"), *sums)
+    cell = lambda g, i: F.struct(F.lit(float(g)).alias("gate"), F.lit(float(i)).alias("include"), *(F.when(F.col("_best") >= F.lit(float(g)), F.col(f"_{c}{includes.index(i)}")).otherwise(0).alias(n) for c, n in (("n", "n_pred"), ("t", "tp"))))
+    per = each.select("l_id", F.explode(F.array(*(cell(g, i) for g, i in cells))).alias("_c")).select("l_id", "_c.*")
     per = per.join(truth_counts, "l_id")
     without = truth_counts.join(pairs.select("l_id").distinct(), "l_id", "left_anti")
     rest = without.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum((F.col("n_true") == 0).cast("double")), F.lit(0.0)).alias("_f"))

@@ -411,6 +411,29 @@ def support_features(spark, d):
     return C.support(p, same).select("l_id", "r_id", F.round("sup_max", 6).alias("sup_max"), F.round("sup_w", 5).alias("sup_w"))
 
 
+_RIGHT = f"""{_TFIDF}, h AS (SELECT DISTINCT x.r_id AS a, y.r_id AS b FROM pairs x JOIN pairs y ON x.l_id = y.l_id AND x.r_id <> y.r_id),
+rr AS (SELECT a, b, sum(u.v * w.v) AS sim FROM h JOIN p u ON u.id = h.a JOIN p w ON w.id = h.b AND w.gram = u.gram GROUP BY a, b)"""
+
+
+@query(f"WITH {_RIGHT} SELECT a, b, round(sim, 6) AS sim FROM rr WHERE sim > 1e-6")
+def right_cosines(spark, d):
+    return _right(spark, d).withColumn("sim", F.round("sim", 6))
+
+
+def _right(spark, d):
+    all_ = R.rec(spark, d)
+    grams = X.char_grams(F.col("name"), 3)
+    post = B.postings(all_, ["id"], grams, B.pruned(B.idf(all_, "id", grams), all_, 2, 0.3))
+    return C.right_similarities(R.pairs(spark, d), post.withColumnRenamed("id", "r_id"))
+
+
+@query(f"""WITH {_RIGHT}, q AS (SELECT l_id, r_id, 1.0::DOUBLE / (1 + levenshtein(l_name, r_name)) AS p1 FROM pairs), su AS (SELECT x.l_id, x.r_id, max(y.p1 * rr.sim) AS m, sum(y.p1 * rr.sim) AS w FROM q x JOIN q y ON x.l_id = y.l_id AND x.r_id <> y.r_id JOIN rr ON rr.a = x.r_id AND rr.b = y.r_id AND rr.sim > 1e-6 GROUP BY 1, 2),
+to_ AS (SELECT l_id, sum(p1) AS t FROM q GROUP BY l_id) SELECT q.l_id, q.r_id, round(coalesce(m, 0), 5) AS sup_max, round(coalesce(w, 0) / (t - p1 + 1e-6), 4) AS sup_w FROM q LEFT JOIN su ON su.l_id = q.l_id AND su.r_id = q.r_id JOIN to_ ON to_.l_id = q.l_id""")
+def support_by_cosine(spark, d):
+    p = R.pairs(spark, d).select("l_id", "r_id", (1 / (1 + F.levenshtein("l_name", "r_name"))).alias("p1"))
+    return C.support(p, _right(spark, d)).select("l_id", "r_id", F.round("sup_max", 5).alias("sup_max"), F.round("sup_w", 4).alias("sup_w"))
+
+
 # learners and reports
 
 
