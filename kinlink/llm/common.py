@@ -77,6 +77,12 @@ def release(*frames: DataFrame) -> None:
             _delete(_staged.pop(path), path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """Inner join on ``key``, of which right has one row each: copied, so that rows of a key that a third of left shares go to several tasks."""
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(copies.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -199,7 +199,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
         part = graph.components(spark, links.unionByName(more))
     common.release(tables, busy, stars, full, links, at, open_, left, rest, more)
     names = classes.select("id", "doc_id").join(part.hint("merge"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
-    linked = part.join(names.hint("merge"), "component").select("id", "least")
+    linked = common.spread_join(part, names, "component", "id").select("id", "least")
     named = classes.select("id", "doc_id", "d1", "d2").join(linked.hint("merge"), "id", "left")
     named = named.select("d1", "d2", F.coalesce("least", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "n", "d1", "d2").join(named.hint("merge"), ["d1", "d2"], "left")

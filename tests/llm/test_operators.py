@@ -140,6 +140,14 @@ def test_components(spark):
     assert graph.components(spark, spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    stage = common.stage
+    monkeypatch.setattr(common, "stage", lambda s, df, name: rounds.append(name) or stage(s, df, name))
+    got = graph.components(spark, spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")).collect()
+    assert {r.component for r in got} == {0} and len(got) == 301 and rounds.count("moves") < 25
+
+
 def cover(texts, length=200):
     raw = [(t or "").encode() for t in texts]
     count = collections.Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
