@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
@@ -153,6 +153,16 @@ def word_bigrams(spark, d):
     return w.select(F.explode(two).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH m AS (SELECT p_partkey, p_name, p_partkey % 3 = 0 AS indic, list_transform(string_split(p_name, ' '), lambda t: CASE t WHEN 'bolt' THEN 'volt' WHEN 'gear' THEN 'ltd' WHEN 'old' THEN 'co' ELSE t END) AS m FROM part),
+k AS (SELECT *, list_filter(m, lambda t: t <> 'ltd' AND t <> 'co') AS k FROM m), c AS (SELECT p_partkey, indic, p_name, CASE WHEN indic THEN array_to_string(CASE WHEN len(k) > 0 THEN k ELSE m END, ' ') ELSE p_name END AS core FROM k)
+SELECT p_partkey, core AS n_core, CASE WHEN indic THEN core ELSE 'the ' || p_name END AS n_full, CASE WHEN indic THEN core ELSE 'the ' || p_name END || ' main street' AS all_txt, replace(core, ' ', '') AS n_nospace FROM c""")
+def translate_tokens(spark, d):
+    """Names in an Indic script pass through a learned table and lose legal words, unless nothing would be left; others stay as they are."""
+    name = F.when(F.col("p_partkey") % 3 == 0, F.lit("\u0930\u093e\u092e")).otherwise(F.col("p_name"))
+    r = R.read(spark, d, "part").select("p_partkey", name.alias("business_name"), F.col("p_name").alias("n_core"), F.concat(F.lit("the "), "p_name").alias("n_full"), F.lit("main street").alias("a_full"), F.lit("main street").alias("a_street"))
+    return X.translate_tokens(r, {"bolt": "volt", "gear": "ltd", "old": "co"}).select("p_partkey", "n_core", "n_full", "all_txt", "n_nospace")
+
+
 # pair similarities
 
 
@@ -489,6 +499,24 @@ def city_regions(spark, d):
     return L.city_regions(t).withColumn("share", F.round("share", 6))
 
 
+def _skeleton(x: str) -> str:
+    p = _phon(x)
+    return f"(substr({p}, 1, 1) || regexp_replace(substr({p}, 2), '[aeiouy]', '', 'g'))"
+
+
+@query(f"""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS value FROM part), z AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN 'kontu' WHEN p_partkey % 2 = 0 THEN value || 'u' ELSE value END AS token, CASE WHEN value = 'rod' THEN 'ltd' ELSE value END AS value FROM w),
+c AS (SELECT token, value, count(*) AS n FROM z GROUP BY 1, 2), t AS (SELECT *, n / sum(n) OVER (PARTITION BY token) AS share, row_number() OVER (PARTITION BY token ORDER BY n DESC, value) AS r FROM c), f AS (SELECT value AS token, count(*) AS freq FROM w GROUP BY 1),
+k AS (SELECT token, value, n, share, {_skeleton('token')} AS a, {_skeleton('value')} AS b FROM t WHERE r = 1 AND n >= 5 AND share >= 0.6 AND value <> 'ltd' AND token <> value)
+SELECT k.token, value, n, round(share, 6) AS share FROM k LEFT JOIN f x ON x.token = k.token LEFT JOIN f y ON y.token = k.value WHERE CASE WHEN greatest(length(a), length(b)) > 0 THEN 1 - levenshtein(a, b) / greatest(length(a), length(b)) ELSE 1 END >= 0.4 AND coalesce(x.freq, 0) < 0.2 * coalesce(y.freq, 0)""")
+def transliteration(spark, d):
+    """Spellings of native words learned from names aligned by position: some spelled apart, some as they are, one that stands for many words, one that stands for a legal form."""
+    p = R.read(spark, d, "part").select("p_partkey", X.tokens(F.col("p_name")).alias("words"))
+    native = F.transform("words", lambda t: F.when(F.col("p_partkey") % 9 == 0, F.lit("kontu")).when(F.col("p_partkey") % 2 == 0, F.concat(t, F.lit("u"))).otherwise(t))
+    plain = F.transform("words", lambda t: F.when(t == "rod", F.lit("ltd")).otherwise(t))
+    frequency = p.select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    return L.transliteration(p.select(native.alias("native"), plain.alias("plain")), frequency, ["ltd"]).withColumn("share", F.round("share", 6))
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'hdf' WHEN 1 THEN 'bre' WHEN 2 THEN '' WHEN 3 THEN 'tg_ap' WHEN 4 THEN 'tx' ELSE 'pac' END AS key FROM part""")
 def partition_key(spark, d):
     """Regions of France by name and by a learned city, states that share a group, a state as it is, and none."""
@@ -577,6 +605,22 @@ def threshold_grid(spark, d):
     return g.withColumn("f05", F.round("f05", 6))
 
 
+@query(f"""WITH {_P}, t AS (SELECT l_id, r_id, p, row_number() OVER (PARTITION BY l_id ORDER BY p DESC, r_id) AS k FROM p WHERE r_id % 23 < 4), x AS (SELECT * FROM t WHERE k <= 3),
+w AS (SELECT l_id, coalesce(max(p) FILTER (k = 1), 0) AS a, coalesce(max(p) FILTER (k = 2), 0) AS b, coalesce(max(p) FILTER (k = 3), 0) AS c FROM x GROUP BY l_id),
+o AS (SELECT w.*, i & 1 AS x1, (i >> 1) & 1 AS x2, (i >> 2) & 1 AS x3 FROM w, range(8) r(i)),
+e AS (SELECT l_id, any_value(a) AS a, any_value((1 - a) * (1 - b) * (1 - c)) AS e0, sum(q * 1.25 * x1 / (0.25 * n + 1)) AS e1, sum(q * 1.25 * (x1 + x2) / (0.25 * n + 2)) AS e2, sum(q * 1.25 * (x1 + x2 + x3) / (0.25 * n + 3)) AS e3
+  FROM (SELECT *, x1 + x2 + x3 AS n, (CASE x1 WHEN 1 THEN a ELSE 1 - a END) * (CASE x2 WHEN 1 THEN b ELSE 1 - b END) * (CASE x3 WHEN 1 THEN c ELSE 1 - c END) AS q FROM o) GROUP BY l_id),
+m AS (SELECT l_id, CASE WHEN a < 0.02 THEN 0 WHEN e1 <= e0 + 1e-12 AND e2 <= e0 + 1e-12 AND e3 <= e0 + 1e-12 THEN 0 WHEN e2 <= e1 + 1e-12 AND e3 <= e1 + 1e-12 THEN 1 WHEN e3 <= e2 + 1e-12 THEN 2 ELSE 3 END AS best FROM e)
+SELECT x.l_id, x.r_id, x.p FROM x JOIN m ON m.l_id = x.l_id WHERE x.k <= m.best""")
+def expected_f_of_three(spark, d):
+    """The three best candidates of each left record; SQL sums over all eight cases of which of them are true."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_id").orderBy(F.col("p").desc(), "r_id")
+    three = _prob(spark, d).filter("r_id % 23 < 4").withColumn("_k", F.row_number().over(order)).filter("_k <= 3").drop("_k")
+    return D.expected_f(three).filter("keep").select("l_id", "r_id", "p")
+
+
 @query()
 def expected_f_select(spark, d):
     return D.expected_f(_prob(spark, d)).filter("keep").select("l_id", "r_id", "p")
