@@ -5,8 +5,10 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kinlink.functions import similarity as S
+from kinlink.functions import text as X
 from kinlink.operators import blocking as B
 from kinlink.operators import competition as C
 from kinlink.operators import decide as D
@@ -190,3 +192,47 @@ def test_choose_rule(spark):
     rule = D.choose_rule(pairs, counts, [0.3, 0.55], [0.3, 0.55])
     assert rule["f05"] == 1.0
     assert sorted(map(tuple, D.apply_rule(pairs, rule).collect())) == [(1, 1), (1, 2), (3, 5)]
+
+
+def _records(spark, n=60, seed=5):
+    draw = random.Random(seed)
+    names = ["red bolt", "red ring", "blue bolt", "old plate", "old plates", "ring"]
+    rows = [(i, 1 + i % 3, draw.choice(["x", "y"]), draw.choice(["", "a", "b", None]), draw.choice(names), draw.choice(["1 st", "2 st"])) for i in range(n)]
+    rec = spark.createDataFrame(rows, "id long, src int, country string, part string, text string, addr string")
+    grams = X.char_grams(F.col("text"), 3)
+    left = rec.filter("src = 1").selectExpr("id as l_id", "country", "part as lpart", "text", "addr")
+    right = rec.filter("src > 1").selectExpr("id as r_id", "src", "country", "part as rpart", "text", "addr", "array(addr) as addrs")
+    texts = rec.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    weights = B.postings(texts, ["text"], grams, B.text_idf(texts, grams, "n"))
+    post = B.postings(rec, ["id", "src", "country", "part"], grams, B.idf(rec, "id", grams))
+    each = B.cosine_topk(post.filter("src = 1").selectExpr("id as l_id", "part as lpart", "country", "gram", "w"), post.filter("src > 1").selectExpr("id as r_id", "src", "part as rpart", "country", "gram", "w"), 4, digits=6)
+    return left, right, B.class_topk(left, right.drop("addr"), weights, 4, digits=6), each
+
+
+def test_class_topk_is_topk_of_each_record(spark):
+    left, _, tops, each = _records(spark)
+    got = left.join(tops, ["country", "lpart", "text"])
+    rows = lambda df: sorted(map(tuple, df.select("l_id", "src", "rank", "r_id", "score").collect()))
+    assert rows(got) == rows(each) and len(rows(got)) > 50
+    assert tops.count() < got.count()  # once for a class, not for each of its records
+
+
+def test_bucket_fuse_is_fuse(spark):
+    left, right, tops, each = _records(spark)
+    pairs = left.join(right.drop("text"), ["country", "addr"]).select("l_id", "r_id", "src", F.lit(1.0).alias("score"))
+    want = B.fuse({"name": each, "bucket": pairs})
+    cols = ["l_id", "r_id", "src", "name", "bucket", "n_views", "bsum"]
+    rows = lambda df, cols=cols: sorted((tuple(-1 if x is None else x for x in r) for r in df.select(cols).collect()))
+    got = B.bucket_fuse(left, right, tops, ["country"], "name", "bucket")
+    assert rows(got) == rows(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange")  # pairs are made after the last shuffle
+
+
+def test_first_rows_of_a_bucket_are_all_that_ranking_keeps(spark):
+    left, right, tops, _ = _records(spark, 200)
+    whole, first = (B.bucket_fuse(left, right, tops, ["country"], "name", "bucket", most=most) for most in (None, 10))
+    assert first.count() < whole.count()
+    by = ("country", "addr", "l_id")
+    ranked = [sorted(map(tuple, B.rank_fuse(x, ["name"], {"bucket": 0.2}, cap=10, by=b).select("l_id", "brank", "r_id", "brrf").collect())) for x, b in ((whole, ("l_id",)), (first, by))]
+    assert ranked[0] == ranked[1]
