@@ -236,3 +236,21 @@ def test_first_rows_of_a_bucket_are_all_that_ranking_keeps(spark):
     by = ("country", "addr", "l_id")
     ranked = [sorted(map(tuple, B.rank_fuse(x, ["name"], {"bucket": 0.2}, cap=10, by=b).select("l_id", "brank", "r_id", "brrf").collect())) for x, b in ((whole, ("l_id",)), (first, by))]
     assert ranked[0] == ranked[1]
+
+
+def test_class_support_is_support(spark):
+    pairs = [(i, 10 * i + j, k, p) for i in (1, 2) for j, (k, p) in enumerate([("a", 0.5), ("a", 0.5), ("b", 0.25), ("a", 0.5), ("c", 1.0)][: 5 * (2 - i) + i - 1])]
+    df = spark.createDataFrame(pairs, "l_id long, r_id long, kind string, p1 double")
+    same = [(x, y, 1.0) for i, x, k, _ in pairs for j, y, m, _ in pairs if i == j and x != y and k == m]
+    want = C.support(df, spark.createDataFrame(same, "a long, b long, sim double"))
+    met = df.groupBy("l_id", "kind", "p1").agg(F.count(F.lit(1)).alias("n"), F.collect_list("r_id").alias("r_id"))
+    got = C.class_support(met, ["l_id"]).withColumn("r_id", F.explode("r_id"))
+    rows = lambda x: sorted(tuple(r) for r in x.select("l_id", "r_id", F.round("sup_max", 9), F.round("sup_w", 9)).collect())
+    assert rows(got) == rows(want) and len(pairs) == 6
+
+
+def test_support_features_makes_pairs_once(spark):
+    from kinlink.plans import catalog
+
+    plan = catalog.support_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # was a join of all candidates with all of the same record
