@@ -254,3 +254,30 @@ def test_support_features_makes_pairs_once(spark):
 
     plan = catalog.support_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1  # was a join of all candidates with all of the same record
+
+
+def test_name_pairs_come_from_classes(spark):
+    from kinlink.plans import catalog
+    from kinlink.plans import records as R
+
+    d = "/root/testdata/sf0.001"
+    got = catalog.set_and_partial_ratios(spark, d)
+    assert "_bucket" not in got._jdf.queryExecution().optimizedPlan().toString()  # no pair of records is made
+    left, right = R.sides(spark, d)
+    want = catalog._fused(spark, d).select("l_id", "r_id").join(left.select("l_id", "l_name"), "l_id").join(right.select("r_id", "r_name"), "r_id").select("l_name", "r_name").distinct()
+    assert sorted(map(tuple, got.select("l_name", "r_name").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dense_topk_is_brute_force(spark):
+    draw = random.Random(3)
+    vector = lambda i: None if i == 7 else [1.0, None] if i == 8 else [1.0] if i == 9 else [math.nan, 1.0] if i == 10 else [draw.choice([0.5, 0.25, 0.123]), draw.choice([1.0, -1.0])]
+    df = spark.createDataFrame([(i, "a" if i < 30 else "b" if i < 42 else None, vector(i if i < 30 else 99)) for i in range(44)], "id long, label string, v array<float>")
+    left, right = df.selectExpr("id as l_id", "label", "v as lv"), df.selectExpr("id as r_id", "label", "v as rv")
+    met = left.join(right, "label").filter("l_id <> r_id").withColumn("score", F.round(S.dot(F.col("lv"), F.col("rv")), 5))
+    from pyspark.sql import Window
+
+    want = met.withColumn("rank", F.row_number().over(Window.partitionBy("l_id").orderBy(F.col("score").desc(), F.col("r_id")))).filter("rank <= 15")
+    got = B.dense_topk(left, right, ["label"], 15, 5)
+    rows = lambda x: sorted((r.l_id, r.rank, r.r_id, str(r.score)) for r in x.collect())
+    assert rows(got) == rows(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
