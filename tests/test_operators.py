@@ -281,3 +281,17 @@ def test_dense_topk_is_brute_force(spark):
     rows = lambda x: sorted((r.l_id, r.rank, r.r_id, str(r.score)) for r in x.collect())
     assert rows(got) == rows(want)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_normalize_classes_is_normalize(spark):
+    rows = [(1, "Straße Gears Pvt. Limited", "12 Main St, Austin, TX 78701", "US"), (2, "Straße Gears Pvt. Limited", None, "US"), (3, None, "12 Main St, Austin, TX 78701", None), (4, "राम Ltd", "4th Cross Rd, Pune, Maharashtra 411 001", "India")]
+    df = spark.createDataFrame(rows + [(r[0] + 4, *r[1:]) for r in rows], "id long, business_name string, business_address string, country string")
+    want, got = X.normalize(df), X.normalize_classes(df)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_normalize_records_works_names_out_once(spark):
+    from kinlink.plans import catalog
+
+    plan = catalog.normalize_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_business_name" in plan and "Aggregate [_business_address" in plan
