@@ -295,3 +295,34 @@ def test_normalize_records_works_names_out_once(spark):
 
     plan = catalog.normalize_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [_business_name" in plan and "Aggregate [_business_address" in plan
+
+
+def test_bucket_support_is_support(spark):
+    rnd = random.Random(3)
+    names = ["red bolt", "red gear", "big bolt", "zz", "red bolts", None]
+    l = [(i, rnd.choice("ab"), rnd.choice(names)) for i in range(12)]
+    r = [(100 + i, rnd.choice("abc"), rnd.choice(names)) for i in range(25)]
+    left, right = spark.createDataFrame(l, "l_id long, key string, l_name string"), spark.createDataFrame(r, "r_id long, key string, r_name string")
+    grams = X.char_grams(F.col("name"), 3)
+    rows = right.withColumnsRenamed({"r_id": "id", "r_name": "name"})
+    weights = B.idf(rows, "id", grams).filter("df >= 2")
+    pairs = left.join(right, "key").withColumn("p1", 1 / (1 + F.levenshtein("l_name", "r_name")))
+    want = C.support(pairs, C.right_similarities(pairs, B.postings(rows, ["id"], grams, weights).withColumnRenamed("id", "r_id")))
+    got = C.bucket_support(left, right, B.postings(rows.filter("name is not null").select("name").distinct(), ["name"], grams, weights), ["key"])
+    shown = lambda df: sorted((x.l_id, x.r_id, round(x.sup_max, 9), None if x.sup_w is None else round(x.sup_w, 9)) for x in df.collect())
+    assert shown(got) == shown(want) and got.filter("sup_w is null").count() and got.filter("sup_max > 0").count()
+
+
+def test_support_by_cosine_of_ids_that_repeat(spark, tmp_path):
+    from kinlink.plans import catalog
+    from kinlink.plans import records as R
+
+    rnd = random.Random(4)
+    words = ["red", "bolt", "gear", "old", "pin", "cog", "nut", "arm"]
+    part = [(rnd.randrange(150), " ".join(rnd.sample(words, 2)), rnd.choice(["B#1", "B#2"]), "TIN", rnd.choice([1, 2])) for _ in range(120)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = catalog.support_by_cosine(spark, str(tmp_path))
+    p = R.pairs(spark, str(tmp_path)).select("l_id", "r_id", (1 / (1 + F.levenshtein("l_name", "r_name"))).alias("p1"))
+    want = C.support(p, catalog._right(spark, str(tmp_path))).select("l_id", "r_id", F.round("sup_max", 5).alias("sup_max"), F.round("sup_w", 4).alias("sup_w"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
