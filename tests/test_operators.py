@@ -326,3 +326,21 @@ def test_support_by_cosine_of_ids_that_repeat(spark, tmp_path):
     want = C.support(p, catalog._right(spark, str(tmp_path))).select("l_id", "r_id", F.round("sup_max", 5).alias("sup_max"), F.round("sup_w", 4).alias("sup_w"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bucket_fuse_labels_its_pairs(spark):
+    rows, cols = [(1, "a"), (2, "a"), (3, "b")], "l_id long, addr string"
+    left = spark.createDataFrame(rows, cols).selectExpr("l_id", "'us' as country", "'' as lpart", "'x' as text", "addr")
+    right = spark.createDataFrame([(10, "a", [1]), (11, "a", None), (12, "b", [2, 3]), (13, "c", [1])], "r_id long, addr string, owners array<long>").selectExpr("r_id", "2 as src", "'us' as country", "'' as rpart", "'x' as text", "addr", "owners")
+    tops = B.class_topk(left, right.withColumn("addrs", F.array("addr")).drop("addr"), spark.createDataFrame([("x", "x", 1.0)], "text string, gram string, w double"), 4)
+    got = B.bucket_fuse(left, right, tops, ["country"], "name", "bucket", owners="owners")
+    truth = spark.createDataFrame([(1, 10), (2, 12), (3, 12), (1, 13)], "l_id long, r_id long")
+    want = B.label(got.select("l_id", "r_id"), truth).select("l_id", "r_id", "y")
+    assert got.count() == 12 and sorted(map(tuple, got.select("l_id", "r_id", "y").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_labels_are_made_without_a_shuffle_of_pairs(spark):
+    from kinlink.plans import catalog
+
+    plan = catalog.label_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("Generate explode")]
