@@ -344,3 +344,13 @@ def test_labels_are_made_without_a_shuffle_of_pairs(spark):
 
     plan = catalog.label_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan[: plan.index("Generate explode")]
+
+
+def test_per_labelled_is_per_record(spark):
+    records = spark.createDataFrame([(1,), (2,), (3,), (4,)], "l_id long")
+    truth = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "l_id long, r_id long")
+    found = spark.createDataFrame([(1, 10), (1, 13), (3, 12), (1, 10)], "l_id long, r_id long")
+    labelled = found.withColumn("y", ((F.col("l_id") == 1) & (F.col("r_id") == 10)).cast("int"))
+    cols = ["l_id", "n_pred", "n_true", "tp", "f05"]
+    want, got = M.per_record(records, found, truth), M.per_labelled(records, labelled, truth)
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
