@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinlink.llm import common, decontam, graph, html_extract, katz, langid, minhash, mixing, quality, registry, suffix_dedup, topk, toxicity
+from kinlink.llm import blobs, common, decontam, graph, html_extract, katz, langid, minhash, mixing, quality, registry, suffix_dedup, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, n string, d1 string, _leaks string, u string, at string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -226,6 +226,14 @@ def test_suffix_pieces(monkeypatch, spark):
     assert covered == {p for a, b in zip(off, off[1:]) for p in range(a, b - 199)}
 
 
+def test_suffix_anchor_hashes_fall_evenly_into_partitions():
+    """Anchors are least hashes: as they are, most would meet in the first of 51 partitions."""
+    raw = np.frombuffer(prose(random.Random(8), 40_000).encode(), np.uint8)
+    _, _, _, g, _ = suffix_dedup.segments(raw, np.array([0, len(raw)]), 200, 48)
+    sizes = np.bincount(blobs.place(np.unique(g), 51), minlength=51)
+    assert len(g) > 2000 and sizes.max() < 2 * sizes.mean()
+
+
 def test_topk_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=9), 1)], 0) for i in range(130)]
