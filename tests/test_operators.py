@@ -354,3 +354,14 @@ def test_per_labelled_is_per_record(spark):
     cols = ["l_id", "n_pred", "n_true", "tp", "f05"]
     want, got = M.per_record(records, found, truth), M.per_labelled(records, labelled, truth)
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_recall_queries_shuffle_the_records_once(spark):
+    """All tables of candidates are made of one shuffle of the records; links and their owners need the others."""
+    from kinlink.llm.common import setting
+    from kinlink.plans import catalog
+
+    with setting(spark, "spark.sql.adaptive.enabled", "false"):
+        for query in (catalog.recall_by_view,):
+            plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan parquet") <= 5 and plan.count("ReusedExchange") >= 5
