@@ -362,6 +362,6 @@ def test_recall_queries_shuffle_the_records_once(spark):
     from kinlink.plans import catalog
 
     with setting(spark, "spark.sql.adaptive.enabled", "false"):
-        for query in (catalog.recall_by_view,):
+        for query in (catalog.recall_by_view, catalog.recall_by_cap):
             plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
             assert plan.count("FileScan parquet") <= 5 and plan.count("ReusedExchange") >= 5
