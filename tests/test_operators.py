@@ -365,3 +365,19 @@ def test_recall_queries_shuffle_the_records_once(spark):
         for query in (catalog.recall_by_view, catalog.recall_by_cap):
             plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
             assert plan.count("FileScan parquet") <= 5 and plan.count("ReusedExchange") >= 5
+
+
+def test_models_of_classes_score_in_one_pass(spark):
+    from kinlink.operators import model as G
+    from kinlink.plans import catalog
+
+    df = spark.range(1200).selectExpr("id % 90 as l_id", "id as r_id", "cast(id % 5 as int) as a", "if(id % 7 = 0, null, id % 3) as b", "cast(id % 5 > 2 as int) as y", "1.0D as weight")
+    models = G.train_classes(df, ["a", "b"], 2, 2, 2)
+    rows = lambda x: sorted((r.r_id, r.p) for r in x.collect())
+    got = G.fold_scores(df, models, ["a", "b"], "p")
+    assert rows(got) == rows(G.out_of_fold(df, models, ["a", "b"], "p"))
+    assert min(r.p for r in got.filter("y = 1").collect()) > max(r.p for r in got.filter("y = 0").collect())
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    # pairs aren't joined with their records or labels, nor shuffled for their competition
+    f = catalog._features(spark, "/root/testdata/sf0.001")
+    assert {"country", "addr", "y"} <= set(f.columns)
