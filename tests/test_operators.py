@@ -381,3 +381,12 @@ def test_models_of_classes_score_in_one_pass(spark):
     # pairs aren't joined with their records or labels, nor shuffled for their competition
     f = catalog._features(spark, "/root/testdata/sf0.001")
     assert {"country", "addr", "y"} <= set(f.columns)
+
+
+def test_competition_of_repeated_keys_is_of_all_their_addresses(spark, tmp_path):
+    from kinlink.plans import catalog
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    part.unionByName(part.filter("p_partkey = 3").withColumn("p_size", F.col("p_size") + 1)).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog._dealt_by(spark, "/root/testdata/sf0.001") == ["country", "addr", "l_id"]
+    assert catalog._dealt_by(spark, str(tmp_path)) == ["l_id"]
